@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 RING_TYPE = "array<struct<x:double,y:double>>"
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and pass it on.
+
+    Array expressions are not shared between uses inside a lambda, so every
+    measure binds its ring before it walks it.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -45,10 +54,14 @@ def largest_ring(rings: Column) -> Column:
 
 def segments(ring: Column) -> Column:
     """Consecutive vertex pairs as ``array<struct<p,q>>``."""
-    n = F.greatest(F.size(ring) - 1, F.lit(0))
-    return F.zip_with(
-        F.slice(ring, 1, n), F.slice(ring, 2, n), lambda p, q: F.struct(p.alias("p"), q.alias("q"))
-    )
+
+    def pairs(r: Column) -> Column:
+        n = F.greatest(F.size(r) - 1, F.lit(0))
+        return F.zip_with(
+            F.slice(r, 1, n), F.slice(r, 2, n), lambda p, q: F.struct(p.alias("p"), q.alias("q"))
+        )
+
+    return let(ring, pairs)
 
 
 def _total(items: Column, term) -> Column:
@@ -57,14 +70,14 @@ def _total(items: Column, term) -> Column:
 
 def signed_area(ring: Column) -> Column:
     # Coordinates relative to the first vertex keep the sum well conditioned.
-    o = F.get(ring, F.lit(0))
-    return (
-        _total(
-            segments(ring),
-            lambda s: (s.p.x - o.x) * (s.q.y - o.y) - (s.q.x - o.x) * (s.p.y - o.y),
+
+    def shoelace(r: Column) -> Column:
+        o = F.get(r, F.lit(0))
+        return _total(
+            segments(r), lambda s: (s.p.x - o.x) * (s.q.y - o.y) - (s.q.x - o.x) * (s.p.y - o.y)
         )
-        / 2
-    )
+
+    return let(ring, shoelace) / 2
 
 
 def ring_area(ring: Column) -> Column:
@@ -82,17 +95,20 @@ def ring_bounds(ring: Column) -> tuple[Column, Column, Column, Column]:
 
 def ring_centroid(ring: Column) -> tuple[Column, Column]:
     """Area centroid of a simple ring; null without area."""
-    o = F.get(ring, F.lit(0))
 
-    def moment(axis: str) -> Column:
-        return _total(
-            segments(ring),
-            lambda s: (s.p[axis] + s.q[axis] - 2 * o[axis])
-            * ((s.p.x - o.x) * (s.q.y - o.y) - (s.q.x - o.x) * (s.p.y - o.y)),
-        )
+    def along(axis: str):
+        def centre(r: Column) -> Column:
+            o, a = F.get(r, F.lit(0)), signed_area(r)
+            moment = _total(
+                segments(r),
+                lambda s: (s.p[axis] + s.q[axis] - 2 * o[axis])
+                * ((s.p.x - o.x) * (s.q.y - o.y) - (s.q.x - o.x) * (s.p.y - o.y)),
+            )
+            return F.when(a != 0, o[axis] + moment / (6 * a))
+
+        return centre
 
-    a = signed_area(ring)
-    return tuple(F.when(a != 0, o[k] + moment(k) / (6 * a)) for k in ("x", "y"))
+    return let(ring, along("x")), let(ring, along("y"))
 
 
 def shape_metrics(ring: Column) -> dict[str, Column]:
@@ -136,45 +152,58 @@ def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
 
 def tidy_ring(ring: Column) -> Column:
     """Drop repeated neighbouring vertices and close the ring."""
-    n = F.size(ring)
-    kept = F.filter(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: (i == 0) | (F.get(ring, i) != F.get(ring, F.greatest(i - 1, F.lit(0)))),
-    )
-    slim = F.transform(kept, lambda i: F.get(ring, i))
-    closed = F.get(slim, F.lit(0)) == F.get(slim, F.size(slim) - 1)
-    return F.when(n > 0, F.when(closed, slim).otherwise(F.concat(slim, F.slice(slim, 1, 1))))
+
+    def slim(r: Column) -> Column:
+        kept = F.filter(
+            F.sequence(F.lit(0), F.size(r) - 1),
+            lambda i: (i == 0) | (F.get(r, i) != F.get(r, F.greatest(i - 1, F.lit(0)))),
+        )
+        return F.transform(kept, lambda i: F.get(r, i))
+
+    def close(r: Column) -> Column:
+        closed = F.get(r, F.lit(0)) == F.get(r, F.size(r) - 1)
+        return F.when(closed, r).otherwise(F.concat(r, F.slice(r, 1, 1)))
+
+    return F.when(F.size(ring) > 0, let(let(ring, slim), close))
 
 
 def self_crosses(ring: Column) -> Column:
     """True when two non-neighbouring edges properly cross."""
-    segs = segments(ring)
 
     def side(a: Column, b: Column, c: Column) -> Column:
         return F.signum((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x))
 
-    return F.exists(
-        segs,
-        lambda s: F.exists(
+    def any_pair(segs: Column) -> Column:
+        return F.exists(
             segs,
-            lambda t: (side(s.p, s.q, t.p) * side(s.p, s.q, t.q) < 0)
-            & (side(t.p, t.q, s.p) * side(t.p, t.q, s.q) < 0),
-        ),
-    )
+            lambda s: F.exists(
+                segs,
+                lambda t: (side(s.p, s.q, t.p) * side(s.p, s.q, t.q) < 0)
+                & (side(t.p, t.q, s.p) * side(t.p, t.q, s.q) < 0),
+            ),
+        )
+
+    return let(segments(ring), any_pair)
 
 
 def ring_status(ring: Column) -> Column:
     """valid / repaired are kept; every other status goes to quarantine."""
-    tidy = tidy_ring(ring)
     finite = F.forall(ring, lambda p: (F.abs(p.x) < F.lit(1e300)) & (F.abs(p.y) < F.lit(1e300)))
+
+    def judge(both: Column) -> Column:
+        raw, tidy = both["raw"], both["tidy"]
+        return (
+            F.when(F.size(tidy) < 4, "too_few_points")
+            .when(self_crosses(tidy), "self_crossing")
+            .when(ring_area(tidy) <= 0, "zero_area")
+            .when(tidy == raw, "valid")
+            .otherwise("repaired")
+        )
+
     return (
         F.when(ring.isNull() | (F.size(ring) <= 0), "empty")
         .when(~F.coalesce(finite, F.lit(False)), "not_finite")
-        .when(F.size(tidy) < 4, "too_few_points")
-        .when(ring_area(tidy) <= 0, "zero_area")
-        .when(self_crosses(tidy), "self_crossing")
-        .when(tidy == ring, "valid")
-        .otherwise("repaired")
+        .otherwise(let(F.struct(ring.alias("raw"), tidy_ring(ring).alias("tidy")), judge))
     )
 
 
@@ -196,8 +225,10 @@ def _clip_side(ring: Column, axis: str, limit: Column, keep_above: bool) -> Colu
             .otherwise(F.array().cast(RING_TYPE))
         )
 
-    out = F.flatten(F.transform(segments(ring), emit))
-    return F.when(F.size(out) > 0, F.concat(out, F.slice(out, 1, 1))).otherwise(out)
+    def close(out: Column) -> Column:
+        return F.when(F.size(out) > 0, F.concat(out, F.slice(out, 1, 1))).otherwise(out)
+
+    return let(F.flatten(F.transform(segments(ring), emit)), close)
 
 
 def clip_to_box(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:

@@ -293,3 +293,21 @@ def slope_degrees(pixels: DataFrame, value: str, dx: float, dy: float) -> DataFr
 
     gx, gy = slope("w", "e", dx), slope("s", "n", dy)
     return got.select("col", "row", F.degrees(F.atan(F.hypot(gx, gy))).alias("slope_deg"))
+
+
+def region_fishnets(boxes: DataFrame, key: str, size: float) -> DataFrame:
+    """Aligned cells for every region box (x0, y0, x1, y1), cut at the box.
+
+    Columns are exploded and spread before rows are, so that a large region
+    is not generated by one task.
+    """
+
+    def run(lo: str, hi: str):
+        first = F.floor(F.col(lo) / size).cast("long")
+        return F.explode(F.sequence(first, F.greatest(first, F.ceil(F.col(hi) / size).cast("long") - 1)))
+
+    columns = boxes.select("*", run("x0", "x1").alias("col")).repartition(key, "col")
+    cells = columns.select("*", run("y0", "y1").alias("row"))
+    width = F.least((F.col("col") + 1) * size, F.col("x1")) - F.greatest(F.col("col") * size, F.col("x0"))
+    height = F.least((F.col("row") + 1) * size, F.col("y1")) - F.greatest(F.col("row") * size, F.col("y0"))
+    return cells.select(key, "col", "row", (width * height).alias("cell_area_m2")).where("cell_area_m2 > 0")

@@ -20,7 +20,7 @@ from latticeworks.operators.joins import lookup_join
 from latticeworks.session import checkpointed
 
 LEAF_TARGETS = 4
-MAX_LEVELS = 18
+MAX_LEVELS = 24
 CHECKPOINT_EVERY = 6
 
 
@@ -72,6 +72,9 @@ def nearest(
         F.col(target_key).alias("_id"),
         *[F.col(a).alias(f"_a_{a}") for a in attributes],
     ).na.drop(subset=["_x", "_y"])
+    # Of targets on one spot only the lowest ``need`` ids can ever be returned.
+    same_spot = Window.partitionBy(*group, "_x", "_y").orderBy("_id")
+    t = t.withColumn("_rn", F.row_number().over(same_spot)).where(F.col("_rn") <= need).drop("_rn")
     q = queries.select("*", F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"))
     bounds = [
         d.agg(F.min("_x").alias("a"), F.min("_y").alias("b"), F.max("_x").alias("c"), F.max("_y").alias("d")).first()

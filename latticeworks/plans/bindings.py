@@ -112,7 +112,7 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 def epoch_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels with built surface (m2) per epoch; null before the first line."""
     year = F.year("l_shipdate")
-    value = F.col("l_extendedprice") / 20
+    value = F.col("l_extendedprice") / 19.3
     sums = [
         F.least(F.sum(F.when(year <= 1995 + i, value)), F.lit(10_000.0)).alias(f"built_{e}")
         for i, e in enumerate(EPOCHS)
@@ -178,12 +178,12 @@ SQL = {
     "zones": """zones AS (SELECT p_partkey AS grid_id, p_partkey % 27 AS zcol, p_partkey // 27 AS zrow,
   -3.2::DOUBLE + 0.15::DOUBLE*(p_partkey % 27) AS lon, 4.8::DOUBLE + 0.25::DOUBLE*((p_partkey // 27) % 25) AS lat FROM part)""",
     "stack": "stack AS (SELECT *, col // 5 AS zcol, \"row\" // 5 AS zrow FROM (SELECT l_orderkey % 125 AS col, l_orderkey // 125 AS \"row\", "
-    + ", ".join(f"least(sum(l_extendedprice/20) FILTER (year(l_shipdate) <= {1995 + i}), 10000.0::DOUBLE) AS built_{e}" for i, e in enumerate(EPOCHS))
+    + ", ".join(f"least(sum(l_extendedprice/19.3) FILTER (year(l_shipdate) <= {1995 + i}), 10000.0::DOUBLE) AS built_{e}" for i, e in enumerate(EPOCHS))
     + " FROM lineitem GROUP BY l_orderkey))",
     "yearly": "yearly AS (SELECT grid_id, "
     + ", ".join(f"count(*) FILTER (year = {y})::DOUBLE AS building_count_{y}, avg(height_m) FILTER (year = {y}) AS mean_height_{y}" for y in YEARS)
     + " FROM fp GROUP BY grid_id)",
-    "roads": """roads AS (SELECT road_id, highway, ax, ay, ax + (road_id % 7 - 3)*180 AS bx, ay + (road_id % 5 - 2)*220 AS by FROM (
+    "roads": """roads AS (SELECT road_id, highway, ax, ay, ax + (road_id % 7 - 3)*180 AS bx, ay + (road_id % 5 - 2)*220 AS yb FROM (
   SELECT c_custkey AS road_id, c_custkey*37 % 10000 + 0.37::DOUBLE AS ax, c_custkey*91 % 10000 + 0.41::DOUBLE AS ay,
   CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'primary' WHEN 'BUILDING' THEN 'residential' WHEN 'FURNITURE' THEN 'trunk_link'
    WHEN 'HOUSEHOLD' THEN 'track' WHEN 'MACHINERY' THEN 'secondary' END AS highway FROM customer))""",
