@@ -15,7 +15,7 @@ from latticeworks.plans import analysis as A
 from latticeworks.plans import bindings as B
 from latticeworks.plans import covariates as COV
 from latticeworks.plans.bindings import with_sql, SQL
-from latticeworks.sources import lookups
+from latticeworks.session import checkpointed
 
 
 def zone_buildings(spark, sf):
@@ -37,7 +37,9 @@ def cell_table(spark, sf):
         .join(zone_buildings(spark, sf), ["zcol", "zrow"], "left")
         .join(dist, "grid_id", "left").join(region, "grid_id", "left")
     )
-    return A.sample_flags(out)
+    # Several passes follow; the cell table is small next to its sources, so
+    # it is written once rather than derived again from the raw rows.
+    return checkpointed(A.sample_flags(out))
 
 
 def sample(spark, sf):
@@ -279,7 +281,7 @@ def set_overlap(spark, sf):
 def compared(spark, sf):
     """Typed sample with the second height product."""
     other = second_product(spark, sf).select("grid_id", "net_height_m", "gross_height_m")
-    return typed_sample(spark, sf).join(other, "grid_id", "left")
+    return checkpointed(typed_sample(spark, sf).join(other, "grid_id", "left"))
 
 
 _CMP = f"""{TYPE_SQL}, {SECOND_SQL}, cmp AS (SELECT typed.*, net_height_m, gross_height_m FROM typed LEFT JOIN second ON second.grid_id = typed.grid_id)"""
@@ -307,7 +309,7 @@ def second_product_by_class(spark, sf):
     return rounded(A.coverage_profile(compared(spark, sf), "typology_class", "cell_anbh_derived_m", "net_height_m"))
 
 
-@query(f"{_CMP}, z AS (SELECT *, coalesce(region, 'Outside named regions') AS region_name FROM cmp) SELECT region_name, {_COVER} FROM z GROUP BY 1")
+@query(f"{_CMP}, zr AS (SELECT *, coalesce(region, 'Outside named regions') AS region_name FROM cmp) SELECT region_name, {_COVER} FROM zr GROUP BY 1")
 def second_product_by_region(spark, sf):
     df = compared(spark, sf).withColumn("region_name", F.coalesce("region", F.lit("Outside named regions")))
     return rounded(A.coverage_profile(df, "region_name", "cell_anbh_derived_m", "net_height_m"))
@@ -335,8 +337,8 @@ def two_product_correlations(spark, sf):
 
 @query(f"""{_CMP}, k AS (SELECT v_class, rank() OVER (ORDER BY net_height_m) + (count(*) OVER (PARTITION BY net_height_m) - 1)/2.0 AS rk FROM cmp WHERE net_height_m IS NOT NULL),
  t AS (SELECT sum(pow(c, 3) - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM cmp WHERE net_height_m IS NOT NULL GROUP BY net_height_m)),
- u AS (SELECT count(*) FILTER (v_class = 1)::DOUBLE AS n1, count(*) FILTER (v_class = 0)::DOUBLE AS n2, sum(rk) FILTER (v_class = 1) AS r1, count(*)::DOUBLE AS n FROM k)
-SELECT n1::BIGINT AS n_first, n2::BIGINT AS n_second, {r('r1 - n1*(n1+1)/2')} AS u, {r('(r1 - n1*(n1+1)/2 - n1*n2/2 - 0.5)/sqrt(n1*n2/12*((n+1) - ties/(n*(n-1))))')} AS z FROM u, t""")
+ mw AS (SELECT count(*) FILTER (v_class = 1)::DOUBLE AS n1, count(*) FILTER (v_class = 0)::DOUBLE AS n2, sum(rk) FILTER (v_class = 1) AS r1, count(*)::DOUBLE AS n FROM k)
+SELECT n1::BIGINT AS n_first, n2::BIGINT AS n_second, {r('r1 - n1*(n1+1)/2')} AS u, {r('(r1 - n1*(n1+1)/2 - n1*n2/2 - 0.5)/sqrt(n1*n2/12*((n+1) - ties/(n*(n-1))))')} AS z FROM mw, t""")
 def mann_whitney_high_low(spark, sf):
     df = compared(spark, sf).where(F.col("net_height_m").isNotNull())
     return rounded(ranks.mann_whitney(df, "net_height_m", F.col("v_class") == 1).drop("p_greater"))

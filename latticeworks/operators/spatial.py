@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from latticeworks.functions.rings import let
 from latticeworks.functions.tails import normal_two_sided
 from latticeworks.operators import order
 from latticeworks.operators.regression import ols
@@ -89,20 +90,28 @@ def permuted_position(index: Column, rep: Column, n: int, seed: int) -> Column:
     b = -(-n // a)
 
     def network(v: Column) -> Column:
-        left, right = F.floor(v / b).cast("long"), v % b
+        pair = F.struct(F.floor(v / b).cast("long").alias("l"), (v % b).alias("r"))
         for k in range(FEISTEL_ROUNDS):
             salt = F.lit(seed * 1_000_003 + k)
-            left = F.pmod(left + F.pmod(F.xxhash64(right, rep, salt), F.lit(a)), F.lit(a))
-            right = F.pmod(right + F.pmod(F.xxhash64(left, rep, -salt - 1), F.lit(b)), F.lit(b))
-        return left * b + right
+            pair = let(pair, lambda s: F.struct(
+                F.pmod(s.l + F.pmod(F.xxhash64(s.r, rep, salt), F.lit(a)), F.lit(a)).alias("l"), s.r.alias("r")
+            ))
+            pair = let(pair, lambda s: F.struct(
+                s.l.alias("l"),
+                F.pmod(s.r + F.pmod(F.xxhash64(s.l, rep, -salt - 1), F.lit(b)), F.lit(b)).alias("r"),
+            ))
+        return let(pair, lambda s: s.l * b + s.r)
 
-    steps = F.sequence(F.lit(1), F.lit(WALK_LIMIT))
-    walked = F.aggregate(
-        steps, network(index), lambda v, _: F.when(v < n, v).otherwise(network(v))
-    )
-    return F.when(walked < n, walked).otherwise(
-        F.raise_error(F.lit("permutation walk did not return to range")).cast("long")
-    )
+    def walk(first: Column) -> Column:
+        steps = F.sequence(F.lit(1), F.lit(WALK_LIMIT))
+        further = F.aggregate(steps, first, lambda v, _: F.when(v < n, v).otherwise(network(v)))
+        return F.when(first < n, first).otherwise(further)
+
+    def checked(v: Column) -> Column:
+        lost = F.raise_error(F.lit("permutation walk did not return to range")).cast("long")
+        return F.when(v < n, v).otherwise(lost)
+
+    return let(let(network(index), walk), checked)
 
 
 def permutation_test(
@@ -250,4 +259,4 @@ def _solve_moments(n: int, s, trace: float) -> float:
     for _ in range(100):
         p, q = hi - ratio * (hi - lo), lo + ratio * (hi - lo)
         lo, hi = (lo, q) if loss(p) < loss(q) else (p, hi)
-    return (lo + hi) / 2
+    return float((lo + hi) / 2)
