@@ -62,7 +62,7 @@ SELECT c.grid_id, c.col, c."row", c.cell_area_m2, c.district_id,
 FROM cells c LEFT JOIN basic USING (grid_id) LEFT JOIN ineq USING (grid_id) LEFT JOIN ent USING (grid_id) LEFT JOIN shares USING (grid_id)""")
 def cell_feature_table(spark, sf):
     """Flagship: clean, classify, aggregate and attach to every cell."""
-    features = building_features(B.clean_footprints(spark, sf))
+    features = building_features(B.clean_footprints(spark, sf), cuts_from=B.footprints(spark, sf))
     out = grid_table(B.cells(spark, sf), features)
     return rounded(out)
 

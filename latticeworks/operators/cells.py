@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from latticeworks.functions.scalars import SIZE_CLASSES, clip, ratio, round_even
 from latticeworks.operators import order
+from latticeworks.operators.joins import lookup_join
 
 
-def size_distribution(df: DataFrame, by: Sequence[str], area: str = "area_m2") -> DataFrame:
+def size_distribution(
+    df: DataFrame, by: Sequence[str], area: str = "area_m2", cuts_from: DataFrame | None = None
+) -> DataFrame:
     """Positive areas as a counted, positioned distribution per group."""
-    return order.distribution(df.where(F.col(area) > 0), area, by)
+    return order.distribution(df.where(F.col(area) > 0), area, by, cuts_from=cuts_from)
 
 
 def basic_statistics(area: str = "area_m2") -> dict[str, Column]:
@@ -59,6 +62,18 @@ def class_shares(
     return df.where(F.col(label).isNotNull()).groupBy(*by).agg(*shares)
 
 
+def class_shares_of(area: str = "area_m2", limits: Mapping[str, tuple] | None = None) -> dict[str, Column]:
+    """The same shares as aggregates over a size distribution."""
+    from latticeworks.functions.scalars import PROVISIONAL_LIMITS, size_class
+
+    label, cnt = size_class(area, limits or PROVISIONAL_LIMITS), F.col("cnt").cast("double")
+    known = F.sum(F.when(label != "unknown", cnt))
+    return {
+        f"share_{c}": ratio(F.coalesce(F.sum(F.when(label == c, cnt)), F.lit(0.0)), known)
+        for c in SIZE_CLASSES
+    }
+
+
 def height_volume(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Mean and median of positive heights, total of positive volumes."""
     heights = order.distribution(df.where(F.col("height_m") > 0), "height_m", by)
@@ -110,9 +125,8 @@ def log10_histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()
     """Equal-width histogram of log10(value) between the group's extremes."""
     logged = df.where(F.col(value) > 0).withColumn("_v", F.log10(value))
     if by:
-        # Class labels are few: the extremes table is one row per label.
         limits = logged.groupBy(*by).agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-        placed = logged.join(F.broadcast(limits), list(by))
+        placed = lookup_join(logged, limits, by, "inner")
     else:
         row = logged.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi")).first()
         placed = logged.withColumn("lo", F.lit(row["lo"])).withColumn("hi", F.lit(row["hi"]))

@@ -69,7 +69,7 @@ def _large_star(links: DataFrame) -> DataFrame:
     """Every unit sends its larger neighbours to its smallest neighbour (or itself)."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     best = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    sent = lookup_join(both, best, ["u"], "inner").where("v > u")
+    sent = lookup_join(both, best, ["u"], "inner", probe=False).where("v > u")
     return sent.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
@@ -77,7 +77,7 @@ def _small_star(links: DataFrame) -> DataFrame:
     """Every unit ties its smaller neighbours and itself to the smallest of them."""
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     best = down.groupBy("u").agg(F.min("v").alias("m"))
-    tied = lookup_join(down, best, ["u"], "inner").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    tied = lookup_join(down, best, ["u"], "inner", probe=False).select(F.col("v").alias("u"), F.col("m").alias("v"))
     own = best.select("u", F.col("m").alias("v"))
     return tied.unionByName(own).where("u <> v").distinct()
 

@@ -20,16 +20,19 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 
 
 def lookup_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", salts: int = SALTS
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left",
+    salts: int = SALTS, probe: bool = True,
 ) -> DataFrame:
     """Equi-join of a large, possibly skewed left side to a narrower right side.
 
     The right side is broadcast only after its row count was checked. Beyond
     that the left keys are salted and the right side is repeated once per
     salt, so one hot key is shared by ``salts`` tasks (AQE may split further).
+    Pass ``probe=False`` for a right side that is costly to compute: it is
+    then not counted first, and AQE broadcasts it if it turns out small.
     """
     on = list(on)
-    if is_small(right):
+    if probe and is_small(right):
         return left.join(F.broadcast(right), on, how)
     # The salt is drawn from the whole row, so rows of one key spread out.
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))

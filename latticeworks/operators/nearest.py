@@ -152,18 +152,21 @@ def nearest(
         .groupBy(*group, F.col("qc").alias("_c"), F.col("qr").alias("_r"))
         .agg(F.collect_list(F.struct("_tx", "_ty", "_id", *[f"_a_{a}" for a in attributes])).alias("_cand"))
     )
-    matched = lookup_join(q, candidates, ["_c", "_r"], "left")
+    matched = lookup_join(q, candidates, ["_c", "_r"], "left", probe=False)
     kept = F.col("_cand")
     if exclude_same_key:
         kept = F.filter(kept, lambda c: c["_id"] != F.col(query_key))
-    ranked = F.array_sort(F.transform(kept, lambda c: F.struct(
+    measured = F.transform(kept, lambda c: F.struct(
         F.hypot(c["_tx"] - F.col("_x"), c["_ty"] - F.col("_y")).alias("distance"),
         c["_id"].alias("id"),
         *[c[f"_a_{a}"].alias(a) for a in attributes],
-    )))
-    return matched.select(
-        *queries.columns, *group, F.slice(ranked, 1, k).alias("neighbours")
-    )
+    ))
+    if k == 1:
+        first = F.transform(F.array(measured), lambda m: F.array_min(m))
+        best = F.filter(first, lambda b: b.isNotNull())
+    else:
+        best = F.slice(F.array_sort(measured), 1, k)
+    return matched.select(*queries.columns, *group, best.alias("neighbours"))
 
 
 def nearest_one(queries: DataFrame, targets: DataFrame, query_key: str, target_key: str,

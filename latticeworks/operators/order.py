@@ -32,12 +32,16 @@ def value_cuts(df: DataFrame, value: str, ranges: int | None = None) -> list[flo
 
 
 def with_range(df: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:
-    """Add the value-range number, a fixed function of the value."""
+    """Add the value-range number, a fixed function of the value.
+
+    The number is never null, so joins on it add no null filter and branches
+    over one ranged frame keep sharing its exchange.
+    """
     splits = [float("-inf"), *cuts, float("inf")]
     return (
         Bucketizer(splits=splits, inputCol=value, outputCol=RANGE, handleInvalid="keep")
         .transform(df)
-        .withColumn(RANGE, F.col(RANGE).cast("int"))
+        .withColumn(RANGE, F.coalesce(F.col(RANGE).cast("int"), F.lit(-1)))
     )
 
 
@@ -47,9 +51,14 @@ def distribution(
     by: Sequence[str] = (),
     payload: Mapping[str, Column] | None = None,
     ranges: int | None = None,
+    cuts_from: DataFrame | None = None,
 ) -> DataFrame:
     """One row per distinct (group, value), with exact positions.
 
+    ``cuts_from`` may name a cheaper frame with about the same values (such as
+    the input before a de-duplication); it only steers the balance of tasks,
+    never the result.
+
     Columns: the group, ``value``, ``cnt``, any payload aggregates, ``before``
     and ``sum_before`` (rows and value total below it in the group), and the
     group's ``n``, ``total``, ``vmin``, ``vmax``. Null values and null group
@@ -57,7 +66,8 @@ def distribution(
     """
     by = list(by)
     kept = df.withColumn(value, F.col(value).cast("double")).na.drop(subset=[value, *by])
-    ranged = with_range(kept, value, value_cuts(kept, value, ranges))
+    cuts = value_cuts(kept if cuts_from is None else cuts_from, value, ranges)
+    ranged = with_range(kept, value, cuts)
     distinct = ranged.groupBy(*by, RANGE, value).agg(
         F.count(F.lit(1)).alias("cnt"), *[c.alias(k) for k, c in (payload or {}).items()]
     )
@@ -160,6 +170,26 @@ def log_entropy(dist: DataFrame, value: str, by: Sequence[str], bins: int, cap_a
     )
 
 
+def binned_entropy(value: str, bins: int) -> Column:
+    """The same entropy as one aggregate, with min(bins, n) bins per group.
+
+    One conditional count per bin, so it shares the pass of other statistics.
+    """
+    k = F.least(F.lit(bins), F.col("n"))
+    lo, hi = F.log("vmin"), F.log("vmax")
+    place = F.floor((F.log(value) - lo) * k / (hi - lo))
+    index = F.when(hi > lo, F.least(place, k - 1)).otherwise(F.lit(0))
+    counts = F.array(*[
+        F.coalesce(F.sum(F.when(index == b, F.col("cnt"))), F.lit(0)) for b in range(bins)
+    ])
+    n = F.max("n")
+    total = F.aggregate(
+        F.transform(counts, lambda c: F.when(c > 0, c / n * F.log2(c / n)).otherwise(0.0)),
+        F.lit(0.0), lambda a, t: a + t,
+    )
+    return F.when(n >= 2, -total + F.lit(0.0))
+
+
 def quantiles(
     df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = ()
 ) -> DataFrame:

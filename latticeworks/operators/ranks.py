@@ -25,7 +25,9 @@ def rank_pairs(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> Da
     pairs = both.groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("c"))
     rx = order.distribution(both, "_x", by).select(*by, "_x", order.average_rank().alias("rx"))
     ry = order.distribution(both, "_y", by).select(*by, "_y", order.average_rank().alias("ry"))
-    return lookup_join(lookup_join(pairs, rx, [*by, "_x"], "inner"), ry, [*by, "_y"], "inner")
+    return lookup_join(
+        lookup_join(pairs, rx, [*by, "_x"], "inner", probe=False), ry, [*by, "_y"], "inner", probe=False
+    )
 
 
 def weighted_corr(x: Column, y: Column, w: Column) -> Column:

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticeworks.functions.scalars import PROVISIONAL_LIMITS, size_class
 from latticeworks.operators import cells, joins, order
 
 MIN_CONFIDENCE = 0.65
@@ -20,21 +17,21 @@ def clean_footprints(
     return joins.keep_first(raw.where(F.col("confidence") >= min_confidence), duplicate_key, order_by)
 
 
-def building_features(footprints: DataFrame, key: str = "grid_id") -> DataFrame:
+def building_features(
+    footprints: DataFrame, key: str = "grid_id", cuts_from: DataFrame | None = None
+) -> DataFrame:
     """Size, inequality, entropy and class mix per cell.
 
-    All size columns come from one counted distribution, so the cells are
-    ordered once whatever the number of statistics.
+    All columns are aggregates over one counted distribution: the cells are
+    ordered once, and one map-side combined pass yields every statistic.
     """
-    dist = cells.size_distribution(footprints, [key])
-    sizes = cells.statistics(dist, [key], {**cells.basic_statistics(), **cells.inequality()})
-    entropy = order.log_entropy(dist, "area_m2", [key], 20, cap_at_n=True).withColumnRenamed(
-        "entropy", "building_area_entropy"
-    )
-    labelled = footprints.withColumn("size_class", size_class("area_m2", PROVISIONAL_LIMITS))
-    return reduce(
-        lambda a, b: a.join(b, key, "full"), [sizes, entropy, cells.class_shares(labelled, [key])]
-    )
+    dist = cells.size_distribution(footprints, [key], cuts_from=cuts_from)
+    return cells.statistics(dist, [key], {
+        **cells.basic_statistics(),
+        **cells.inequality(),
+        "building_area_entropy": order.binned_entropy("area_m2", 20),
+        **cells.class_shares_of("area_m2"),
+    })
 
 
 def grid_table(grid: DataFrame, features: DataFrame, key: str = "grid_id") -> DataFrame:
