@@ -94,8 +94,10 @@ def nearest(
         })
 
     q, t = tiled(q), tiled(t)
-    q_leaf = q.where(F.col("_c").isNotNull()).select("_c", "_r").distinct()
-    t_leaf = t.groupBy(*group, "_c", "_r").agg(F.count(F.lit(1)).alias("n"))
+    # Every level starts from these two tile tables, so the query and target
+    # rows are read once for the whole descent.
+    q_leaf = checkpointed(q.where(F.col("_c").isNotNull()).select("_c", "_r").distinct())
+    t_leaf = checkpointed(t.groupBy(*group, "_c", "_r").agg(F.count(F.lit(1)).alias("n")))
 
     def level_tiles(level: int) -> tuple[DataFrame, DataFrame]:
         shift = 2 ** (depth - level)

@@ -37,6 +37,8 @@ def with_range(df: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:
     The number is never null, so joins on it add no null filter and branches
     over one ranged frame keep sharing its exchange.
     """
+    if not cuts:
+        return df.withColumn(RANGE, F.lit(0))
     splits = [float("-inf"), *cuts, float("inf")]
     return (
         Bucketizer(splits=splits, inputCol=value, outputCol=RANGE, handleInvalid="keep")
