@@ -149,11 +149,11 @@ def block_counts(spark, sf):
 
 def _rectangle(spark, sf):
     e = B.footprints(spark, sf).agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
-    x0, y0, x1, y1 = e[0] + 130, e[1] + 260, e[2] + 90, e[3] + 45
+    x0, y0, x1, y1 = e[0] - 130, e[1] - 260, e[2] + 90, e[3] + 45
     return [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
 
 
-@query(f"""{FP}, e AS (SELECT min(x)+130 AS x0, min(y)+260 AS y0, max(x)+90 AS x1, max(y)+45 AS y1 FROM fp),
+@query(f"""{FP}, e AS (SELECT min(x)-130 AS x0, min(y)-260 AS y0, max(x)+90 AS x1, max(y)+45 AS y1 FROM fp),
  c AS (SELECT unnest(range(0, CAST(ceil((x1 - floor(x0/500)*500)/500) AS BIGINT))) AS col, * FROM e),
  k AS (SELECT col, unnest(range(0, CAST(ceil((y1 - floor(y0/500)*500)/500) AS BIGINT))) AS rw, x0, y0, x1, y1 FROM c),
  b AS (SELECT *, floor(x0/500)*500 + col*500 AS l, floor(y0/500)*500 + rw*500 AS d FROM k),
@@ -211,7 +211,7 @@ def parent_disaggregation(spark, sf):
 @query(f"""{FP}, d AS (SELECT s_suppkey AS district_id, 'D' || s_nationkey AS district_name, 1000.0*(s_suppkey % 10) + 100.37 AS x0, 1000.0*(s_suppkey // 10) + 80.21 AS y0,
   700.13 + (s_suppkey % 4)*250 AS side FROM supplier),
  h AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, d.district_id, d.district_name,
-  row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey ORDER BY d.district_id) AS rn
+  row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate ORDER BY d.district_id) AS rn
   FROM fp LEFT JOIN d ON (x - x0) + (y - y0) < side AND x > x0 AND y > y0)
 SELECT district_id, any_value(district_name) AS district_name, count(*) AS n FROM h WHERE rn = 1 GROUP BY district_id""")
 def point_in_region_join(spark, sf):
@@ -222,8 +222,8 @@ def point_in_region_join(spark, sf):
     tri = F.array(R.point(x0, y0), R.point(x0 + side, y0), R.point(x0, y0 + side), R.point(x0, y0))
     regions = B.table(spark, sf, "supplier").select(
         s.alias("district_id"), F.concat(F.lit("D"), F.col("s_nationkey").cast("string")).alias("district_name"), tri.alias("ring"))
-    pts = B.footprints(spark, sf).select(*B.ROW_KEY[:4], "x", "y")
-    hits = joins.locate(pts, regions, B.ROW_KEY[:4], 500.0, first_by="district_id")
+    pts = B.footprints(spark, sf).select(*B.ROW_KEY, "x", "y")
+    hits = joins.locate(pts, regions, B.ROW_KEY, 500.0, first_by="district_id")
     return hits.groupBy("district_id").agg(F.max("district_name").alias("district_name"), F.count(F.lit(1)).alias("n"))
 
 
@@ -253,8 +253,8 @@ POI_SQL = f"""poi AS (SELECT s_suppkey AS poi_id, {lookups.POI_CATEGORIES!r}[s_n
  1000.0*(s_suppkey % 10) + 300 + s_suppkey*37 % 400 AS px, 1000.0*(s_suppkey // 10) + 250 + s_suppkey*53 % 450 AS py FROM supplier)"""
 
 
-@query(f"""{FP}, {POI_SQL}, c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, poi_id, poi_type, sqrt(pow(x-px, 2) + pow(y-py, 2)) AS d FROM fp, poi),
- m AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, arg_min(poi_type, (d, poi_id)) AS nearest_poi_type, min(d) AS d FROM c GROUP BY ALL)
+@query(f"""{FP}, {POI_SQL}, c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, poi_id, poi_type, sqrt(pow(x-px, 2) + pow(y-py, 2)) AS d FROM fp, poi),
+ m AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, arg_min(poi_type, (d, poi_id)) AS nearest_poi_type, min(d) AS d FROM c GROUP BY ALL)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, nearest_poi_type, {r('d', 3)} AS nearest_poi_dist_m FROM m""")
 def nearest_poi(spark, sf):
     """Distance and type of the nearest point of interest for every footprint."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from latticeworks.functions import rings
 from latticeworks.functions.scalars import round_even
 from latticeworks.operators import order
+from latticeworks.session import checkpointed
 
 KEY_STRIDE = 2000
 
@@ -99,12 +100,10 @@ def fishnet(
     part = F.when(F.col("_edge"), rings.clip_to_box(ring, left, low, left + size, low + size)).when(
         centre_in, square
     )
-    kept = (
-        marked.withColumn("ring", part)
-        .where(F.size("ring") > 3)
-        .withColumn("cell_area_m2", rings.ring_area(F.col("ring")))
-        .where(F.col("cell_area_m2") > 0)
-    )
+    # The grid is a durable product and numbering reads it several times, so
+    # the clipped cells are written once.
+    shaped = checkpointed(marked.select("col", "row", part.alias("ring")).where(F.size("ring") > 3))
+    kept = shaped.withColumn("cell_area_m2", rings.ring_area(F.col("ring"))).where("cell_area_m2 > 0")
     cx, cy = rings.ring_centroid(F.col("ring"))
     numbered = order.ordinals(
         kept.withColumn("_key", F.col("col") * n_rows + F.col("row")), "_key", "_ord"

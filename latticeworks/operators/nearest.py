@@ -136,8 +136,8 @@ def nearest(
         )
 
     qs, ts = level_tiles(0)
-    # Level 0 is one query tile and one target tile per group.
-    pairs = ts.select(*group, F.lit(0).cast("long").alias("qc"), F.lit(0).cast("long").alias("qr"), "tc", "tr")
+    # Level 0 is tile (0, 0) on both sides, once per group.
+    pairs = ts.select(*group, F.col("tc").alias("qc"), F.col("tr").alias("qr"), "tc", "tr")
     for level in range(1, depth + 1):
         qs, ts = level_tiles(level)
         old = pairs.withColumnsRenamed({"qc": "qpc", "qr": "qpr", "tc": "tpc", "tr": "tpr"})
