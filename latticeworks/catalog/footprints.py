@@ -294,10 +294,10 @@ def quality_funnel(spark, sf):
 
 
 @query(f"""{CLEAN} SELECT count(*) AS n, count(DISTINCT l_orderkey || '-' || l_linenumber) AS n_ids,
- 'gob_00000000' AS first_id, printf('gob_%08d', count(*)-1) AS last_id FROM clean""")
+ 'fp_00000000' AS first_id, printf('fp_%08d', count(*)-1) AS last_id FROM clean""")
 def stable_row_ids(spark, sf):
     """Zero-padded ordinals without gaps over the cleaned footprints."""
-    out = order.stable_ids(B.clean_footprints(spark, sf), B.ROW_KEY, "building_id", "gob_%08d")
+    out = order.stable_ids(B.clean_footprints(spark, sf), B.ROW_KEY, "building_id", "fp_%08d")
     return out.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("building_id").alias("n_ids"),
                    F.min("building_id").alias("first_id"), F.max("building_id").alias("last_id"))
 
