@@ -72,16 +72,21 @@ class Words:
         if not len(self.start):
             return np.zeros(0, U)
         end = self.end if length is None else np.minimum(self.end, self.start + length)
-        size = end - self.start
-        total = np.cumsum(size)
-        step = np.ones(total[-1], np.int64)
-        step[0] = self.start[0]
-        step[total[:-1]] = self.start[1:] - end[:-1] + 1
-        at = np.cumsum(step)  # places of all word bytes
-        head = total - size
-        place = np.arange(total[-1]) - np.repeat(head, size)
-        terms = (self.buf[at].astype(U) + U(1)) * _power_table(int(size.max()))[place]
-        return mix(np.add.reduceat(terms, head) + size.astype(U))
+        return hash_spans(self.buf, self.start, end)
+
+
+def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each non-empty span of bytes; spans are in order and don't overlap."""
+    size = end - start
+    total = np.cumsum(size)
+    step = np.ones(total[-1], np.int64)
+    step[0] = start[0]
+    step[total[:-1]] = start[1:] - end[:-1] + 1
+    at = np.cumsum(step)  # places of all the spans' bytes
+    head = total - size
+    place = np.arange(total[-1]) - np.repeat(head, size)
+    terms = (buf[at].astype(U) + U(1)) * _power_table(int(size.max()))[place]
+    return mix(np.add.reduceat(terms, head) + size.astype(U))
 
 
 def window_sums(words: np.ndarray, width: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
