@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from latticeworks.llm import language, toxicity
 from latticeworks.llm.common import held_out, table
+from latticeworks.llm.decontamination import matches
 from latticeworks.llm.exact_dedup import deduplicate
+from latticeworks.llm.licenses import TEMPLATES, scan
+from latticeworks.llm.line_dedup import remove_boilerplate
 from latticeworks.llm.packing import pack
 from latticeworks.llm.simhash import near_duplicates
 from latticeworks.llm.substring_dedup import remove_repeats
@@ -84,3 +87,60 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2, size=4096)
+
+
+@query("""
+WITH l AS (
+    SELECT doc_id, source, generate_subscripts(parts, 1) AS pos, unnest(parts) AS raw
+    FROM (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL)
+), k AS (SELECT *, trim(replace(replace(raw, chr(9), ' '), chr(13), ' '), ' ') AS line FROM l),
+spread AS (
+    SELECT line, min(row(doc_id, pos)) AS first FROM k WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 10
+), m AS (
+    SELECT k.doc_id, k.pos, k.raw, spread.line IS NOT NULL AND row(k.doc_id, k.pos) <> spread.first AS gone
+    FROM k LEFT JOIN spread USING (line)
+), r AS (
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+        coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept
+    FROM m GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(kept) AS kept_sha256
+FROM documents d LEFT JOIN r USING (doc_id)
+""")
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_boilerplate(table(spark, sf_dir, "documents"), min_sites=10)
+    return found.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+def _templates_sql() -> str:
+    rows = ", ".join("('" + name + "', '" + body.replace("'", "''") + "')" for name, body in TEMPLATES)
+    return f"(VALUES {rows}) AS t(license, body)"
+
+
+_WORDS = "string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'), ' '), ' ')"
+_BIGRAMS = "list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))])"
+
+
+@query(f"""
+WITH t AS (SELECT license, {_BIGRAMS} AS g FROM (SELECT license, {_WORDS.format('body')} AS w FROM {_templates_sql()})),
+p AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+u AS (
+    SELECT doc_id, generate_subscripts(parts, 1) - 1 AS line_no, unnest(parts) AS unit FROM p
+    UNION ALL SELECT doc_id, -1, text FROM p WHERE len(parts) > 1
+), g AS (SELECT doc_id, line_no, {_BIGRAMS} AS a FROM (SELECT doc_id, line_no, {_WORDS.format('unit')} AS w FROM u) WHERE len(w) > 1),
+s AS (
+    SELECT doc_id, line_no, license, len(list_intersect(x.a, t.g)) * 2.0::DOUBLE / (len(x.a) + len(t.g)) AS dice
+    FROM g AS x CROSS JOIN t
+)
+SELECT doc_id, line_no::INTEGER AS line_no, min(license) AS license, dice
+FROM (SELECT *, max(dice) OVER (PARTITION BY doc_id, line_no) AS top FROM s) WHERE dice = top AND dice >= 0.8
+GROUP BY ALL
+""")
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"), least=0.8)
+
+
+@query()
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.6, overlap=0.8)
+    return found.select("doc_id", "item_id", "score", "shingle_overlap", "question_overlap", "answer_overlap")
