@@ -4,7 +4,7 @@ A text is the set of its n-grams of 1 to 4 bytes (ASCII letters lowered; other A
 space, runs of it as one), hashed to 2^16 places. k(x, z) = |x and z| / sqrt(|x| |z|). With landmarks
 Z, features are k(x, Z) K(Z, Z)^-1/2; ridge regression on them per language (target 1, else -1)
 folds into one matrix, so that scoring is presence x landmarks x coefficients, batch by batch.
-Fitted on at most ``max_rows`` rows, equally many per language; every whole text is scored.
+Fitted on a bounded sample, equally many rows per language; every whole text is scored.
 """
 
 from __future__ import annotations
@@ -54,10 +54,8 @@ def presence(texts: pa.LargeBinaryArray) -> np.ndarray:
     return out
 
 
-def _kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    a, b = a.astype(np.float32), b.astype(np.float32)
-    norm = np.sqrt(np.maximum(a.sum(1), 1))[:, None] * np.sqrt(np.maximum(b.sum(1), 1))[None, :]
-    return (a @ b.T / norm).astype(np.float64)
+def _sizes(packed: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(np.bitwise_count(packed).sum(1, dtype=np.int64), 1)).astype(np.float32)
 
 
 @dataclass
@@ -73,10 +71,7 @@ class Model:
         names, scores = [], []
         for at in range(0, len(texts), 128):
             part = texts.slice(at, 128)
-            seen = presence(part)
-            size = np.sqrt(np.maximum(np.count_nonzero(seen, axis=1), 1))[:, None]
-            kernel = seen[:, self.places].astype(np.float32) @ self.landmarks / size
-            value = kernel @ self.coefficients
+            value = _kernel(presence(part), self.places, self.landmarks) @ self.coefficients if len(self.languages) else np.zeros((len(part), 0))
             best = value.argmax(1) if len(self.languages) else np.zeros(len(part), int)
             for i, text in enumerate(part):
                 if not len(self.languages) or not _has_letter(text.as_py()):
@@ -92,57 +87,109 @@ def _has_letter(text: bytes) -> bool:
     return any(c.isalpha() for c in text.decode("utf-8", "ignore"))
 
 
-def fit(seen: np.ndarray, lang: list[str], landmarks_per_language: int = 16, ridge: float = 1e-2) -> Model:
-    """``seen``: presence rows of the sample, ``lang`` their languages."""
-    languages = sorted(set(lang))
-    target = np.array([[1.0 if x == y else -1.0 for y in languages] for x in lang]).reshape(len(lang), len(languages))
-    of = np.array([languages.index(x) for x in lang], int)
-    marks = np.concatenate([np.flatnonzero(of == k)[:landmarks_per_language] for k in range(len(languages))] or [np.zeros(0, int)])
-    z = seen[marks]
-    values, vectors = np.linalg.eigh(_kernel(z, z)) if len(z) else (np.zeros(0), np.zeros((0, 0)))
-    root = vectors * np.where(values > 1e-8, 1 / np.sqrt(np.maximum(values, 1e-8)), 0.0)
-    x = _kernel(seen, z) @ root
-    beta = np.linalg.solve(x.T @ x + ridge * len(x) * np.eye(x.shape[1]), x.T @ target) if len(z) else np.zeros((0, len(languages)))
+def _landmarks(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places that occur, landmarks as columns scaled by their size)."""
+    z = np.unpackbits(packed, axis=1)
     places = np.flatnonzero(z.any(0))
-    scaled = z[:, places].astype(np.float32) / np.sqrt(np.maximum(z.sum(1), 1)).astype(np.float32)[:, None]
-    return Model(languages, places, np.ascontiguousarray(scaled.T), (root @ beta).astype(np.float32))
+    return places, np.ascontiguousarray((z[:, places] / _sizes(packed)[:, None]).astype(np.float32).T)
 
 
-def train(docs: DataFrame, max_rows: int = 2000, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Fit on up to ``max_rows / languages`` rows of each language, those whose key hashes lowest.
+def _kernel(seen: np.ndarray, places: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
+    size = np.sqrt(np.maximum(np.count_nonzero(seen, axis=1), 1)).astype(np.float32)[:, None]
+    return seen[:, places].astype(np.float32) @ landmarks / size
+
+
+def _cholesky(a: np.ndarray) -> np.ndarray:
+    low = np.zeros_like(a)
+    for j in range(len(a)):
+        column = a[j:, j] - (low[j:, :j] * low[j, :j]).sum(1)
+        low[j:, j] = column / np.sqrt(max(column[0], 1e-12))
+    return low
+
+
+def _inverse(low: np.ndarray) -> np.ndarray:
+    """Inverse of a lower triangle."""
+    out = np.zeros_like(low)
+    for i in range(len(low)):
+        row = -(low[i, :i, None] * out[:i]).sum(0)
+        row[i] += 1.0
+        out[i] = row / low[i, i]
+    return out
+
+
+def solve(kernel: np.ndarray, lang: list[str], languages: list[str], between: np.ndarray, ridge: float = 1e-2, jitter: float = 1e-4) -> np.ndarray:
+    """Coefficients over landmarks: ridge regression on Nystroem features kernel @ B, where
+    B B' is the inverse of the landmarks' kernel (its inverse Cholesky factor; any root gives the
+    same predictions). A small problem, so plain loops; no linear algebra library is called."""
+    root = _inverse(_cholesky(between + jitter * np.eye(len(between)))).T
+    x = np.einsum("ij,jk->ik", kernel.astype(float), root)
+    target = np.where(np.array(lang)[:, None] == np.array(languages), 1.0, -1.0)
+    half = _inverse(_cholesky(np.einsum("ij,ik->jk", x, x) + ridge * len(x) * np.eye(x.shape[1])))
+    beta = np.einsum("ji,jk->ik", half, np.einsum("ij,jk->ik", half, np.einsum("ij,ik->jk", x, target)))
+    return np.einsum("ij,jk->ik", root, beta).astype(np.float32)
+
+
+def train(docs: DataFrame, max_rows: int = 4000, landmarks: int = 64, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+    """Fit on about ``max_rows / languages`` rows of each language and ``landmarks / languages`` (one
+    at least) landmarks, those whose key hashes lowest; both bounds hold for any number of rows.
 
     Held-out keys, null languages, null texts and texts without a letter are not learnt from. Without
     any row every prediction is ``und``.
     """
     usable = docs.select(F.col(key).alias("k"), F.col(text).alias("x"), F.col(lang).alias("l")).where("l IS NOT NULL AND x IS NOT NULL").where(~held_out("k"))
     counts = {r.l: r.n for r in usable.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    nothing = Model([], np.zeros(0, int), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32))
     if not counts:
-        return fit(np.zeros((0, PLACES), bool), [])
-    each = max(1, max_rows // len(counts))
-    # A hash below the language's share: about twice the rows asked for, cut to the lowest hashes.
-    share = F.create_map(*[x for name, n in counts.items() for x in (F.lit(name), F.lit(min(1.0, 2.0 * each / n)))])
-    drawn = usable.withColumn("h", F.xxhash64("k", F.lit(7))).where((F.col("h") / 2.0**64 + 0.5) < share[F.col("l")])
+        return nothing
 
-    def run(batches):
+    def drawn(each: int) -> DataFrame:
+        """Rows below the hash that lets about ``each`` rows of a language through."""
+        share = F.create_map(*[x for name, n in counts.items() for x in (F.lit(name), F.lit(min(1.0, each / n)))])
+        return usable.withColumn("h", F.xxhash64("k", F.lit(7))).where((F.col("h") / 2.0**64 + 0.5) < share[F.col("l")])
+
+    def bits(batches):
+        for batch in batches:
+            for first, texts in slices(batch, "x"):
+                for at in range(0, len(texts), 128):
+                    some = texts.slice(at, 128)
+                    rows = pa.array([i for i, t in enumerate(some) if _has_letter(t.as_py())], pa.int64())
+                    seen = np.packbits(presence(some.take(rows)), axis=1)
+                    yield pa.RecordBatch.from_pydict({
+                        "l": batch.column("l").slice(first + at, len(some)).take(rows), "h": batch.column("h").slice(first + at, len(some)).take(rows),
+                        "seen": pa.array([x.tobytes() for x in seen], pa.binary()),
+                    })
+
+    each = max(1, landmarks // len(counts))
+    marks: dict[str, list] = {}
+    for r in in_tasks(drawn(4 * each), bits, "l string, h long, seen binary").orderBy("h", "l", "seen").limit(8 * each * len(counts)).collect():
+        own = marks.setdefault(r.l, [])
+        if len(own) < each:
+            own.append(np.frombuffer(bytes(r.seen), np.uint8))
+    if not marks:
+        return nothing
+    packed = np.array([x for name in sorted(marks) for x in marks[name]])
+    places, columns = _landmarks(packed)
+
+    def kernels(batches):
         for batch in batches:
             for first, texts in slices(batch, "x"):
-                letters = [_has_letter(t.as_py()) for t in texts]
                 for at in range(0, len(texts), 128):
-                    seen = np.packbits(presence(texts.slice(at, 128)), axis=1)
-                    rows = [i for i in range(len(seen)) if letters[at + i]]
+                    some = texts.slice(at, 128)
+                    rows = [i for i, t in enumerate(some) if _has_letter(t.as_py())]
+                    values = _kernel(presence(some), places, columns)[rows]
                     yield pa.RecordBatch.from_pydict({
-                        "l": batch.column("l").slice(first + at, len(seen)).take(pa.array(rows, pa.int64())),
-                        "h": batch.column("h").slice(first + at, len(seen)).take(pa.array(rows, pa.int64())),
-                        "seen": pa.array([seen[i].tobytes() for i in rows], pa.binary()),
+                        "l": batch.column("l").slice(first + at, len(some)).take(pa.array(rows, pa.int64())),
+                        "h": batch.column("h").slice(first + at, len(some)).take(pa.array(rows, pa.int64())),
+                        "row": pa.array(values.tolist(), pa.list_(pa.float32())),
                     })
 
-    sample: dict[str, list] = {}
-    for r in in_tasks(drawn, run, "l string, h long, seen binary").orderBy("h", "l", "seen").limit(4 * max_rows).collect():
-        rows = sample.setdefault(r.l, [])
-        if len(rows) < each:
-            rows.append(np.unpackbits(np.frombuffer(bytes(r.seen), np.uint8)).astype(bool))
-    names = [name for name in sorted(sample) for _ in sample[name]]
-    return fit(np.array([x for name in sorted(sample) for x in sample[name]]).reshape(-1, PLACES), names)
+    sample = in_tasks(drawn(max(1, max_rows // len(counts))), kernels, "l string, h long, row array<float>").orderBy("h", "l", "row").limit(2 * max_rows).collect()
+    sample = [r for r in sample if r.l in marks]
+    bits_of = np.unpackbits(packed, axis=1)[:, places].astype(np.float32)
+    between = np.einsum("ij,jk->ik", bits_of, columns) / _sizes(packed)[:, None]
+    languages = sorted(marks)
+    coefficients = solve(np.array([r.row for r in sample]).reshape(len(sample), len(packed)), [r.l for r in sample], languages, between.astype(float))
+    return Model(languages, places, columns, coefficients)
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -59,10 +59,10 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, key: str = "doc_id"
     spread = stored(spread_lines(lines, min_sites), "boilerplate")
     place = F.struct("key", "t1", "t2", "at")
     out = join_groups(lines, spread, "line", "n", total).where(~place.eqNullSafe(F.col("first")))
-    out = out.groupBy("key", "t1", "t2").agg(F.collect_set("at").alias("__out"))
+    out = out.groupBy(F.col("key").alias("__k"), F.col("t1").alias("__u1"), F.col("t2").alias("__u2")).agg(F.collect_set("at").alias("__out"))
     asked = docs.select(*[F.col(c) for c in columns], F.col(key).alias("__key"), F.xxhash64(text).alias("__t1"), F.xxhash64(F.lit(1), text).alias("__t2"))
-    joined = asked.join(out, F.col("__key").eqNullSafe(F.col("key")) & (F.col("__t1") == out.t1) & (F.col("__t2") == out.t2), "left")
-    joined = joined.select(*[asked[c] for c in columns], "__out")
+    joined = asked.join(out, F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__t1") == F.col("__u1")) & (F.col("__t2") == F.col("__u2")), "left")
+    joined = joined.select(*[F.col(c) for c in columns], "__out")
 
     def run(batches):
         for batch in batches:

@@ -137,19 +137,35 @@ def links(fps: DataFrame, reach: int = 2, crowd: int = 64) -> DataFrame:
     return pairs.unionByName(ties)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = 2, shingle: int = 3, crowd: int = 64) -> DataFrame:
-    """(key, fp, component_id, place) of every row.
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = 2, shingle: int = 3, crowd: int = 64, place: str | None = None) -> DataFrame:
+    """(key, fp, component_id, kept, place) of every row.
 
     component_id is the smallest key of the rows whose fingerprints are linked to this one, itself
     included (null keys are passed over; null if there is no other). Equal fingerprints are linked,
-    that of empty and null texts (0) too. ``place`` tells rows with equal keys apart. Other columns
-    are ignored; an empty table gives an empty result.
+    that of empty and null texts (0) too. ``kept`` marks one row of each component: smallest key, null
+    last, of equal keys the smallest place. ``place`` names a column that tells rows apart, else one is
+    made. Other columns are ignored; an empty table gives an empty result.
     """
-    rows = stored(fingerprints(docs, [key], text, shingle).withColumn("place", F.monotonically_increasing_id()), "fingerprints")
-    nodes = stored(rows.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
+    if place is None:
+        rows = fingerprints(docs, [key], text, shingle).withColumnRenamed(key, "key").withColumn("place", F.monotonically_increasing_id())
+    else:
+        rows = fingerprints(docs, [key, place], text, shingle).withColumnRenamed(key, "key").withColumnRenamed(place, "place")
+    rows = stored(rows, "fingerprints")
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "place")).alias("first")
+    nodes = stored(rows.groupBy("fp").agg(first, F.count(F.lit(1)).alias("n")), "nodes")
     total = rows.count()
     found = components(links(nodes.select("fp"), reach, crowd))
     labelled = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    lowest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    groups = stored(labelled.join(lowest, "label").select("fp", "n", "component_id"), "components")
-    return join_groups(rows, groups, "fp", "n", total).select(key, "fp", "component_id", "place")
+    lowest = labelled.groupBy("label").agg(F.min("first").alias("lowest"))
+    groups = stored(labelled.join(lowest, "label").select("fp", "n", F.col("lowest.key").alias("component_id"), F.col("lowest.place").alias("keeper")), "components")
+    return join_groups(rows, groups, "fp", "n", total).select(
+        F.col("key").alias(key), "fp", "component_id", (F.col("place") == F.col("keeper")).alias("kept"), "place"
+    )
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = 2, shingle: int = 3) -> DataFrame:
+    """One row of each group of near duplicates (see ``near_duplicates``), all columns unchanged."""
+    placed = stored(docs.withColumn("__place", F.monotonically_increasing_id()), "placed")
+    found = near_duplicates(placed, key, text, reach, shingle, place="__place")
+    gone = found.where(~F.col("kept")).select(F.col("place").alias("__place"))
+    return placed.join(gone, "__place", "left_anti").drop("__place")
