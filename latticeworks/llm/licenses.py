@@ -34,7 +34,7 @@ TEMPLATES = [
 
 
 def words_of(text: str) -> list[str]:
-    """What ``_words`` makes of a text, for the templates."""
+    """A template's words, by the rule the units follow."""
     return "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in text.lower()).split()
 
 
@@ -43,8 +43,9 @@ def bigrams_of(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
-def _words(text: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ")
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once a row, however often it is used above (also in lambdas)."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -56,24 +57,26 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least:
     null keys stay null. An empty table or no template gives an empty result.
     """
     known = [(name, grams) for name, body in (TEMPLATES if templates is None else templates) if (grams := bigrams_of(body))]
-    lines = F.split(F.col(text), "\n")
-    units = F.when(F.size(lines) > 1, F.concat(lines, F.array(F.col(text)))).otherwise(lines)
-    split = docs.select(F.col(key).alias("key"), F.size(lines).alias("n"), F.posexplode(units).alias("at", "unit"))
-    split = split.select("key", F.when(F.col("at") < F.col("n"), F.col("at")).otherwise(-1).alias("line_no"), _words("unit").alias("w"))
     down, up = least / (2 - least), (2 - least) / least
     smallest = min((len(g) for _, g in known), default=1) * down
-    sized = split.where(F.size("w") >= max(2, smallest))
     longest = max((len(g) for _, g in known), default=0) * up
+    plain = docs.select(F.col(key).alias("key"), F.regexp_replace(F.lower(F.col(text)), "[^a-z0-9\n]+", " ").alias("plain"))
+    lines = _once(plain, "lines", F.split("plain", "\n"))
+    whole = F.when(F.size("lines") > 1, F.array(F.regexp_replace("plain", "\n", " ")))
+    units = F.concat("lines", F.coalesce(whole, F.expr("CAST(array() AS array<string>)")))
+    split = lines.select("key", F.size("lines").alias("n"), F.posexplode(F.transform(units, lambda x: F.filter(F.split(x, " "), lambda y: y != ""))).alias("at", "w"))
+    split = split.select("key", F.when(F.col("at") < F.col("n"), F.col("at")).otherwise(-1).alias("line_no"), "w")
     # Distinct bigrams are no more than pairs, so only the lower bound holds before they are built.
-    a = F.array_distinct(F.transform(F.slice("w", 1, F.size("w") - 1), lambda x, i: F.concat(x, F.lit(" "), F.element_at(F.col("w"), (i + 2).cast("int")))))
-    grams = sized.withColumn("a", a).withColumn("s", F.size("a")).where((F.col("s") >= smallest) & (F.col("s") <= longest))
+    sized = split.where(F.size("w") >= max(2, smallest + 1))
+    tail = F.slice("w", 2, F.size("w") - 1)
+    pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), tail, lambda x, y: F.concat(x, F.lit(" "), y))
+    grams = _once(sized, "a", F.array_distinct(pairs)).withColumn("s", F.size("a")).where((F.col("s") >= smallest) & (F.col("s") <= longest))
     table = F.array(*[
         F.struct(F.lit(name).alias("name"), F.lit(len(g)).alias("b"), F.array(*map(F.lit, g)).alias("grams")) for name, g in known
     ]) if known else F.expr("CAST(array() AS array<struct<name string, b int, grams array<string>>>)")
     fitting = F.filter(table, lambda t: (F.col("s") >= t["b"] * down - 1e-9) & (F.col("s") <= t["b"] * up + 1e-9))
     scored = F.transform(fitting, lambda t: F.struct(
         (F.size(F.array_intersect(F.col("a"), t["grams"])) * 2.0 / (F.col("s") + t["b"])).alias("dice"), t["name"].alias("name")))
-    best = grams.withColumn("t", scored).withColumn("top", F.array_max(F.transform("t", lambda x: x["dice"])))
-    best = best.where(F.col("top") >= least)
+    best = _once(_once(grams, "t", scored), "top", F.array_max(F.transform("t", lambda x: x["dice"]))).where(F.col("top") >= least)
     name = F.array_min(F.transform(F.filter("t", lambda x: x["dice"] == F.col("top")), lambda x: x["name"]))
     return best.select(F.col("key").alias(key), "line_no", name.alias("license"), F.col("top").alias("dice"))
