@@ -105,13 +105,14 @@ def covariate_assembly(spark, sf):
 @query(f"""{with_sql('px')}, s AS (SELECT col, "row", coalesce(gross, 0) AS c,
   lag(coalesce(gross, 0)) OVER (PARTITION BY "row" ORDER BY col) AS w, lead(coalesce(gross, 0)) OVER (PARTITION BY "row" ORDER BY col) AS e,
   lag(coalesce(gross, 0)) OVER (PARTITION BY col ORDER BY "row") AS s, lead(coalesce(gross, 0)) OVER (PARTITION BY col ORDER BY "row") AS n FROM px)
-SELECT col // 5 AS zcol, "row" // 5 AS zrow, {r('degrees(atan(sqrt(pow((e-w)/200.0, 2) + pow((n-s)/200.0, 2))))', 4)} AS slope_deg
-FROM s WHERE col % 5 = 2 AND "row" % 5 = 2 AND s IS NOT NULL AND n IS NOT NULL""")
+SELECT col // 5 AS zcol, "row" // 5 AS zrow, {r('''degrees(atan(sqrt(
+ pow(CASE WHEN w IS NOT NULL AND e IS NOT NULL THEN (e-w)/200.0 WHEN e IS NOT NULL THEN (e-c)/100.0 WHEN w IS NOT NULL THEN (c-w)/100.0 ELSE 0 END, 2) +
+ pow(CASE WHEN s IS NOT NULL AND n IS NOT NULL THEN (n-s)/200.0 WHEN n IS NOT NULL THEN (n-c)/100.0 WHEN s IS NOT NULL THEN (c-s)/100.0 ELSE 0 END, 2))))''', 4)} AS slope_deg
+FROM s WHERE col % 5 = 2 AND "row" % 5 = 2""")
 def terrain_sample(spark, sf):
-    """Slope under each cell centre (inner rows)."""
+    """Slope under each cell centre, one-sided at the edges."""
     slope = lattice.slope_degrees(B.pixels(spark, sf), "gross", 100.0, 100.0)
-    last = B.pixels(spark, sf).agg(F.max("row")).first()[0]
-    at = slope.where((F.col("col") % 5 == 2) & (F.col("row") % 5 == 2) & (F.col("row") < last))
+    at = slope.where((F.col("col") % 5 == 2) & (F.col("row") % 5 == 2))
     return rounded(at.select(B.idiv(F.col("col"), 5).alias("zcol"), B.idiv(F.col("row"), 5).alias("zrow"), "slope_deg"), 4)
 
 

@@ -218,7 +218,7 @@ def coarse_sample(spark, sf, pixels_per_side: int):
         "cell_anbh_derived_m": F.when(F.col("_f") > 0, F.col("_g") / F.col("_f")).otherwise(0.0),
         A.CENTRE_DISTANCE: F.hypot((F.col("zcol") + 0.5) * 100 * k - 4000, (F.col("zrow") + 0.5) * 100 * k - 3000),
         "in_national_footprint": F.lit(True),
-        "grid_id": F.col("zrow") * 100_000 + F.col("zcol"),
+        "grid_id": F.col("zrow") * (1 << 32) + F.col("zcol"),
     })
     return checkpointed(A.final_sample(cells))
 

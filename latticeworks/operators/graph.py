@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticeworks.operators.joins import lookup_join
-from latticeworks.operators.nearest import knn_edges
+from latticeworks.operators.nearest import nearest
 from latticeworks.session import checkpointed
 
 
@@ -33,8 +33,8 @@ def attach_islands(cells: DataFrame, key: str, edges: DataFrame) -> DataFrame:
     """Join every unit without neighbours to its nearest unit, both ways."""
     linked = edges.select(F.col("i").alias(key)).distinct()
     islands = cells.join(linked, key, "left_anti")
-    found = knn_edges(cells, key, 1).select("i", "j")
-    new = found.join(islands.select(F.col(key).alias("i")), "i", "left_semi")
+    found = nearest(islands.select(key, "x", "y"), cells, key, key, 1, exclude_same_key=True)
+    new = found.select(F.col(key).alias("i"), F.explode("neighbours.id").alias("j"))
     both = new.unionByName(new.select(F.col("j").alias("i"), F.col("i").alias("j")))
     return edges.select("i", "j").unionByName(both).distinct()
 

@@ -150,6 +150,13 @@ def locate(
     tiled = points.withColumn("_tx", F.floor(F.col("x") / F.lit(tile))).withColumn(
         "_ty", F.floor(F.col("y") / F.lit(tile))
     )
+    if first_by is not None:  # the regions of a tile side by side; each point picks the first that holds it
+        value = F.struct(F.col(first_by).alias("_o"), *attributes, "ring")
+        cover = cover.groupBy("_tx", "_ty").agg(F.collect_list(value).alias("_regions"))
+        found = lookup_join(tiled, cover, ["_tx", "_ty"], "left", probe=False)
+        holding = F.filter("_regions", lambda c: point_in_ring(F.col("x"), F.col("y"), c["ring"]))
+        first = F.array_min(F.transform(holding, lambda c: F.struct(c["_o"], *[c[a].alias(a) for a in attributes])))
+        return found.select(*points.columns, first.alias("_a")).select(*points.columns, *[F.col(f"_a.{a}") for a in attributes])
     salts = 1 if is_small(cover) else SALTS
     tiled = tiled.withColumn("_salt", F.pmod(F.xxhash64(*point_key), F.lit(salts)).cast("int"))
     cover = cover.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -160,12 +167,4 @@ def locate(
     hits = left.join(right, reduce(lambda a, b: a & b, keys) & inside, "left").select(
         *[F.col(f"p.{c}") for c in points.columns], *[F.col(f"r.{c}") for c in attributes]
     )
-    if first_by is None:
-        return hits
-    chosen = F.min_by(F.struct(*attributes), F.col(first_by)).alias("_a")
-    others = [c for c in points.columns if c not in point_key]
-    return (
-        hits.groupBy(*point_key)
-        .agg(*[F.first(c).alias(c) for c in others], chosen)
-        .select(*points.columns, "_a.*")
-    )
+    return hits

@@ -12,6 +12,7 @@ from latticeworks.functions.scalars import round_even
 from latticeworks.operators import order
 from latticeworks.session import checkpointed
 
+# Columns per row of a packed key; a lattice with more columns states its own stride.
 KEY_STRIDE = 2000
 
 
@@ -22,8 +23,14 @@ def lattice_index(p: Column, origin: float, size: float) -> Column:
 def cell_key(
     x: Column, y: Column, x0: float, y0: float, size: float, stride: int = KEY_STRIDE
 ) -> Column:
-    """Packed key row * stride + column of the cell that holds a point."""
-    return lattice_index(y, y0, size) * stride + lattice_index(x, x0, size)
+    """Packed key row * stride + column of the cell that holds a point.
+
+    A column outside 0 .. stride - 1 would share the key of a cell in another row: the job fails.
+    """
+    col = lattice_index(x, x0, size)
+    key = lattice_index(y, y0, size) * stride + col
+    outside = F.raise_error(F.concat(F.lit(f"column outside 0..{stride - 1}: "), col.cast("string"))).cast("long")
+    return F.when(col.isNull() | col.between(0, stride - 1), key).otherwise(outside)
 
 
 def unpack_key(key: Column, stride: int = KEY_STRIDE) -> tuple[Column, Column]:

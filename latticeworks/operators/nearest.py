@@ -65,23 +65,33 @@ def nearest(
     """
     group = list(group)
     need = k + (1 if exclude_same_key else 0)
+
+    def number(c: str):  # not a number is no coordinate
+        return F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+
     t = targets.select(
         *group,
-        F.col("x").cast("double").alias("_x"),
-        F.col("y").cast("double").alias("_y"),
+        number("x").alias("_x"),
+        number("y").alias("_y"),
         F.col(target_key).alias("_id"),
         *[F.col(a).alias(f"_a_{a}") for a in attributes],
     ).na.drop(subset=["_x", "_y"])
     # Of targets on one spot only the lowest ``need`` ids can ever be returned.
     same_spot = Window.partitionBy(*group, "_x", "_y").orderBy("_id")
     t = t.withColumn("_rn", F.row_number().over(same_spot)).where(F.col("_rn") <= need).drop("_rn")
-    q = queries.select("*", F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y"))
+    q = queries.select("*", number("x").alias("_x"), number("y").alias("_y"))
+    q = q.withColumns({"_x": F.when(F.col("_y").isNotNull(), F.col("_x")), "_y": F.when(F.col("_x").isNotNull(), F.col("_y"))})
     bounds = [
         d.agg(F.min("_x").alias("a"), F.min("_y").alias("b"), F.max("_x").alias("c"), F.max("_y").alias("d")).first()
         for d in (q, t)
     ]
     if any(b["a"] is None for b in bounds):
-        return queries.withColumn("neighbours", F.lit(None).cast("array<struct<distance:double>>"))
+        # Nobody to ask or nobody to find: the same columns, null lists.
+        kinds = ["distance:double", f"id:{targets.schema[target_key].dataType.simpleString()}"]
+        kinds += [f"{a}:{targets.schema[a].dataType.simpleString()}" for a in attributes]
+        void = F.lit(None).cast(f"array<struct<{','.join(kinds)}>>").alias("neighbours")
+        groups = [F.lit(None).cast(targets.schema[g].dataType).alias(g) for g in group]
+        return queries.select("*", *groups, void)
     x0, y0 = min(b["a"] for b in bounds), min(b["b"] for b in bounds)
     side = max(max(b["c"] for b in bounds) - x0, max(b["d"] for b in bounds) - y0) * (1 + 1e-9) + 1e-6
     depth = _depth(t, x0, y0, side, group)

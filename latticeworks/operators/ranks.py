@@ -62,7 +62,10 @@ def correlation_row(df: DataFrame, label: str, x: str, y: str, log1p: bool = Fal
 
 
 def mann_whitney(df: DataFrame, value: str, in_first: Column) -> DataFrame:
-    """U of the first group and the one-sided (greater) tie-corrected normal p."""
+    """U of the first group and the one-sided (greater) tie-corrected normal p.
+
+    Null U, z and p if a group is empty; null z and p if all values tie.
+    """
     dist = order.distribution(df, value, payload={"n1": F.count_if(in_first)})
     t = F.col("cnt").cast("double")
     row = dist.agg(
@@ -72,11 +75,13 @@ def mann_whitney(df: DataFrame, value: str, in_first: Column) -> DataFrame:
         F.sum(t * t * t - t).alias("ties"),
     ).first()
     n, n1 = row["n"], row["n1"]
-    n2 = n - n1
+    n2 = (n or 0) - (n1 or 0)
+    schema = "n_first long, n_second long, u double, z double, p_greater double"
+    if not n or not n1 or not n2:
+        return df.sparkSession.createDataFrame([(n1 or 0, n2 or 0, None, None, None)], schema)
     u = row["r1"] - n1 * (n1 + 1) / 2
     var = n1 * n2 / 12 * ((n + 1) - row["ties"] / (n * (n - 1)))
-    z = (u - n1 * n2 / 2 - 0.5) / sqrt(var)
+    z = (u - n1 * n2 / 2 - 0.5) / sqrt(var) if var > 0 else None
     return df.sparkSession.createDataFrame(
-        [(n1, n2, float(u), float(z), normal_upper(z))],
-        "n_first long, n_second long, u double, z double, p_greater double",
+        [(n1, n2, float(u), None if z is None else float(z), None if z is None else normal_upper(z))], schema
     )

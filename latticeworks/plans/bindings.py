@@ -91,6 +91,7 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[c.alias(n) for n, c in pixel_index(k).items()],
         net.alias("net"),
         clean_pixel(gross_raw, NODATA).alias("gross"),
+        gross_raw.alias("gross_raw"),
         fraction.alias("fraction_raw"),
         F.floor(F.col("o_totalprice") / 2500).cast("long").alias("height_code"),
         (F.col("o_custkey") % 103 - 1).alias("fraction_code"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,12 +93,17 @@ def urban_distance(cells: DataFrame, key: str, coverage: str, threshold: float =
 def covariate_table(
     base: DataFrame, key: str, modules: Mapping[str, Callable[[], DataFrame]], wanted: Sequence[str]
 ) -> tuple[DataFrame, list[str]]:
-    """Left-join the wanted modules; one that cannot be built is logged and skipped."""
+    """Left-join the wanted modules; one whose input path is absent is logged and skipped.
+
+    Any other error is a fault of the module and is raised.
+    """
     out, skipped = base, []
     for name in wanted:
         try:
             out = joins.attach(out, modules[name](), key)
-        except Exception as error:  # a missing input must not stop the others
+        except AnalysisException as error:  # a missing input must not stop the others
+            if "PATH_NOT_FOUND" not in (error.getCondition() or ""):
+                raise
             log.warning("module %s skipped: %s", name, error)
             skipped.append(name)
     return out, skipped

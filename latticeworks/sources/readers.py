@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from latticeworks.functions import rings
 from latticeworks.functions.scalars import clean_pixel, lenient_double
@@ -13,12 +14,21 @@ from latticeworks.sources import schemas
 
 
 def footprint_tiles(spark: SparkSession, path: str, spread: int | None = None) -> DataFrame:
-    """Compressed CSV tiles with a fixed schema; WKT becomes a ring.
+    """Compressed CSV tiles; columns are found by name, WKT becomes a ring.
+
+    Columns may come in any order and others may stand between them; a wanted
+    one that is absent, or a tile whose header differs, is an error.
 
     A gzip tile is read by one task whatever its size, so the rows are spread
     right after the scan, before any geometry work.
     """
-    raw = spark.read.schema(schemas.FOOTPRINT_TILE).option("header", True).csv(path)
+    kinds = {f.name: f.dataType for f in T.StructType.fromDDL(schemas.FOOTPRINT_TILE).fields}
+    header = spark.read.option("header", True).csv(path).columns
+    if missing := [c for c in kinds if c not in header]:
+        raise ValueError(f"missing columns: {missing}")
+    schema = T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in header])
+    read = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+    raw = read.select(*kinds)
     spread = spread or int(spark.conf.get("spark.sql.shuffle.partitions"))
     return normalise(raw.repartition(spread))
 
