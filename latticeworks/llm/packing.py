@@ -14,6 +14,8 @@
 
 from __future__ import annotations
 
+import os
+import unicodedata
 import zlib
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from latticeworks.llm.common import in_tasks, slices, stored
 
 UNIT = 32
-MAX_SEEN = 400_000
+MAX_SEEN = 600_000
 # Column generation stops after so many pivots, or so many that made nothing better.
 MAX_PIVOTS, MAX_STALL = 3_000, 100
 
@@ -36,28 +38,53 @@ MAX_PIVOTS, MAX_STALL = 3_000, 100
 class ChunkTokens(dict):
     """Little-endian 32-bit ids of runs without ASCII white space, as the library encodes them.
 
-    For tokenizers whose splitter drops white space a text's ids are those of its runs in turn.
+    For tokenizers whose splitter drops white space and takes runs of letters and of other signs as
+    words: a text's ids are those of its runs in turn, and a run of letters with signs after it is
+    the two parts in turn. What was seen last stays known, MAX_SEEN runs at least.
     """
 
     def __init__(self, path: str):
         super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.older: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def learn(self, chunks: set[bytes]) -> None:
-        new = [c for c in chunks if c not in self]
-        if len(self) + len(new) > MAX_SEEN:
+        if len(self) + len(chunks) > MAX_SEEN:
+            self.older = dict(self)
             self.clear()
-            new = list(chunks)
-        texts = [c.decode("utf-8", "replace") for c in new]
-        for chunk, found in zip(new, self.library.encode_batch(texts, add_special_tokens=False), strict=True):
-            self[chunk] = np.array(found.ids, "<u4").tobytes()
-
-    def ids(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        if len(self.parts) > MAX_SEEN:
+            self.parts = {}
+        new = []
+        for chunk in chunks:
+            if chunk not in self:
+                known = self.older.get(chunk)
+                if known is None:
+                    new.append(chunk)
+                else:
+                    self[chunk] = known
+        split = []
+        for chunk in new:
+            text = chunk.decode("utf-8", "replace")
+            core = text.rstrip(".,!?;:")
+            # As normalised: some letters are lowered or composed to a letter and a mark.
+            whole = core.lower() if core.isascii() else unicodedata.normalize("NFC", core).lower()
+            split.append((core.lower() if core.isascii() else core, text[len(core) :]) if whole.isalpha() else (text, ""))
+        parts = self.parts
+        unknown = list({p for pair in split for p in pair if p and p not in parts})
+        for part, found in zip(unknown, self.library.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
+            parts[part] = np.array(found.ids, "<u4").tobytes()
+        parts[""] = b""
+        for chunk, (a, b) in zip(new, split, strict=True):
+            self[chunk] = parts[a] + parts[b]
+
+    def ids(self, chunks: list[bytes]) -> bytes:
+        return b"".join(map(self.__getitem__, chunks))
 
 
 _TOKENS: dict[str, ChunkTokens] = {}
@@ -84,10 +111,10 @@ def _pieces(docs: DataFrame, path: str, end_id: int, size: int, key: str, text:
         for batch in batches:
             for first, texts in slices(batch, text):
                 tokens = _tokens(path)
-                raw = texts.to_pylist()
-                tokens.learn({w for x in raw for w in x.split()})
+                split = [x.split() for x in texts.to_pylist()]
+                tokens.learn({w for x in split for w in x})
                 rows = []
-                for i, x in enumerate(raw):
+                for i, x in enumerate(split):
                     ids = tokens.ids(x) + end
                     n = len(ids) // 4
                     for at in range(0, len(ids) - full + 1, full):
