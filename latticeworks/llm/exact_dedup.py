@@ -73,7 +73,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", index:
     an empty result.
     """
     spark = docs.sparkSession
-    index = index or DigestIndex(spark)
+    own, index = index is None, index or DigestIndex(spark)
     # Earlier batches' places must not be taken for this one's.
     known = index.rows().select("digest", F.lit(True).alias("known")) if index.exists() else None
     rows = stored(digests(docs, key, text), "digests")
@@ -92,6 +92,8 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", index:
     else:
         groups = groups.withColumn("known", F.lit(None).cast("boolean"))
     groups = stored(groups, "groups")
+    if own:  # nobody else can name it; its files stay with the run's other tables
+        spark.sql(f"DROP TABLE {index.name}")
     found = join_groups(rows, groups, "digest", "group_size", ends[2])
     kept = F.col("known").isNull() & F.col("key").eqNullSafe(F.col("keep_key")) & (F.col("place") == F.col("keep_place"))
     return found.select(
