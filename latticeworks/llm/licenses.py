@@ -64,7 +64,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least:
     lines = _once(plain, "lines", F.split("plain", "\n"))
     whole = F.when(F.size("lines") > 1, F.array(F.regexp_replace("plain", "\n", " ")))
     units = F.concat("lines", F.coalesce(whole, F.expr("CAST(array() AS array<string>)")))
-    split = lines.select("key", F.size("lines").alias("n"), F.posexplode(F.transform(units, lambda x: F.filter(F.split(x, " "), lambda y: y != ""))).alias("at", "w"))
+    listed = lines.select("key", F.size("lines").alias("n"), F.transform(units, lambda x: F.filter(F.split(x, " "), lambda y: y != "")).alias("units"))
+    split = listed.select("key", "n", F.posexplode("units").alias("at", "w"))
     split = split.select("key", F.when(F.col("at") < F.col("n"), F.col("at")).otherwise(-1).alias("line_no"), "w")
     # Distinct bigrams are no more than pairs, so only the lower bound holds before they are built.
     sized = split.where(F.size("w") >= max(2, smallest + 1))

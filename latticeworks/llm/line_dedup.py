@@ -21,10 +21,12 @@ LG_K = 12
 
 def occurrences(docs: DataFrame, key: str, text: str, site: str) -> DataFrame:
     """(key, t1, t2, at, line, site) of every line that is not blank; t1, t2 identify the text."""
-    lines = docs.select(
+    # The text's hashes are taken before it is exploded: above the generator they would be per line.
+    whole = docs.select(
         F.col(key).alias("key"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"),
-        F.col(site).cast("string").alias("site"), F.posexplode(F.split(F.col(text), "\n")).alias("at", "line"),
+        F.col(site).cast("string").alias("site"), F.split(F.col(text), "\n").alias("lines"),
     )
+    lines = whole.select("key", "t1", "t2", "site", F.posexplode("lines").alias("at", "line"))
     return lines.withColumn("line", F.trim(F.regexp_replace("line", r"[\t\r]", " "))).where("line <> ''").withColumn("line", F.unhex(F.md5("line")))
 
 
