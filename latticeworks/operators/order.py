@@ -208,8 +208,13 @@ def quantile_values(df: DataFrame, value: str, probs: Sequence[float]) -> list[f
 
 
 def lorenz(df: DataFrame, value: str, points: int) -> DataFrame:
-    """Lorenz curve thinned to ``points`` equal population steps plus both ends."""
-    dist = distribution(df.where(F.col(value) >= 0), value)
+    """Lorenz curve thinned to ``points`` equal population steps plus both ends.
+
+    Nulls are left out; a value below zero has no place on the curve and fails the job.
+    """
+    below = F.raise_error(F.concat(F.lit("value below zero: "), F.col(value).cast("string")))
+    checked = F.when(F.col(value) >= 0, F.col(value)).otherwise(below.cast(df.schema[value].dataType))
+    dist = distribution(df.where(F.col(value).isNotNull()).withColumn(value, checked), value)
     step = F.explode(F.sequence(
         F.ceil(F.col("before") * points / F.col("n")),
         F.ceil((F.col("before") + F.col("cnt")) * points / F.col("n")),

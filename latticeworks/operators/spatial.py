@@ -196,6 +196,7 @@ def spatial_error(
     sums = sums or weight_sums(weights)
     base = ols(units, y, xs)
     with_u = units.select(key, y, *xs, base.residual().alias("u"), F.lit(1.0).alias("one")).persist()
+    lagged = None
     try:
         lagged = lags(with_u, key, weights, ["u", y, *xs, "one"]).persist()
         twice = lags(lagged.select(key, "u", F.col("u_lag").alias("v")), key, weights, ["v"])
@@ -224,6 +225,8 @@ def spatial_error(
         )
     finally:
         with_u.unpersist()
+        if lagged is not None:
+            lagged.unpersist()
 
 
 def _no_intercept(df: DataFrame, y: str, xs: Sequence[str]) -> tuple[np.ndarray, np.ndarray, float]:

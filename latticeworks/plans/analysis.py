@@ -303,6 +303,7 @@ def validation_strata(df: DataFrame, region: str, value: str) -> DataFrame:
     return named.withColumn("stratum", F.concat_ws("_", tier, height))
 
 
+# Fields of the coding sheet.
 CODING_FIELDS = [
     "validator_name", "validation_date", "imagery_source", "observed_dominant_storeys",
     "height_class_match", "dominant_building_use", "settlement_type", "validation_notes",

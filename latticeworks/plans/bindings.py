@@ -14,6 +14,7 @@ DUPLICATE_KEY = ["l_orderkey", "l_linenumber"]
 KEEP_ORDER = ["l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
 ROW_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
 YEARS = list(range(1995, 2002))
+# Epochs of the built-up layers.
 EPOCHS = [1975, 1990, 2000, 2010, 2015, 2020]
 CELL_AREA_M2 = 250_000.0
 
