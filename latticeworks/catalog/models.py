@@ -182,13 +182,13 @@ def moran_permutation_inference(spark, sf):
 @query()
 def spatial_error_model(spark, sf):
     df = sample(spark, sf)
-    return M.spatial_table(df, M.queen_weights(df), [("net", "C"), ("gross", "C")])
+    return M.spatial_table(df, M.queen_weights(df), [(o, m) for o in ("net", "gross") for m in ("A", "B", "C")])
 
 
 @query()
 def model_fit_and_moran(spark, sf):
     df = sample(spark, sf)
-    return M.fit_and_moran(df, M.queen_weights(df), models=("A", "C"), outcomes=("net",))
+    return M.fit_and_moran(df, M.queen_weights(df))
 
 
 @query()

@@ -76,10 +76,10 @@ def moran_table(
 
 def spatial_table(df: DataFrame, weights: DataFrame, specs: Sequence[tuple[str, str]], key: str = "grid_id") -> DataFrame:
     """Spatial error coefficients with z and p; lambda carries no error."""
-    rows = []
+    rows, sums = [], spatial.weight_sums(weights)
     for o, m in specs:
         xs = A.NESTED[m]
-        fit = spatial.spatial_error(df, key, weights, OUTCOMES[o], xs)
+        fit = spatial.spatial_error(df, key, weights, OUTCOMES[o], xs, sums)
         for name, b, s in zip(["const", *xs], fit.coef, fit.se):
             z = float(b / s)
             rows.append((o, m, name, float(b), float(s), float(b - 1.96 * s), float(b + 1.96 * s), z, normal_two_sided(z)))
