@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticeworks.operators.joins import lookup_join
-from latticeworks.operators.nearest import nearest
+from latticeworks.operators.nearest import knn_edges, nearest  # noqa: F401
 from latticeworks.session import checkpointed
 
 
