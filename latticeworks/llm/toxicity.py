@@ -74,7 +74,7 @@ def ftrl(rows: list[tuple[np.ndarray, int]], alpha: float = 1.0, beta: float = 1
     return Model(np.flatnonzero(w).astype(np.int32), w[w != 0])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean: int = 5000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_clean: int = 3500, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fit on the labelled rows of each label whose key hashes lowest, at most ``max_toxic`` and
     ``max_clean``; the bias is then moved to the labels' true share. Held-out keys are left out.
 
