@@ -6,7 +6,8 @@ import random
 
 import xxhash
 
-from latticeworks.llm import exact_dedup, line_dedup, simhash, substring_dedup
+import corpus_pipeline
+from latticeworks.llm import exact_dedup, line_dedup, simhash, similar, substring_dedup
 from latticeworks.llm.components import components
 
 SCHEMA = "doc_id long, text string, source string, digest string, line string, key long, fp long, slice long"
@@ -143,3 +144,61 @@ def test_near_duplicates_edges(spark):
     assert len(kept) == len({(r.component_id, r.fp) if r.component_id == 3 else r.component_id for r in got})
     assert sum(r.doc_id == 40 for r in kept) <= 1
     assert simhash.near_duplicates(frame(spark, rows).limit(0)).count() == 0
+
+
+def brute_near(rows, least=0.8, shingle=5):
+    """Kept keys: one of each group that verified pairs connect."""
+    sets = []
+    for _, x, _ in rows:
+        w = (x or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1)) or frozenset([tuple(w)]))
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= least * len(a | sets[j]) - 1e-9:
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    groups = collections.defaultdict(list)
+    for i, row in enumerate(rows):
+        groups[find(i)].append(row[0])
+    return sorted(min(g, key=lambda k: (k is None, k)) for g in groups.values())
+
+
+def planted_near(rng):
+    rows, passage = [], words(rng, 60, 5000)
+    for i in range(25):
+        base = words(rng, rng.randint(60, 300), 5000).split()
+        rows.append((len(rows), " ".join(base), "s"))
+        for share in (0.005, 0.01, 0.02, 0.03, 0.04, 0.06):  # similarities on both sides of 0.8
+            copy = [f"n{rng.randrange(5000)}" if rng.random() < share else w for w in base]
+            rows.append((len(rows), " ".join(copy).upper(), "s"))
+    rows += [(len(rows) + i, f"{passage} {words(rng, 20 + i, 5000)}", "s") for i in range(40)]  # a common passage
+    base = words(rng, 150, 5000).split()
+    for _ in range(80):  # a crowd of near copies of one text
+        copy = list(base)
+        for at in rng.sample(range(150), rng.randint(1, 6)):
+            copy[at] = f"c{rng.randrange(5000)}"
+        rows.append((len(rows), " ".join(copy), "s"))
+    rows += [(900, None, "s"), (901, "", "s"), (902, "one two", "s"), (903, "One  TWO", "s"), (904, "a b c d e", "s"), (905, "a b c d e f", "s"), (906, "two one", "s")]
+    return rows + [(950, rows[0][1], "s"), (950, rows[0][1], "s")]
+
+
+def test_similar_against_brute_force(spark):
+    rows = planted_near(random.Random(11))
+    for least, shingle in ((0.8, 5), (0.5, 2)):
+        got = similar.keep_one(frame(spark, rows), least=least, shingle=shingle)
+        assert sorted(r.doc_id for r in got.collect()) == brute_near(rows, least, shingle)
+    assert got.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
+    assert similar.keep_one(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_pipeline_stage_keeps_one_of_each_group_of_similar_texts(spark):
+    rows = planted_near(random.Random(12))
+    got = corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), "")
+    assert sorted(r.doc_id for r in got.collect()) == brute_near(rows)
