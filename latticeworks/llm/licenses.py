@@ -4,6 +4,9 @@ Columns only: a unit (a line, or the whole text if it has more lines than one) i
 ASCII letters and digits become spaces, and its distinct word bigrams are compared with those of a
 template. For a Dice coefficient of t, sizes a and b must meet b t / (2 - t) <= a <= b (2 - t) / t,
 which leaves most units without a candidate before any bigram is built.
+
+Notices that no line holds alone (wrapped, inside a longer line, full texts) are found as runs of words
+over line ends: a best run begins and ends with a bigram of its template, so only those are tried.
 """
 
 from __future__ import annotations
@@ -31,6 +34,11 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
 ]
+# Full texts, looked for as runs of words only.
+FULL_TEXTS = [
+    ("MIT", TEMPLATES[2][1] + " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+]
 
 
 def words_of(text: str) -> list[str]:
@@ -48,11 +56,71 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def _pairs(words: Column) -> Column:
+    return F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda x, y: F.concat(x, F.lit(" "), y))
+                  ).otherwise(F.expr("CAST(array() AS array<string>)"))
+
+
+def _table(known: list[tuple[str, list[str]]]) -> Column:
+    return F.array(*[F.struct(F.lit(name).alias("name"), F.lit(len(g)).alias("b"), F.array(*map(F.lit, g)).alias("grams")) for name, g in known])
+
+
+def _runs(lines: DataFrame, notices: list[tuple[str, list[str]]], texts: list[tuple[str, list[str]]], least: float) -> DataFrame:
+    """(key, line_no, license, dice) of runs of words; ``lines`` has key and the lines, cleaned.
+
+    A run has at most (2 - least) / least times its template's bigrams. Of runs that overlap the best stays
+    (of equals the first, then the longest). None is given that touches a line with a row of its own, nor for
+    the licence of the whole text's row.
+    """
+    known = notices + texts
+    down, up = least / (2 - least), (2 - least) / least
+    grams = F.array(*map(F.lit, sorted({x for _, g in known for x in g})))
+    fewest = min(len(g) for _, g in known) * down
+    split = _once(lines, "lw", F.transform("lines", lambda x: F.filter(F.split(x, " "), lambda y: y != "")))
+    joined = _once(split.select("key", "lw"), "p", _pairs(F.flatten("lw")))
+    near = joined.where(F.size(F.array_intersect("p", grams)) >= fewest - 1e-9)
+    fits = _once(near, "fits", F.filter(_table(known), lambda t: F.size(F.array_intersect("p", t["grams"])) >= t["b"] * down - 1e-9)).where(F.size("fits") > 0)
+    # The number comes before the explosion: all templates of a row share it.
+    each = fits.withColumn("row", F.monotonically_increasing_id()).select("row", "key", "lw", "p", F.explode("fits").alias("t"))
+    hits = _once(each, "h", F.filter(F.sequence(F.lit(0), F.size("p") - 1), lambda i: F.array_contains(F.col("t.grams"), F.get(F.col("p"), i))))
+    ends = hits.select("row", "key", "lw", "p", "t", "h", F.explode("h").alias("i"))
+    ends = ends.select("row", "key", "lw", "p", "t", "i", F.explode(F.filter("h", lambda j: (j - F.col("i") + 1 >= F.col("t.b") * down - 1e-9) & (j - F.col("i") + 1 <= F.col("t.b") * up + 1e-9))).alias("j"))
+    run = _once(ends, "r", F.array_distinct(F.slice("p", F.col("i") + 1, F.col("j") - F.col("i") + 1)))
+    dice = F.size(F.array_intersect("r", "t.grams")) * 2.0 / (F.size("r") + F.col("t.b"))
+    found = run.select("row", "key", "lw", (-dice).alias("d"), "i", "j", F.col("t.name").alias("name")).where(F.col("d") <= -least)
+    runs = found.groupBy("row").agg(F.first("key").alias("key"), F.first("lw").alias("lw"), F.array_sort(F.collect_set(F.struct("d", "i", (-F.col("j")).alias("j"), "name"))).alias("runs"))
+
+    def best(words):
+        a = F.array_distinct(_pairs(words))
+        return F.transform(_table(notices), lambda t: F.struct((F.size(F.array_intersect(a, t["grams"])) * 2.0 / (F.size(a) + t["b"])).alias("dice"), t["name"].alias("name"))) \
+            if notices else F.expr("CAST(array() AS array<struct<dice double, name string>>)")
+
+    def reached(words):
+        return F.exists(best(words), lambda x: x["dice"] >= least)
+
+    # first[k]: words before line k, so a run of pairs i to j touches the lines with words in i to j + 1.
+    first = F.transform("lw", lambda x, k: F.aggregate(F.slice("lw", 1, k), F.lit(0), lambda t, y: t + F.size(y)))
+    runs = _once(_once(runs, "first", first), "own", F.transform("lw", reached))
+    runs = _once(runs, "whole", F.transform(F.filter(best(F.flatten("lw")), lambda x: x["dice"] >= least), lambda x: x["name"]))
+    lines_of = F.sequence(F.lit(0), F.size("lw") - 1)
+
+    def free(x):
+        touched = F.exists(lines_of, lambda k: F.get(F.col("own"), k) & (F.get(F.col("first"), k) <= 1 - x["j"]) & (F.get(F.col("first"), k) + F.size(F.get(F.col("lw"), k)) > x["i"]))
+        return ~touched & ~F.array_contains("whole", x["name"])
+
+    kind = "array<struct<d double, i int, j int, name string>>"
+    chosen = F.aggregate(F.filter(F.col("runs"), free).cast(kind), F.expr(f"CAST(array() AS {kind})"), lambda got, x: F.when(
+        F.exists(got, lambda y: (x["i"] <= 1 - y["j"]) & (y["i"] <= 1 - x["j"])), got).otherwise(F.concat(got, F.array(x)).cast(kind)))
+    out = runs.select("key", "lw", "first", F.explode(chosen).alias("x"))
+    line = F.array_max(F.filter(lines_of, lambda k: (F.get(F.col("first"), k) <= F.col("x.i")) & (F.size(F.get(F.col("lw"), k)) > 0)))
+    return out.select("key", line.alias("line_no"), F.col("x.name").alias("license"), (-F.col("x.d")).alias("dice"))
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, line_no, license, dice) of every unit whose best template reaches ``least``.
 
     line_no counts from 0 over all lines, blank ones too; -1 is the whole text, looked at if it has
-    more lines than one. Of equally good templates the first name in the alphabet wins. Units of fewer than two words have no
+    more lines than one. Runs of words that no line holds alone (see ``_runs``) have the line they begin in. Of equally good templates the first name in the alphabet wins. Units of fewer than two words have no
     bigram and never match; null and empty texts give no row; repeated rows give repeated results,
     null keys stay null. An empty table or no template gives an empty result.
     """
@@ -80,4 +148,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least:
         (F.size(F.array_intersect(F.col("a"), t["grams"])) * 2.0 / (F.col("s") + t["b"])).alias("dice"), t["name"].alias("name")))
     best = _once(_once(grams, "t", scored), "top", F.array_max(F.transform("t", lambda x: x["dice"]))).where(F.col("top") >= least)
     name = F.array_min(F.transform(F.filter("t", lambda x: x["dice"] == F.col("top")), lambda x: x["name"]))
-    return best.select(F.col("key").alias(key), "line_no", name.alias("license"), F.col("top").alias("dice"))
+    found = best.select("key", "line_no", name.alias("license"), F.col("top").alias("dice"))
+    full = [(n, bigrams_of(body)) for n, body in FULL_TEXTS] if templates is None else []
+    if known or full:
+        found = found.unionByName(_runs(lines.select("key", "lines"), known, full, least))
+    return found.withColumnRenamed("key", key)

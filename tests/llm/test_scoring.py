@@ -229,6 +229,19 @@ def test_licenses_edges(spark):
     assert licenses.scan(docs.limit(0)).count() == 0 and licenses.scan(docs, templates=[]).count() == 0
 
 
+def test_licenses_wrapped_inside_a_line_and_full_texts(spark):
+    import textwrap
+    lead = "Some words come before it. Released under the MIT License. And some more text follows here."
+    full = "MIT License\n\nCopyright (c) 2020 Some One\n\n" + textwrap.fill(licenses.FULL_TEXTS[0][1], 78)
+    grant = "Own words here.\n\n" + textwrap.fill(licenses.TEMPLATES[2][1], 40) + "\n\n" + " ".join(f"v{i}" for i in range(200))
+    two = "aa bb cc dd ee ff gg hh. Licensed under\nthe Apache License,\nVersion 2.0. " + "ii jj kk ll " * 9 + "Released under the MIT\nLicense. " + "mm nn oo " * 9
+    isc = "x y z " * 80 + licenses.FULL_TEXTS[1][1] + " x y z" * 80
+    docs = spark.createDataFrame([(1, lead), (2, full), (3, grant), (4, two), (5, isc), (6, "Under the license of the works. " * 20)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in licenses.scan(docs).collect())
+    assert [r[:3] for r in got] == [(1, 0, "MIT"), (2, 4, "MIT"), (3, 2, "MIT"), (4, 0, "Apache-2.0"), (4, 2, "MIT"), (5, 0, "ISC")]
+    assert all(r[3] > 0.99 for r in got if r[0] != 2)
+
+
 def test_pipeline_stages(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
