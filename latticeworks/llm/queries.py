@@ -14,6 +14,7 @@ from latticeworks.llm.exact_dedup import deduplicate
 from latticeworks.llm.licenses import TEMPLATES, scan
 from latticeworks.llm.line_dedup import remove_boilerplate
 from latticeworks.llm.packing import pack
+from latticeworks.llm.periodic import collapse_runs, with_echoes
 from latticeworks.llm.simhash import near_duplicates
 from latticeworks.llm.substring_dedup import remove_repeats
 from latticeworks.llm.token_counts import count_tokens
@@ -144,3 +145,17 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.6, overlap=0.8)
     return found.select("doc_id", "item_id", "score", "shingle_overlap", "question_overlap", "answer_overlap")
+
+
+@query()
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collapse_runs(with_echoes(table(spark, sf_dir, "documents")))
+    ranked = F.transform("runs", lambda r: F.struct((-r["length"] / r["period"]).alias("order"), r["start"].alias("start"), r["period"].alias("period"), r["length"].alias("length")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    found = found.withColumn("top", F.array_min(ranked))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.expr("1000 * top.length DIV top.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
