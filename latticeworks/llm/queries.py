@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from latticeworks.llm import language, toxicity
 from latticeworks.llm.common import held_out, table
+from latticeworks.llm.conversations import damaged, repair, report
 from latticeworks.llm.decontamination import matches
 from latticeworks.llm.exact_dedup import deduplicate
 from latticeworks.llm.licenses import TEMPLATES, scan
@@ -159,3 +160,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query()
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    found = report(repair(damaged(rows)))
+    every = rows.select("conv_id").distinct().alias("c").join(found.alias("f"), F.col("c.conv_id").eqNullSafe(F.col("f.conv_id")), "left")
+    counts = [F.coalesce(f"f.{c}", F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("c.conv_id", *counts, F.coalesce("f.audit", F.lit("")).alias("audit"), F.coalesce("f.repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
