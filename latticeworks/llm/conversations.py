@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import pandas as pd
@@ -315,7 +316,15 @@ def _edited(row: dict) -> tuple[int, str, list[str], list[str]]:
     return cost, letters, roles, texts
 
 
-def repair(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
+@dataclass
+class Repaired:
+    """Blocks after repair: those that hold a whole conversation, and parts of conversations."""
+
+    whole: DataFrame
+    parts: DataFrame
+
+
+def repair(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", block_rows: int = BLOCK_ROWS) -> Repaired:
     """Repaired conversations, in blocks that ``repaired_rows`` and ``report`` read.
 
     A conversation is all rows of one key (null is one too), by turn (nulls first), role, first 64
@@ -352,22 +361,24 @@ def repair(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role: str
     columns = ["key", "part", "seq", "closed", "kinds", "faults", "turns", "roles", "texts"]
     shut = blocks.where("closed").select(*columns, F.lit(None).cast("int").alias("before"), F.lit(None).cast("int").alias("after"), F.lit(None).cast("string").alias("tail"))
     open_ = blocks.where("NOT closed").join(choices, ["part", "seq"]).select(*columns, "before", "after", "tail")
-    return in_tasks(shut.unionByName(open_), run, f"key {kind}, " + ", ".join(f"{c} {_SQL[t]}" for c, t in TYPES.items())).withColumnRenamed("key", key)
+    shape = f"key {kind}, " + ", ".join(f"{c} {_SQL[t]}" for c, t in TYPES.items())
+    return Repaired(*(in_tasks(x, run, shape).withColumnRenamed("key", key) for x in (shut, open_)))
 
 
-def repaired_rows(repaired: DataFrame, key: str = "conv_id") -> DataFrame:
+def repaired_rows(repaired: Repaired, key: str = "conv_id") -> DataFrame:
     """(key, part, seq, place, role, text): rows after repair; part, seq and place order a conversation."""
     rows = F.posexplode(F.arrays_zip("roles", "texts")).alias("place", "row")
-    return repaired.select(key, "part", "seq", rows).select(key, "part", "seq", "place", F.col("row.roles").alias("role"), F.col("row.texts").alias("text"))
+    blocks = repaired.whole.unionByName(repaired.parts)
+    return blocks.select(key, "part", "seq", rows).select(key, "part", "seq", "place", F.col("row.roles").alias("role"), F.col("row.texts").alias("text"))
 
 
-def report(repaired: DataFrame, key: str = "conv_id") -> DataFrame:
+def report(repaired: Repaired, key: str = "conv_id") -> DataFrame:
     """One row a conversation that has rows: counts, cost, edits, digest of the repaired ``role:text`` lines.
 
     SHA-256 runs over a conversation's blocks in order: those of one conversation stream through one
     task, which keeps the digest's state, the counts and the edit string only.
     """
-    kind = repaired.schema[key].dataType.simpleString()
+    kind = repaired.whole.schema[key].dataType.simpleString()
     names = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
 
     def done(now):
@@ -402,10 +413,11 @@ def report(repaired: DataFrame, key: str = "conv_id") -> DataFrame:
             types = {"key": first.schema.field("key").type} | dict.fromkeys(names, pa.int64()) | {"audit": pa.string(), "repaired_sha256": pa.string()}
             yield from _batches(fold(_each(chain([first], batches))), types)
 
-    ask = repaired.withColumnRenamed(key, "key").select("key", "part", "seq", "closed", "blank", "duplicate", "truncated", "illegal", "first", "last", "low", "high", "turns", "cost", "audit", "roles", "texts")
+    columns = ["part", "seq", "closed", "blank", "duplicate", "truncated", "illegal", "first", "last", "low", "high", "turns", "cost", "audit", "roles", "texts"]
+    whole, parts = (x.select(F.col(key).alias("key"), *columns) for x in (repaired.whole, repaired.parts))
     shape = f"key {kind}, " + ", ".join(f"{c} long" for c in names) + ", audit string, repaired_sha256 string"
-    shut = in_tasks(ask.where("closed"), run, shape)
-    open_ = in_tasks(ask.where("NOT closed").repartition("key").sortWithinPartitions("key", "part", "seq"), run, shape)
+    shut = in_tasks(whole, run, shape)
+    open_ = in_tasks(parts.repartition("key").sortWithinPartitions("key", "part", "seq"), run, shape)
     return shut.unionByName(open_).withColumnRenamed("key", key)
 
 
