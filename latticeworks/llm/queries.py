@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticeworks.llm import language, toxicity
+from latticeworks.llm.class_lm import score_texts
 from latticeworks.llm.common import held_out, table
 from latticeworks.llm.conversations import damaged, repair, report
 from latticeworks.llm.decontamination import matches
@@ -169,3 +170,12 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = rows.select("conv_id").distinct().alias("c").join(found.alias("f"), F.col("c.conv_id").eqNullSafe(F.col("f.conv_id")), "left")
     counts = [F.coalesce(f"f.{c}", F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return every.select("c.conv_id", *counts, F.coalesce("f.audit", F.lit("")).alias("audit"), F.coalesce("f.repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+@query()
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def held(key):
+        return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 7 == 2, F.lit(False))
+
+    found = score_texts(table(spark, sf_dir, "documents"), ~held("doc_id"))
+    return found.select("doc_id", held("doc_id").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
