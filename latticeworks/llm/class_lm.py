@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from latticeworks.llm.common import in_tasks, scratch, slices, stored
 from latticeworks.llm.hashing import U, Words
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 3 << 20
 BUCKET_BYTES = 32 << 20
 END = U(0xE4D0F7E475E4D0F7)  # stands for the end of a text
 REST = 0
@@ -256,7 +256,7 @@ class _Bucket:
         self.asked.append((row["shard"], words))
         self.new.append((words, own, size, context, n))
         self.waiting += total + m
-        if self.waiting > 1 << 21:
+        if self.waiting > 1 << 20:
             self.merge()
 
     def merge(self) -> None:
