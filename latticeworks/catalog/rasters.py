@@ -16,6 +16,14 @@ from latticeworks.sources import lookups
 PX = with_sql("px")
 
 
+def _sum(c: str) -> str:
+    return f"sum(CAST({c} AS DECIMAL(28,8)))::DOUBLE"
+
+
+def _mean(c: str) -> str:
+    return f"{_sum(c)}/count({c})"
+
+
 @query(f"""{PX} SELECT col, "row", {r('gross')} AS gross, {r('net')} AS net,
  {r('CASE WHEN net > 0 THEN gross/net ELSE 0 END')} AS fraction FROM px""")
 def pixel_table(spark, sf):
@@ -200,8 +208,8 @@ def region_first_match(spark, sf):
 
 
 @query(f"""{with_sql('stack', 'zones')}, {BUILT_SQL} SELECT region, count(*) AS n_cells,
- {", ".join(f"{re(f'avg(built_coverage_{e})', 4)} AS mean_built_coverage_{e}, {re(f'sum(built_surface_m2_{e})/1e6', 2)} AS total_built_surface_km2_{e}" for e in EPOCHS)},
- {re('avg(long_term_growth)', 4)} AS mean_long_term_growth, {re('avg(recent_growth_2010)', 4)} AS mean_recent_growth
+ {", ".join(f"{re(_mean(f'built_coverage_{e}'), 4)} AS mean_built_coverage_{e}, {re(_sum(f'built_surface_m2_{e}') + '/1e6', 2)} AS total_built_surface_km2_{e}" for e in EPOCHS)},
+ {re(_mean('long_term_growth'), 4)} AS mean_long_term_growth, {re(_mean('recent_growth_2010'), 4)} AS mean_recent_growth
 FROM (SELECT *, {BOXES_SQL} AS region FROM zones) LEFT JOIN built USING (zcol, zrow) WHERE region IS NOT NULL GROUP BY region""")
 def built_up_city_summary(spark, sf):
     joined = zone_regions(spark, sf).join(built_up(spark, sf), ["zcol", "zrow"], "left")
@@ -231,9 +239,9 @@ def temporal_indicators(spark, sf):
 
 
 @query(f"""{with_sql('fp', 'yearly', 'cells', 'names')}, {CHANGE_SQL} SELECT region_name, count(*) AS n_cells,
- {", ".join(f"{re(f'sum(building_count_{y})', 0)} AS total_building_count_{y}, {re(f'avg(building_count_{y})', 2)} AS mean_building_count_{y}, {re(f'avg(mean_height_{y})', 2)} AS mean_height_{y}" for y in YEARS)},
- {re('sum(building_count_change)', 0)} AS building_count_change, {re('avg(building_growth_rate)', 2)} AS mean_growth_rate,
- {re('avg(vertical_growth_index)', 4)} AS mean_vgi
+ {", ".join(f"{re(_sum(f'building_count_{y}'), 0)} AS total_building_count_{y}, {re(_mean(f'building_count_{y}'), 2)} AS mean_building_count_{y}, {re(_mean(f'mean_height_{y}'), 2)} AS mean_height_{y}" for y in YEARS)},
+ {re(_sum('building_count_change'), 0)} AS building_count_change, {re(_mean('building_growth_rate'), 2)} AS mean_growth_rate,
+ {re(_mean('vertical_growth_index'), 4)} AS mean_vgi
 FROM cells JOIN names USING (district_id) LEFT JOIN change USING (grid_id) GROUP BY region_name""")
 def temporal_city_summary(spark, sf):
     from latticeworks.operators.joins import lookup_join

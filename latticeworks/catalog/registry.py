@@ -32,12 +32,11 @@ def query(sql: str | None = None, name: str | None = None):
 NUDGE = 0.0017
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column, so that summation order cannot show."""
-    nudge = NUDGE * 10.0**-digits
+def rounded(df: DataFrame, digits: int = 6, **others: int) -> DataFrame:
+    """Round every double column, so that summation order cannot show; ``others`` names columns with other digits."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
     return df.select(*[
-        (round_even(F.col(f"`{c}`") + F.lit(nudge), digits) if isinstance(t, (T.DoubleType, T.FloatType)) else F.col(f"`{c}`")).alias(c)
+        (round_even(F.col(f"`{c}`") + F.lit(NUDGE * 10.0 ** -others.get(c, digits)), others.get(c, digits)) if isinstance(t, (T.DoubleType, T.FloatType)) else F.col(f"`{c}`")).alias(c)
         for c, t in kinds.items()
     ])
 

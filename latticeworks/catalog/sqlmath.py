@@ -19,6 +19,30 @@ def utm_sql(name: str, source: str) -> str:
   {k!r}::DOUBLE*(xi + {north}) AS uy FROM {name}_c)"""
 
 
+def lonlat_sql(name: str, source: str) -> str:
+    """CTEs that add ``lon``, ``lat`` to a source with ``ux``, ``uy`` in UTM 30N.
+
+    All constants are worked out in SQL from the two of the ellipsoid; latitude by Newton steps on the
+    conformal latitude.
+    """
+    beta = ("n/2 - 2*n*n/3 + 37*pow(n,3)/96 - pow(n,4)/360", "n*n/48 + pow(n,3)/15 - 437*pow(n,4)/1440", "17*pow(n,3)/480 - 37*pow(n,4)/840", "4397*pow(n,4)/161280")
+    xi = " - ".join(["xi0", *[f"({b})*sin({2 * j}*xi0)*cosh({2 * j}*eta0)" for j, b in enumerate(beta, 1)]])
+    eta = " - ".join(["eta0", *[f"({b})*cos({2 * j}*xi0)*sinh({2 * j}*eta0)" for j, b in enumerate(beta, 1)]])
+    steps = [f"{name}_n0 AS (SELECT *, tan(asin(sin(xi1)/cosh(eta1))) AS tc, tan(asin(sin(xi1)/cosh(eta1))) AS t0 FROM {name}_x)"]
+    for i in range(4):
+        sigma = f"sinh(e*atanh(e*t{i}/sqrt(1 + t{i}*t{i})))"
+        now = f"(t{i}*sqrt(1 + {sigma}*{sigma}) - {sigma}*sqrt(1 + t{i}*t{i}))"
+        steps.append(f"{name}_n{i + 1} AS (SELECT *, t{i} + (tc - {now})/sqrt(1 + {now}*{now})*(1 + (1 - e*e)*t{i}*t{i})/((1 - e*e)*sqrt(1 + t{i}*t{i})) AS t{i + 1} FROM {name}_n{i})")
+    drop = "f, n, e, ra, xi0, eta0, xi1, eta1, tc, t0, t1, t2, t3, t4"
+    return f"""{name}_c AS (SELECT *, 1/298.257223563::DOUBLE AS f FROM {source}),
+ {name}_d AS (SELECT *, f/(2 - f) AS n, sqrt(f*(2 - f)) AS e FROM {name}_c),
+ {name}_r AS (SELECT *, 0.9996::DOUBLE*6378137/(1 + n)*(1 + n*n/4 + pow(n,4)/64) AS ra FROM {name}_d),
+ {name}_s AS (SELECT *, uy/ra AS xi0, (ux - 500000)/ra AS eta0 FROM {name}_r),
+ {name}_x AS (SELECT *, {xi} AS xi1, {eta} AS eta1 FROM {name}_s),
+ {", ".join(steps)},
+ {name} AS (SELECT * EXCLUDE ({drop}), degrees(atan2(sinh(eta1), cos(xi1))) - 3 AS lon, degrees(atan(t4)) AS lat FROM {name}_n4)"""
+
+
 def ols_sql(p: str, source: str, y: str, xs: Sequence[str]) -> str:
     """CTEs ``{p}_fit`` (one row: n, b0.., se0.., ssr, sst, inv, moments)."""
     k = len(xs)

@@ -117,8 +117,12 @@ def shape_metrics(ring: Column) -> dict[str, Column]:
     return shape_ratios(area, perimeter, ring_bounds(ring))
 
 
-def shape_ratios(area: Column, perimeter: Column, bounds: tuple) -> dict[str, Column]:
-    from latticeworks.functions.scalars import round_even
+def shape_ratios(area: Column, perimeter: Column, bounds: tuple, exact: bool = False) -> dict[str, Column]:
+    """The measures by name, rounded as published unless ``exact``."""
+    from latticeworks.functions import scalars
+
+    def round_even(value: Column, digits: int) -> Column:
+        return value if exact else scalars.round_even(value, digits)
 
     xmin, ymin, xmax, ymax = bounds
     long_side = F.greatest(xmax - xmin, ymax - ymin)

@@ -125,9 +125,11 @@ def fishnet(
     )
 
 
-def segment_cells(df: DataFrame, x0: float, y0: float, size: float) -> DataFrame:
+def segment_cells(df: DataFrame, x0: float, y0: float, size: float, pad: float = 0.0) -> DataFrame:
     """One row per (segment, crossed cell); segments run (ax, ay) - (bx, by).
 
+    With ``pad``, cells that near the segment that much along an axis are listed too.
+
     The segment is cut by the columns it spans; inside each column strip it
     crosses a run of rows. No cell outside the line is generated.
     """
@@ -137,9 +139,9 @@ def segment_cells(df: DataFrame, x0: float, y0: float, size: float) -> DataFrame
         return F.floor((v - F.lit(o)) / F.lit(float(size))).cast("long")
 
     cols = df.withColumn(
-        "col", F.explode(F.sequence(index(F.least(ax, bx), x0), index(F.greatest(ax, bx), x0)))
+        "col", F.explode(F.sequence(index(F.least(ax, bx) - pad, x0), index(F.greatest(ax, bx) + pad, x0)))
     )
-    strip_l, strip_r = F.lit(x0) + F.col("col") * size, F.lit(x0) + (F.col("col") + 1) * size
+    strip_l, strip_r = F.lit(x0) + F.col("col") * size - pad, F.lit(x0) + (F.col("col") + 1) * size + pad
 
     def y_at(x: Column) -> Column:
         return F.when(bx != ax, ay + (by - ay) * (x - ax) / (bx - ax)).otherwise(ay)
@@ -147,7 +149,7 @@ def segment_cells(df: DataFrame, x0: float, y0: float, size: float) -> DataFrame
     enter, leave = F.greatest(F.least(ax, bx), strip_l), F.least(F.greatest(ax, bx), strip_r)
     ya = F.when(bx != ax, y_at(enter)).otherwise(F.least(ay, by))
     yb = F.when(bx != ax, y_at(leave)).otherwise(F.greatest(ay, by))
-    rows = F.sequence(index(F.least(ya, yb), y0), index(F.greatest(ya, yb), y0))
+    rows = F.sequence(index(F.least(ya, yb) - pad, y0), index(F.greatest(ya, yb) + pad, y0))
     return cols.withColumn("row", F.explode(rows))
 
 

@@ -50,19 +50,28 @@ def change_indicators(df: DataFrame, years: Sequence[int]) -> DataFrame:
     )
 
 
+def _exact(column: str) -> Column:
+    """Sum that no order of adding changes: eight decimals, as a double."""
+    return F.sum(F.col(column).cast("decimal(28,8)")).cast("double")
+
+
+def _mean(column: str) -> Column:
+    return _exact(column) / F.count(column)
+
+
 def temporal_summary(df: DataFrame, region: str, years: Sequence[int]) -> DataFrame:
     """Per region and year: counts and heights; change over the whole period."""
     aggs = [F.count(F.lit(1)).alias("n_cells")]
     for y in years:
         aggs += [
-            round_even(F.sum(f"building_count_{y}"), 0).alias(f"total_building_count_{y}"),
-            round_even(F.avg(f"building_count_{y}"), 2).alias(f"mean_building_count_{y}"),
-            round_even(F.avg(f"mean_height_{y}"), 2).alias(f"mean_height_{y}"),
+            round_even(_exact(f"building_count_{y}"), 0).alias(f"total_building_count_{y}"),
+            round_even(_mean(f"building_count_{y}"), 2).alias(f"mean_building_count_{y}"),
+            round_even(_mean(f"mean_height_{y}"), 2).alias(f"mean_height_{y}"),
         ]
     aggs += [
-        round_even(F.sum("building_count_change"), 0).alias("building_count_change"),
-        round_even(F.avg("building_growth_rate"), 2).alias("mean_growth_rate"),
-        round_even(F.avg("vertical_growth_index"), 4).alias("mean_vgi"),
+        round_even(_exact("building_count_change"), 0).alias("building_count_change"),
+        round_even(_mean("building_growth_rate"), 2).alias("mean_growth_rate"),
+        round_even(_mean("vertical_growth_index"), 4).alias("mean_vgi"),
     ]
     return df.where(F.col(region).isNotNull()).groupBy(region).agg(*aggs)
 
@@ -164,11 +173,11 @@ def built_up_summary(df: DataFrame, region: str, epochs: Sequence[int]) -> DataF
     aggs = [F.count(F.lit(1)).alias("n_cells")]
     for e in epochs:
         aggs += [
-            round_even(F.avg(f"built_coverage_{e}"), 4).alias(f"mean_built_coverage_{e}"),
-            round_even(F.sum(f"built_surface_m2_{e}") / 1e6, 2).alias(f"total_built_surface_km2_{e}"),
+            round_even(_mean(f"built_coverage_{e}"), 4).alias(f"mean_built_coverage_{e}"),
+            round_even(_exact(f"built_surface_m2_{e}") / 1e6, 2).alias(f"total_built_surface_km2_{e}"),
         ]
     aggs += [
-        round_even(F.avg("long_term_growth"), 4).alias("mean_long_term_growth"),
-        round_even(F.avg("recent_growth_2010"), 4).alias("mean_recent_growth"),
+        round_even(_mean("long_term_growth"), 4).alias("mean_long_term_growth"),
+        round_even(_mean("recent_growth_2010"), 4).alias("mean_recent_growth"),
     ]
     return df.where(F.col(region).isNotNull()).groupBy(region).agg(*aggs)

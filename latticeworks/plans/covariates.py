@@ -101,8 +101,8 @@ def covariate_table(
     for name in wanted:
         try:
             out = joins.attach(out, modules[name](), key)
-        except AnalysisException as error:  # a missing input must not stop the others
-            if "PATH_NOT_FOUND" not in (error.getCondition() or ""):
+        except (AnalysisException, FileNotFoundError) as error:  # a missing input must not stop the others
+            if isinstance(error, AnalysisException) and "PATH_NOT_FOUND" not in (error.getCondition() or ""):
                 raise
             log.warning("module %s skipped: %s", name, error)
             skipped.append(name)
