@@ -1,17 +1,18 @@
 """Exact nearest neighbours by refining pairs of tiles, without all-pairs joins.
 
-Queries and targets are put on one square tile lattice. From a single root
-tile down, each kept (query tile, target tile) pair is split into its children,
-and a child pair is dropped once the target tile lies farther from the query
-tile than the k nearest targets can. Only tiles travel through the levels. At
-the leaves, a query tile has a short candidate list and each query row scans
-that list in place, so query rows are never multiplied or shuffled by
-candidate.
+Queries and targets are put on one square tile lattice. From a single root tile down, each kept (query
+tile, target tile) pair is split into smaller ones, and a child pair is dropped once the target tile lies
+farther from the query tile than the k nearest targets can. Depth is each branch's own: a target tile of
+few targets stays as it is, and a query tile leaves the descent with its list of target tiles once
+these hold few targets in all, so close pairs of targets are looked into where they lie and nowhere
+else. Only tiles travel through the levels. In the end each query row scans its tile's list in
+place, so query rows are never multiplied or shuffled by candidate.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,30 +20,10 @@ from pyspark.sql import functions as F
 from latticeworks.operators.joins import lookup_join
 from latticeworks.session import checkpointed
 
-LEAF_TARGETS = 4
-MAX_LEVELS = 24
-CHECKPOINT_EVERY = 6
-
-
-def _depth(targets: DataFrame, x0: float, y0: float, side: float, group: Sequence[str]) -> int:
-    """Fewest levels at which the fullest tile holds LEAF_TARGETS targets."""
-    finest = side / 2**MAX_LEVELS
-    fine = targets.select(
-        *group,
-        F.floor((F.col("_x") - x0) / finest).cast("long").alias("c"),
-        F.floor((F.col("_y") - y0) / finest).cast("long").alias("r"),
-    )
-    level, step = 0, 3
-    while level < MAX_LEVELS:
-        shift = 2 ** (MAX_LEVELS - level)
-        fullest = (
-            fine.groupBy(*group, F.floor(F.col("c") / shift), F.floor(F.col("r") / shift))
-            .count().agg(F.max("count")).first()[0]
-        )
-        if fullest is None or fullest <= LEAF_TARGETS:
-            break
-        level = min(level + step, MAX_LEVELS)
-    return level
+LEAF_TARGETS = 4  # a tile of no more targets is not split
+SCAN_TARGETS = 24  # a query tile whose list holds no more targets is not split
+FIRST, STEP = 4, 3  # levels of the first round, and of each further one
+FINEST = 44  # levels; positions closer than the plane / 2^44 share a tile
 
 
 def nearest(
@@ -94,77 +75,92 @@ def nearest(
         return queries.select("*", *groups, void)
     x0, y0 = min(b["a"] for b in bounds), min(b["b"] for b in bounds)
     side = max(max(b["c"] for b in bounds) - x0, max(b["d"] for b in bounds) - y0) * (1 + 1e-9) + 1e-6
-    depth = _depth(t, x0, y0, side, group)
-    leaf = side / 2**depth
+    scale = 2.0**FINEST / side
+    scan = max(SCAN_TARGETS, 3 * need)
+
+    def tile(c: str, level: int):
+        return F.floor(F.col(c) / 2.0 ** (FINEST - level)).cast("long")
 
     def tiled(df: DataFrame) -> DataFrame:
         return df.withColumns({
-            "_c": F.floor((F.col("_x") - x0) / leaf).cast("long"),
-            "_r": F.floor((F.col("_y") - y0) / leaf).cast("long"),
+            "_c": F.floor((F.col("_x") - x0) * scale).cast("long"),
+            "_r": F.floor((F.col("_y") - y0) * scale).cast("long"),
         })
 
     q, t = tiled(q), tiled(t)
-    # Every level starts from these two tile tables, so the query and target
-    # rows are read once for the whole descent.
-    q_leaf = checkpointed(q.where(F.col("_c").isNotNull()).select("_c", "_r").distinct())
-    t_leaf = checkpointed(t.groupBy(*group, "_c", "_r").agg(F.count(F.lit(1)).alias("n")))
-
-    def level_tiles(level: int) -> tuple[DataFrame, DataFrame]:
-        shift = 2 ** (depth - level)
-
-        def up(prefix: str) -> list:
-            c, r = F.floor(F.col("_c") / shift).cast("long"), F.floor(F.col("_r") / shift).cast("long")
-            return [c.alias(f"{prefix}c"), r.alias(f"{prefix}r")]
-
-        qs = q_leaf.select(*up("q")).distinct()
-        ts = t_leaf.select(*group, "n", *up("t")).groupBy(*group, "tc", "tr").agg(F.sum("n").alias("n"))
-        return qs, ts
-
-    def parents(df: DataFrame, prefix: str) -> DataFrame:
-        return df.withColumns({
-            f"{prefix}pc": F.floor(F.col(f"{prefix}c") / 2).cast("long"),
-            f"{prefix}pr": F.floor(F.col(f"{prefix}r") / 2).cast("long"),
-        })
-
-    def prune(pairs: DataFrame) -> DataFrame:
-        dc, dr = F.abs(F.col("qc") - F.col("tc")), F.abs(F.col("qr") - F.col("tr"))
-        near = F.pow(F.greatest(dc - 1, F.lit(0)), F.lit(2.0)) + F.pow(F.greatest(dr - 1, F.lit(0)), F.lit(2.0))
-        far = F.pow(dc + 1, F.lit(2.0)) + F.pow(dr + 1, F.lit(2.0))
+    # Every level starts from these two tables, so the query and target rows are read once for the descent.
+    q_fine = checkpointed(q.where(F.col("_c").isNotNull()).select("_c", "_r").distinct())
+    t_fine = checkpointed(t.groupBy(*group, "_c", "_r").agg(F.count(F.lit(1)).alias("n")))
+
+    def split(pairs: DataFrame, level: int, old: int) -> DataFrame:
+        """Children of pairs of level ``old``; target tiles of few targets stay."""
+        qs = q_fine.select(tile("_c", level).alias("qc"), tile("_r", level).alias("qr")).distinct().withColumns(
+            {"qpc": F.floor(F.col("qc") / 2 ** (level - old)).cast("long"), "qpr": F.floor(F.col("qr") / 2 ** (level - old)).cast("long")})
+        ts = t_fine.select(*group, "n", tile("_c", level).alias("tc"), tile("_r", level).alias("tr")).groupBy(*group, "tc", "tr").agg(F.sum("n").alias("n")).withColumns(
+            {"tpc": F.floor(F.col("tc") / 2 ** (level - old)).cast("long"), "tpr": F.floor(F.col("tr") / 2 ** (level - old)).cast("long")})
+        named = pairs.withColumnsRenamed({"qc": "qpc", "qr": "qpr"}).join(qs, ["qpc", "qpr"]).drop("qpc", "qpr")
+        large = named.where(F.col("n") > LEAF_TARGETS).drop("n", "tl").withColumnsRenamed({"tc": "tpc", "tr": "tpr"})
+        children = large.join(ts, [*group, "tpc", "tpr"]).drop("tpc", "tpr").withColumn("tl", F.lit(level))
+        return named.where(F.col("n") <= LEAF_TARGETS).unionByName(children)
+
+    def prune(pairs: DataFrame, level: int) -> DataFrame:
+        near, far = F.lit(0.0), F.lit(0.0)
+        width = F.pow(F.lit(2.0), F.lit(level) - F.col("tl"))  # of the target tile, in query tiles
+        for a, b in (("qc", "tc"), ("qr", "tr")):
+            low = F.col(b) * width
+            gap = F.greatest(low - F.col(a) - 1, F.col(a) - (low + width), F.lit(0.0))
+            span = F.greatest(low + width - F.col(a), F.col(a) + 1 - low)
+            near, far = near + gap * gap, far + span * span
         marked = pairs.withColumns({"near": near, "far": far})
         # Farthest corner within which the nearest tiles hold enough targets.
         # A query tile has few kept target tiles, so this window stays small.
         key = [*group, "qc", "qr"]
-        so_far = F.sum("n").over(
-            Window.partitionBy(*key).orderBy("far").rangeBetween(Window.unboundedPreceding, 0)
-        )
+        so_far = F.sum("n").over(Window.partitionBy(*key).orderBy("far").rangeBetween(Window.unboundedPreceding, 0))
         reach = F.min(F.when(F.col("so_far") >= need, F.col("far"))).over(Window.partitionBy(*key))
-        return (
-            marked.withColumn("so_far", so_far)
-            .withColumn("reach", reach)
-            .where(F.col("reach").isNull() | (F.col("near") <= F.col("reach")))
-            .select(*key, "tc", "tr")
-        )
-
-    qs, ts = level_tiles(0)
+        # The slack covers rounding at tile borders.
+        kept = marked.withColumn("so_far", so_far).withColumn("reach", reach).where(
+            F.col("reach").isNull() | (F.col("near") <= F.col("reach") * 1.01 + 0.01))
+        whole = Window.partitionBy(*key)
+        busy = (F.sum("n").over(whole) > scan) & (F.max("n").over(whole) > LEAF_TARGETS)
+        return kept.select(*key, "tl", "tc", "tr", "n", busy.alias("busy"))
+
+    level = 0
     # Level 0 is tile (0, 0) on both sides, once per group.
-    pairs = ts.select(*group, F.col("tc").alias("qc"), F.col("tr").alias("qr"), "tc", "tr")
-    for level in range(1, depth + 1):
-        qs, ts = level_tiles(level)
-        old = pairs.withColumnsRenamed({"qc": "qpc", "qr": "qpr", "tc": "tpc", "tr": "tpr"})
-        pairs = prune(
-            old.join(parents(qs, "q"), ["qpc", "qpr"]).join(parents(ts, "t"), [*group, "tpc", "tpr"])
-        )
-        if level % CHECKPOINT_EVERY == 0:
-            pairs = checkpointed(pairs)
-
-    candidates = (
-        pairs.join(
-            t.withColumnsRenamed({"_c": "tc", "_r": "tr", "_x": "_tx", "_y": "_ty"}), [*group, "tc", "tr"]
-        )
-        .groupBy(*group, F.col("qc").alias("_c"), F.col("qr").alias("_r"))
+    zero = F.lit(0).cast("long")
+    busy = t_fine.groupBy(*group).agg(F.sum("n").alias("n")).select(
+        *group, zero.alias("qc"), zero.alias("qr"), F.lit(0).alias("tl"), zero.alias("tc"), zero.alias("tr"), "n")
+    done, levels = [], [0]
+    open_ = (busy.agg(F.max("n")).first()[0] or 0) > scan
+    if not open_:  # few targets in all
+        done.append((0, busy.drop("n")))
+    while open_ and level < FINEST:
+        old, level = level, min(level + (STEP if level else FIRST), FINEST)
+        levels.append(level)
+        found = checkpointed(prune(split(busy, level, old), level))
+        counts = {x.busy: x["count"] for x in found.groupBy("busy").count().collect()}
+        busy = found.where("busy").drop("busy")
+        if counts.get(False):
+            done.append((level, found.where("NOT busy").drop("busy", "n")))
+        open_ = bool(counts.get(True))
+    if open_ and level == FINEST:
+        done.append((level, busy.drop("n")))
+    at = t.withColumn("tl", F.explode(F.array(*[F.lit(x) for x in levels])))
+    shift = F.pow(F.lit(2.0), F.lit(FINEST) - F.col("tl"))
+    at = at.withColumns({"tc": F.floor(F.col("_c") / shift).cast("long"), "tr": F.floor(F.col("_r") / shift).cast("long")})
+    at = at.drop("_c", "_r").withColumnsRenamed({"_x": "_tx", "_y": "_ty"})
+    pairs = reduce(DataFrame.unionByName, [found.withColumn("_ql", F.lit(x)) for x, found in done])
+    lists = (
+        pairs.join(at, [*group, "tl", "tc", "tr"])
+        .groupBy(*group, "_ql", F.col("qc").alias("_qc"), F.col("qr").alias("_qr"))
         .agg(F.collect_list(F.struct("_tx", "_ty", "_id", *[f"_a_{a}" for a in attributes])).alias("_cand"))
     )
-    matched = lookup_join(q, candidates, ["_c", "_r"], "left", probe=False)
+    # A row has one list (for each group), at one of the levels where lists were closed.
+    placed = q.where(F.col("_c").isNotNull()).withColumn("_ql", F.explode(F.array(*[F.lit(x) for x, _ in done])))
+    width = F.pow(F.lit(2.0), F.lit(FINEST) - F.col("_ql"))
+    placed = placed.withColumns({"_qc": F.floor(F.col("_c") / width).cast("long"), "_qr": F.floor(F.col("_r") / width).cast("long")})
+    matched = lookup_join(placed, lists, ["_ql", "_qc", "_qr"], "inner", probe=False)
+    nowhere = q.where(F.col("_c").isNull())
+    matched = matched.unionByName(nowhere, allowMissingColumns=True)
     kept = F.col("_cand")
     if exclude_same_key:
         kept = F.filter(kept, lambda c: c["_id"] != F.col(query_key))

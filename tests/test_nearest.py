@@ -55,3 +55,25 @@ def test_groups_and_missing_coordinates(spark):
     assert {r.kind: r.neighbours[0].distance for r in rows} == {"a": 5.0, "b": 10.0}
     one = {r.qid: r.nearest_distance for r in nearest.nearest_one(q, t, "qid", "tid").collect()}
     assert one == {1: 5.0, 2: None}
+
+
+def test_close_targets_are_looked_into_where_they_lie(spark):
+    """Targets a millimetre apart in a plane of 1,000 km, dense clusters, far-off queries."""
+    rng = np.random.default_rng(8)
+    t = [(i, 500_000 + 0.001 * (i % 3), 500_000 + 0.001 * (i // 3)) for i in range(6)]
+    t += [(100 + i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 1_000_000, (200, 2)))]
+    t += [(1000 + i, 200_000 + float(x), 700_000 + float(y)) for i, (x, y) in enumerate(rng.normal(0, 0.01, (300, 2)))]
+    q = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 1_000_000, (150, 2)))]
+    q += [(1000 + i, 500_000 + 0.0004 * i, 500_000.0007) for i in range(8)] + [(2000 + i, 200_000 + 0.003 * i, 700_000 - 0.002 * i) for i in range(-5, 6)]
+    qdf, tdf = spark.createDataFrame(q, "qid long, x double, y double"), spark.createDataFrame(t, "tid long, x double, y double")
+    for k in (1, 4):
+        want = brute(q, t, k)
+        for r in nearest.nearest(qdf, tdf, "qid", "tid", k).collect():
+            assert [n.distance for n in r.neighbours] == pytest.approx([d for d, _ in want[r.qid]], rel=1e-9, abs=1e-9)
+
+
+def test_more_wanted_than_there_are(spark):
+    q = spark.createDataFrame([(1, 0.0, 0.0), (2, 5.0, 5.0)], "qid long, x double, y double")
+    t = spark.createDataFrame([(1, 3.0, 4.0), (2, 6.0, 8.0)], "tid long, x double, y double")
+    rows = nearest.nearest(q, t, "qid", "tid", k=100).collect()
+    assert all(len(r.neighbours) == 2 for r in rows)
