@@ -112,13 +112,16 @@ def morans_i(spark, sf):
     return rounded(spark.createDataFrame(rows, "variable string, n long, moran_i double, expected_i double, z_norm double"))
 
 
+DENSE = 110  # buildings of a densely built cell
+
+
 def sparse_units(spark, sf):
-    """Cells with several buildings: a patchy sample with islands."""
-    df = cell_table(spark, sf).where(F.col("building_count") >= 3)
+    """Densely built cells: a patchy sample with islands."""
+    df = cell_table(spark, sf).where(F.col("building_count") >= DENSE)
     return checkpointed(df.select("grid_id", "zcol", "zrow", (F.col("zcol") * 400.0).alias("x"), (F.col("zrow") * 400.0).alias("y")))
 
 
-UNIT_SQL = """un AS (SELECT grid_id, zcol, zrow FROM celltab WHERE building_count >= 3),
+UNIT_SQL = f"""un AS (SELECT grid_id, zcol, zrow FROM celltab WHERE building_count >= {DENSE}),
  ue AS (SELECT a.grid_id AS i, b.grid_id AS j FROM un a JOIN un b ON b.zcol BETWEEN a.zcol - 1 AND a.zcol + 1 AND b.zrow BETWEEN a.zrow - 1 AND a.zrow + 1 AND a.grid_id <> b.grid_id)"""
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from latticeworks.catalog.registry import query, r, rounded
 from latticeworks.catalog.sqlmath import lonlat_sql
-from latticeworks.functions import projection
-from latticeworks.operators import polygons
+from latticeworks.functions import projection, scalars
+from latticeworks.operators import lines, polygons
 from latticeworks.plans import bindings as B
 from latticeworks.plans.bindings import with_sql
 
@@ -122,3 +122,47 @@ def polygon_measures(spark, sf):
     big = polygons.polygon_area(polygons.largest_part(F.col("parts")))
     out = measured.withColumns({"n_parts": F.size("parts"), "largest_part_m2": big}).drop("parts")
     return rounded(out, 4, largest_part_m2=3, area_m2=2, perimeter_m=2)
+
+
+def road_lines(spark, sf):
+    """Customers as winding roads of seven vertices."""
+    k = F.col("road_id")
+
+    def vertex(i):
+        return F.struct(
+            (F.col("ax") + (F.col("bx") - F.col("ax")) * i / 6 + (k * 31 + i * 17) % 7 * 40).cast("double").alias("x"),
+            (F.col("ay") + (F.col("by") - F.col("ay")) * i / 6 + (k * 13 + i * 29) % 5 * 60).cast("double").alias("y"))
+
+    return B.roads(spark, sf).select("road_id", "highway", F.transform(F.sequence(F.lit(0), F.lit(6)), vertex).alias("line"))
+
+
+LINES_SQL = """vt AS (SELECT road_id, highway, i, ax + (bx - ax)*i/6 + (road_id*31 + i*17) % 7*40 AS x, ay + (yb - ay)*i/6 + (road_id*13 + i*29) % 5*60 AS y FROM roads, (SELECT unnest(range(0, 7)) AS i)),
+ sg AS (SELECT a.road_id, a.highway, a.i, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) AS m FROM vt a JOIN vt b ON a.road_id = b.road_id AND b.i = a.i + 1),
+ rn AS (SELECT *, sum(m) OVER (PARTITION BY road_id ORDER BY i) AS to_m, sum(m) OVER (PARTITION BY road_id ORDER BY i) - m AS from_m, sum(m) OVER (PARTITION BY road_id) AS total FROM sg)"""
+_MAJOR = "highway IN ('primary', 'trunk_link', 'secondary')"
+
+
+@query(f"""{with_sql('roads')}, {LINES_SQL}, c AS (SELECT *, unnest(range(CAST(floor(least(x1,x2)/500) AS BIGINT), CAST(floor(greatest(x1,x2)/500) AS BIGINT)+1)) AS col FROM rn),
+ k AS (SELECT *, unnest(range(CAST(floor(least(y1,y2)/500) AS BIGINT), CAST(floor(greatest(y1,y2)/500) AS BIGINT)+1)) AS rw FROM c),
+ t AS (SELECT *, greatest(0, CASE WHEN x2 <> x1 THEN least((col*500-x1)/(x2-x1), (col*500+500-x1)/(x2-x1)) ELSE 0 END, CASE WHEN y2 <> y1 THEN least((rw*500-y1)/(y2-y1), (rw*500+500-y1)/(y2-y1)) ELSE 0 END) AS t0,
+  least(1, CASE WHEN x2 <> x1 THEN greatest((col*500-x1)/(x2-x1), (col*500+500-x1)/(x2-x1)) ELSE 1 END, CASE WHEN y2 <> y1 THEN greatest((rw*500-y1)/(y2-y1), (rw*500+500-y1)/(y2-y1)) ELSE 1 END) AS t1 FROM k),
+ o AS (SELECT road_id, highway, col, rw, any_value(total) AS m, sum((t1 - t0)*m) AS inside FROM t WHERE t0 < t1 GROUP BY ALL)
+SELECT col, rw AS "row", count(*) AS n_lines, {r('sum(m)', 3)} AS total_m, {r(f'coalesce(sum(m) FILTER ({_MAJOR}), 0)', 3)} AS major_m, {r('sum(inside)', 3)} AS inside_m FROM o GROUP BY col, rw""")
+def polyline_length_by_cell(spark, sf):
+    """Roads of many vertices: whole length once in each 500 m cell touched, and the length inside."""
+    segments = lines.measured_segments(road_lines(spark, sf), "road_id", columns=["highway"])
+    return rounded(lines.length_by_cell(segments, "road_id", 500.0, scalars.is_major_road("highway")), 3)
+
+
+@query(f"""{with_sql('roads')}, {LINES_SQL}, n AS (SELECT *, greatest(2, CAST(floor(total/100) AS INTEGER)) AS np FROM rn),
+ k AS (SELECT DISTINCT road_id, np, total, unnest(range(0, np)) AS k FROM n),
+ p AS (SELECT k.road_id, k.k, k.total*k.k/(k.np - 1) AS at_m, x1 + (x2 - x1)*least(1, (k.total*k.k/(k.np - 1) - from_m)/m) AS x, y1 + (y2 - y1)*least(1, (k.total*k.k/(k.np - 1) - from_m)/m) AS y
+  FROM k JOIN n USING (road_id) WHERE from_m <= k.total*k.k/(k.np - 1) + 1e-7 QUALIFY row_number() OVER (PARTITION BY k.road_id, k.k ORDER BY i DESC) = 1)
+SELECT road_id, count(*) AS n_points, {r('max(at_m)', 3)} AS length_m, {r('avg(x)', 3)} AS mean_x, {r('avg(y)', 3)} AS mean_y, {r('sum(at_m*x)', -1)} AS moment_x FROM p GROUP BY road_id""")
+def polyline_points(spark, sf):
+    """Places at equal steps along whole roads, across their vertices."""
+    placed = lines.points_along(lines.measured_segments(road_lines(spark, sf), "road_id"), "road_id")
+    out = placed.groupBy("road_id").agg(
+        F.count(F.lit(1)).alias("n_points"), F.max("at_m").alias("length_m"), F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"),
+        F.sum(F.col("at_m") * F.col("x")).alias("moment_x"))
+    return rounded(out, 3, moment_x=-1)

@@ -19,8 +19,8 @@ from latticeworks.session import checkpointed
 
 
 def zone_buildings(spark, sf):
-    """Small untaxed line items per grid cell, as its building count."""
-    li = B.table(spark, sf, "lineitem").where((F.col("l_quantity") <= 10) & (F.col("l_tax") == 0))
+    """Line items per grid cell, as its building count."""
+    li = B.table(spark, sf, "lineitem")
     at = B.pixel_index(F.col("l_orderkey"))
     return li.groupBy(at["zcol"].alias("zcol"), at["zrow"].alias("zrow")).agg(
         F.count(F.lit(1)).alias("building_count"), F.avg(F.col("l_extendedprice") / 100).alias("mean_building_area"))
@@ -53,7 +53,7 @@ def typed_sample(spark, sf):
 _FLAGS = ", ".join(f"coalesce(cell_built_fraction_mean, -1) > {t!r} AS in_valid_height_{k}" for k, t in A.THRESHOLDS.items())
 CELL_SQL = f"""{HEIGHT_SQL}, {SQL['stack']}, {BUILT_SQL}, {CENTRES_SQL},
  bc AS (SELECT l_orderkey % 125 // 5 AS zcol, l_orderkey // 125 // 5 AS zrow, count(*) AS building_count, avg(l_extendedprice/100) AS mean_building_area
-   FROM lineitem WHERE l_quantity <= 10 AND l_tax = 0 GROUP BY ALL),
+   FROM lineitem GROUP BY ALL),
  celltab AS (SELECT h.*, built_coverage_1975, built_coverage_2010, built_coverage_2015, building_count, mean_building_area,
    {re('dmin', 0)} AS distance_to_nearest_cbd_m, {BOXES_SQL.replace('lon ', 'h.lon ').replace('lat ', 'h.lat ')} AS region,
    coalesce(building_count, 0) > 0 AS in_national_footprint, {_FLAGS}
@@ -259,10 +259,15 @@ def zero_signal_composition(spark, sf):
     return rounded(A.zero_composition(typed_sample(spark, sf), "typology_class", "cell_anbh_derived_m"))
 
 
-@query(f"""{CELL_SQL} SELECT CASE WHEN in_national_footprint THEN 'in_national_footprint_only' ELSE 'in_valid_height_0p01_only' END AS direction, count(*) AS n,
- {r('avg(building_count)')} AS mean_buildings, {r('avg(cell_built_fraction_mean)')} AS mean_fraction FROM celltab WHERE in_national_footprint <> in_valid_height_0p01 GROUP BY 1""")
+@query(f"""{CELL_SQL}, two AS (SELECT *, coalesce(building_count, 0) >= 103 AS in_dense_cells, coalesce(cell_built_fraction_mean, 0) > 0.37 AS in_built_up_cells FROM celltab)
+SELECT CASE WHEN in_dense_cells THEN 'in_dense_cells_only' ELSE 'in_built_up_cells_only' END AS direction, count(*) AS n,
+ {r('avg(building_count)')} AS mean_buildings, {r('avg(cell_built_fraction_mean)')} AS mean_fraction FROM two WHERE in_dense_cells <> in_built_up_cells GROUP BY 1""")
 def mismatch_profile(spark, sf):
-    out = joins.mismatch(cell_table(spark, sf), "in_national_footprint", "in_valid_height_0p01", {
+    """Cells dense by the buildings' account only, built up by the pixels' account only."""
+    cells = cell_table(spark, sf).withColumns({
+        "in_dense_cells": F.coalesce("building_count", F.lit(0)) >= 103,
+        "in_built_up_cells": F.coalesce("cell_built_fraction_mean", F.lit(0.0)) > 0.37})
+    out = joins.mismatch(cells, "in_dense_cells", "in_built_up_cells", {
         "mean_buildings": F.avg("building_count"), "mean_fraction": F.avg("cell_built_fraction_mean")})
     return rounded(out)
 
@@ -370,13 +375,13 @@ def reproduction_difference(spark, sf):
 
 
 @query(f"""{with_sql('fp', 'clean', 'yearly', 'cells')}, a AS (SELECT grid_id, count(*) AS n_buildings FROM clean GROUP BY 1),
- b AS (SELECT grid_id, building_count_2001 AS last_count FROM yearly WHERE grid_id % 3 <> 0)
+ b AS (SELECT grid_id, building_count_2001 AS last_count FROM yearly)
 SELECT cells.grid_id, col, "row", n_buildings, last_count FROM cells LEFT JOIN a USING (grid_id) LEFT JOIN b USING (grid_id)""")
 def schema_safe_assembly(spark, sf):
     """Left joins that skip absent tables and columns already present."""
     grid = B.cells(spark, sf).select("grid_id", "col", "row")
     a = B.clean_footprints(spark, sf).groupBy("grid_id").agg(F.count(F.lit(1)).alias("n_buildings"))
-    y = B.yearly(spark, sf).where(F.col("grid_id") % 3 != 0)
+    y = B.yearly(spark, sf)
     b = y.select(F.col("grid_id").alias("grid_id_500m"), F.lit(0).alias("col"), F.col("building_count_2001").alias("last_count"))
     return joins.attach(joins.attach(joins.attach(grid, a, "grid_id"), b, "grid_id"), None, "grid_id")
 
