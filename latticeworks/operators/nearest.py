@@ -127,8 +127,9 @@ def nearest(
     level = 0
     # Level 0 is tile (0, 0) on both sides, once per group.
     zero = F.lit(0).cast("long")
-    busy = t_fine.groupBy(*group).agg(F.sum("n").alias("n")).select(
-        *group, zero.alias("qc"), zero.alias("qr"), F.lit(0).alias("tl"), zero.alias("tc"), zero.alias("tr"), "n")
+    # Written, so that the plan does not see constants and keeps joins on the tile.
+    busy = checkpointed(t_fine.groupBy(*group).agg(F.sum("n").alias("n")).select(
+        *group, zero.alias("qc"), zero.alias("qr"), F.lit(0).alias("tl"), zero.alias("tc"), zero.alias("tr"), "n"))
     done, levels = [], [0]
     open_ = (busy.agg(F.max("n")).first()[0] or 0) > scan
     if not open_:  # few targets in all
