@@ -177,9 +177,9 @@ def weights_audit_all_graphs(spark, sf):
 
 @query()
 def moran_permutation_inference(spark, sf):
-    """Seeded permutation p-values (99 replicates here, 999 by default)."""
+    """Seeded permutation p-values from 999 replicates."""
     df = sample(spark, sf)
-    return M.moran_table(df, M.queen_weights(df), replicates=99)
+    return M.moran_table(df, M.queen_weights(df))
 
 
 @query()

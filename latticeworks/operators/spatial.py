@@ -114,59 +114,86 @@ def permuted_position(index: Column, rep: Column, n: int, seed: int) -> Column:
     return let(let(network(index), walk), checked)
 
 
-def permutation_test(
-    units: DataFrame, key: str, weights: DataFrame, value: str,
+def permutation_tests(
+    units: DataFrame, key: str, weights: DataFrame, values: Sequence[str],
     replicates: int, seed: int, batch: int = 100,
-) -> dict[str, float]:
-    """Moran's I against random permutations of the values over the units.
-
-    Each replicate moves every value to its permuted position; replicates are
-    exploded in batches and only one sum per replicate reaches the driver.
+) -> dict[str, dict[str, float]]:
+    """Moran's I of several columns against random permutations of their values over the units.
+
+    All columns share the permutations. A batch of replicates is one array per
+    position: an edge meets the arrays of its two ends once, not once per
+    replicate, and what leaves a task is one partial sum per replicate and column.
+    Rows with a null in any of the columns are left out. A column without
+    spread has no test: its values are NaN.
     """
+    values = list(values)
+    units = units.na.drop(subset=values)
     sums = weight_sums(weights)
-    stats = units.agg(F.count(value).alias("n"), F.avg(value).alias("m")).first()
-    n = stats["n"]
-    numbered = order.ordinals(
-        units.select(key, (F.col(value) - F.lit(stats["m"])).alias("z")), key, "pos"
-    ).persist()
+    stats = units.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in values]).first()
+    n, k = stats["n"], len(values)
+    centred = F.array(*[(F.col(c) - F.lit(stats[c])).cast("double") for c in values])
+    numbered = order.ordinals(units.select(key, centred.alias("z")), key, "pos").persist()
+    place = numbered.select(F.col(key).alias("_u"), "pos")
+    edges = (
+        weights.join(place.withColumnsRenamed({"_u": "i", "pos": "pi"}), "i")
+        .join(place.withColumnsRenamed({"_u": "j", "pos": "pj"}), "j")
+        .select("pi", "pj", "w")
+        .persist()
+    )
     try:
-        den = numbered.agg(F.sum(F.col("z") * F.col("z"))).first()[0]
-        place = numbered.select(F.col(key).alias("_u"), "pos")
-        edges = (
-            weights.join(place.withColumnsRenamed({"_u": "i", "pos": "pi"}), "i")
-            .join(place.withColumnsRenamed({"_u": "j", "pos": "pj"}), "j")
-            .select("pi", "pj", "w")
-            .persist()
-        )
-        sims: list[float] = []
+        squares = numbered.agg(*[F.sum(F.col("z")[c] * F.col("z")[c]) for c in range(k)]).first()
+        own = _products(edges, numbered.select("pos", "z")).collect()  # one row per column
+        observed = {g["at"]: g["num"] for g in own}
+        sims = np.zeros((replicates, k))
         for start in range(0, replicates, batch):
-            reps = F.sequence(F.lit(start), F.lit(min(start + batch, replicates) - 1))
-            moved = numbered.select("pos", "z", F.explode(reps).alias("rep")).select(
-                "rep", permuted_position(F.col("pos"), F.col("rep"), n, seed).alias("p"), "z"
-            )
-            ends_j = moved.withColumnsRenamed({"p": "pj", "z": "zj"})
-            ends_i = moved.withColumnsRenamed({"p": "pi", "z": "zi"})
-            got = (
-                edges.join(ends_j, "pj").join(ends_i, ["rep", "pi"])
-                .groupBy("rep").agg(F.sum(F.col("w") * F.col("zi") * F.col("zj")).alias("num"))
-                .collect()  # one row per replicate
+            stop = min(start + batch, replicates)
+            moved = numbered.select("pos", "z", F.explode(F.sequence(F.lit(start), F.lit(stop - 1))).alias("rep")).select(
+                permuted_position(F.col("pos"), F.col("rep"), n, seed).alias("pos"), "rep", "z"
             )
-            sims += [n / sums.s0 * g["num"] / den for g in sorted(got, key=lambda g: g["rep"])]
-        edges.unpersist()
+            # A position gets exactly one value per replicate, so its list has the batch's length.
+            lists = moved.groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("rep", "z"))).alias("all"))
+            arrays = lists.select("pos", F.flatten(F.transform("all", lambda x: x["z"])).alias("z"))
+            for g in _products(edges, arrays).collect():  # batch x columns rows
+                sims[start + g["at"] // k, g["at"] % k] = g["num"]
     finally:
+        edges.unpersist()
         numbered.unpersist()
-    observed = moran(units, key, weights, value, sums)
-    arr = np.array(sims)
+    out = {}
+    for c, name in enumerate(values):
+        out[name] = _against(n, observed.get(c, 0.0), squares[c], sims[:, c], sums)
+    return out
+
+
+def _products(edges: DataFrame, arrays: DataFrame) -> DataFrame:
+    """(at, num): for every place in the arrays, the sum of w * z_i * z_j over the edges."""
+    first = edges.join(arrays.select(F.col("pos").alias("pj"), F.col("z").alias("zj")), "pj")
+    both = first.join(arrays.select(F.col("pos").alias("pi"), F.col("z").alias("zi")), "pi")
+    each = both.select("w", F.posexplode(F.zip_with("zi", "zj", lambda a, b: a * b)).alias("at", "zz"))
+    return each.groupBy("at").agg(F.sum(F.col("w") * F.col("zz")).alias("num"))
+
+
+def _against(n: int, num: float, square: float, nums: np.ndarray, sums: WeightSums) -> dict[str, float]:
+    """The row of one column: its Moran's I, and the replicates' spread and p."""
+    scale = n / sums.s0 / square if square and sums.s0 else float("nan")
+    observed, arr, replicates = _inference(n, scale * num, sums), scale * nums, len(nums)
     larger = int((arr >= observed.i).sum())
     larger = min(larger, replicates - larger)
-    sd = float(arr.std())
+    mean, sd = float(arr.mean()), float(arr.std())
     return {
         "n": n, "moran_i": observed.i, "expected_i": observed.expected, "permutations": replicates,
-        "mean_i_sim": float(arr.mean()), "sd_i_sim": sd, "z_sim": (observed.i - float(arr.mean())) / sd,
+        "mean_i_sim": mean, "sd_i_sim": sd, "z_sim": (observed.i - mean) / sd if sd else float("nan"),
         "p_sim": (larger + 1) / (replicates + 1), "z_norm": observed.z, "p_norm_two_sided": observed.p,
     }
 
 
+def permutation_test(
+    units: DataFrame, key: str, weights: DataFrame, value: str,
+    replicates: int, seed: int, batch: int = 100,
+) -> dict[str, float]:
+    """``permutation_tests`` of one column."""
+    return permutation_tests(units, key, weights, [value], replicates, seed, batch)[value]
+
+
 MORAN_SCHEMA = (
     "n long, moran_i double, expected_i double, permutations long, mean_i_sim double, "
     "sd_i_sim double, z_sim double, p_sim double, z_norm double, p_norm_two_sided double"

@@ -60,15 +60,18 @@ def moran_table(
 ) -> DataFrame:
     """Moran's I of outcomes, OLS residuals and filtered residuals, permuted.
 
-    An outcome is tested once; residuals once per nested model.
+    An outcome is tested once; residuals once per nested model. All of them
+    share one set of permutations.
     """
-    rows = []
+    tested = {}
     for (o, m), fit in nested_fits(df).items():
-        tested = df.select(key, F.col(fit.y).alias("outcome"), fit.residual().alias("ols_residuals"))
-        names = ["outcome", "ols_residuals"] if m == "A" else ["ols_residuals"]
-        for name in names:
-            got = spatial.permutation_test(tested.select(key, name), key, weights, name, replicates, seed)
-            rows.append((o, m, name, *got.values()))
+        if m == "A":
+            tested[o, m, "outcome"] = F.col(fit.y)
+        tested[o, m, "ols_residuals"] = fit.residual()
+    names = {f"t{i}": label for i, label in enumerate(tested)}
+    columns = df.select(key, *[tested[label].alias(c) for c, label in names.items()])
+    got = spatial.permutation_tests(columns, key, weights, list(names), replicates, seed)
+    rows = [(*label, *got[c].values()) for c, label in names.items()]
     return df.sparkSession.createDataFrame(
         rows, f"outcome string, model string, tested string, {spatial.MORAN_SCHEMA}"
     )

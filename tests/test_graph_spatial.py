@@ -81,6 +81,32 @@ def test_permutation_is_a_bijection_and_agrees_with_theory(spark):
     assert out["sd_i_sim"] == pytest.approx(sd, rel=0.35) and 0.01 <= out["p_sim"] <= 0.51
 
 
+def test_permutations_agree_with_their_closed_forms(spark):
+    """Mean and variance over all permutations (randomisation), for two columns at once."""
+    w, x, y, data = lattice_data(spark, 10, 0.4, 3)
+    weights = graph.row_standardised(graph.queen_edges(data, "id")).persist()
+    got = spatial.permutation_tests(data, "id", weights, ["x1", "y"], 999, 2018)
+    n, s0 = len(x), w.sum()
+    s1, s2 = ((w + w.T) ** 2).sum() / 2, ((w.sum(0) + w.sum(1)) ** 2).sum()
+    for name, v in (("x1", x), ("y", y)):
+        z = v - v.mean()
+        b2 = n * (z**4).sum() / (z**2).sum() ** 2
+        upper = n * ((n * n - 3 * n + 3) * s1 - n * s2 + 3 * s0**2) - b2 * ((n * n - n) * s1 - 2 * n * s2 + 6 * s0**2)
+        var = upper / ((n - 1) * (n - 2) * (n - 3) * s0**2) - 1 / (n - 1) ** 2
+        assert got[name]["moran_i"] == pytest.approx(n / s0 * (z @ w @ z) / (z @ z))
+        assert got[name]["mean_i_sim"] == pytest.approx(-1 / (n - 1), abs=4 * (var / 999) ** 0.5)
+        assert got[name]["sd_i_sim"] == pytest.approx(var**0.5, rel=0.1)
+    assert got["x1"] == pytest.approx(spatial.permutation_test(data, "id", weights, "x1", 999, 2018))
+
+
+def test_permutations_leave_out_nulls_and_flat_columns_have_no_test(spark):
+    df = spark.createDataFrame([(i, i, 0, float(i % 3), 1.0) for i in range(8)] + [(8, 8, 0, None, 1.0)], "id long, col long, row long, v double, flat double")
+    weights = graph.row_standardised(graph.queen_edges(df.where("id < 8"), "id"))
+    got = spatial.permutation_tests(df, "id", weights, ["v", "flat"], 19, 1, batch=7)
+    assert got["v"]["n"] == 8 and got["v"]["moran_i"] == pytest.approx(got["v"]["moran_i"])
+    assert np.isnan(got["flat"]["moran_i"]) and np.isnan(got["flat"]["z_sim"])
+
+
 def test_spatial_error_recovers_lambda(spark):
     _, _, _, df = lattice_data(spark, 30, 0.5, 9)
     weights = graph.row_standardised(graph.queen_edges(df, "id")).persist()
