@@ -11,9 +11,11 @@ over line ends: a best run begins and ends with a bigram of its template, so onl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from latticeworks.functions.rings import let
+
 # Notices by licence, as their publishers word them.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -65,15 +67,45 @@ def _table(known: list[tuple[str, list[str]]]) -> Column:
     return F.array(*[F.struct(F.lit(name).alias("name"), F.lit(len(g)).alias("b"), F.array(*map(F.lit, g)).alias("grams")) for name, g in known])
 
 
+def _windows(begin: Column, need: Column, span: Column, b: Column, least: float) -> Column:
+    """(d, j) of the windows from pair ``begin`` that reach ``least``: d is -dice, j the last pair.
+
+    ``need`` pairs are the fewest a window has. One pass with running counts: a pair is new in the window if its
+    last occurrence (``q`` pairs back) lies before it. A window is left out if a shorter one from the same begin
+    is better, for wherever the longer one is free the shorter one is free, too, and wins.
+    """
+    head = F.slice("p", begin + 1, need - 1)
+    zero = F.struct(
+        F.size(F.array_distinct(head)).alias("d"), F.size(F.array_intersect(head, F.col("t.grams"))).alias("m"),
+        F.lit(0.0).alias("top"), F.expr("CAST(array() AS array<struct<d: double, j: int>>)").alias("out"))
+
+    def step(s, k):
+        q, hit = F.get(F.col("q"), k), F.get(F.col("hit"), k)
+        fresh = F.when((q == 0) | (q > k - begin), 1).otherwise(0)
+        plain = let(fresh, lambda f: F.struct((s["d"] + f).alias("d"), (s["m"] + f).alias("m"), s["top"].alias("top"), s["out"].alias("out")))
+
+        def judged(x):
+            return let(x["m"] * 2.0 / (x["d"] + b), lambda dice: F.when((dice >= least) & (dice >= x["top"]), F.struct(
+                x["d"].alias("d"), x["m"].alias("m"), dice.alias("top"),
+                F.concat(x["out"], F.array(F.struct((-dice).alias("d"), k.alias("j")))).alias("out"))).otherwise(x))
+
+        missed = F.struct((s["d"] + fresh).alias("d"), s["m"].alias("m"), s["top"].alias("top"), s["out"].alias("out"))
+        return F.when(hit, let(plain, judged)).otherwise(missed)
+
+    return F.aggregate(F.sequence(begin + need - 1, F.least(begin + span, F.size("p")) - 1), zero, step)["out"]
+
+
 def _runs(lines: DataFrame, notices: list[tuple[str, list[str]]], texts: list[tuple[str, list[str]]], least: float) -> DataFrame:
     """(key, line_no, license, dice) of runs of words; ``lines`` has key and the lines, cleaned.
 
     A run has at most (2 - least) / least times its template's bigrams. Of runs that overlap the best stays
     (of equals the first, then the longest). None is given that touches a line with a row of its own, nor for
-    the licence of the whole text's row.
+    the licence of the whole text's row. A run starts only where enough of its template's bigrams follow
+    within its greatest length, and what leaves a row are (row, line, begin, end) of runs, no words.
     """
     known = notices + texts
     down, up = least / (2 - least), (2 - least) / least
+    longest = int(max(len(g) for _, g in known) * up + 1e-9)
     grams = F.array(*map(F.lit, sorted({x for _, g in known for x in g})))
     fewest = min(len(g) for _, g in known) * down
     split = _once(lines, "lw", F.transform("lines", lambda x: F.filter(F.split(x, " "), lambda y: y != "")))
@@ -82,38 +114,48 @@ def _runs(lines: DataFrame, notices: list[tuple[str, list[str]]], texts: list[tu
     fits = _once(near, "fits", F.filter(_table(known), lambda t: F.size(F.array_intersect("p", t["grams"])) >= t["b"] * down - 1e-9)).where(F.size("fits") > 0)
     # The number comes before the explosion: all templates of a row share it.
     each = fits.withColumn("row", F.monotonically_increasing_id()).select("row", "key", "lw", "p", F.explode("fits").alias("t"))
-    hits = _once(each, "h", F.filter(F.sequence(F.lit(0), F.size("p") - 1), lambda i: F.array_contains(F.col("t.grams"), F.get(F.col("p"), i))))
-    ends = hits.select("row", "key", "lw", "p", "t", "h", F.explode("h").alias("i"))
-    ends = ends.select("row", "key", "lw", "p", "t", "i", F.explode(F.filter("h", lambda j: (j - F.col("i") + 1 >= F.col("t.b") * down - 1e-9) & (j - F.col("i") + 1 <= F.col("t.b") * up + 1e-9))).alias("j"))
-    run = _once(ends, "r", F.array_distinct(F.slice("p", F.col("i") + 1, F.col("j") - F.col("i") + 1)))
-    dice = F.size(F.array_intersect("r", "t.grams")) * 2.0 / (F.size("r") + F.col("t.b"))
-    found = run.select("row", "key", "lw", (-dice).alias("d"), "i", "j", F.col("t.name").alias("name")).where(F.col("d") <= -least)
-    runs = found.groupBy("row").agg(F.first("key").alias("key"), F.first("lw").alias("lw"), F.array_sort(F.collect_set(F.struct("d", "i", (-F.col("j")).alias("j"), "name"))).alias("runs"))
+    each = _once(each, "hit", F.transform("p", lambda x: F.array_contains(F.col("t.grams"), x)))
+    each = _once(each, "h", F.filter(F.sequence(F.lit(0), F.size("p") - 1), lambda i: F.get(F.col("hit"), i)))
+    need, span = F.ceil(F.col("t.b") * down - 1e-9).cast("int"), F.floor(F.col("t.b") * up + 1e-9).cast("int")
+    # The hits are in order, so the need-th from here tells whether enough of them are near.
+    begins = F.filter("h", lambda i, x: F.coalesce(F.get(F.col("h"), x + need - 1) - i + 1 <= span, F.lit(False)))
+    each = _once(each, "begins", begins).where(F.size("begins") > 0).drop("h")
+    each = _once(each, "q", F.transform("p", lambda x, k: F.array_position(F.reverse(F.slice("p", F.greatest(k - longest, F.lit(0)) + 1, F.least(k, F.lit(longest)))), x)))
+    ran = F.flatten(F.transform("begins", lambda i: F.transform(_windows(i, need, span, F.col("t.b"), least), lambda y: F.struct(y["d"].alias("d"), i.alias("i"), (-y["j"]).alias("j")))))
+    found = _once(each, "runs", ran).where(F.size("runs") > 0).select("row", "key", "lw", "runs", F.col("t.name").alias("name"))
 
     def best(words):
         a = F.array_distinct(_pairs(words))
         return F.transform(_table(notices), lambda t: F.struct((F.size(F.array_intersect(a, t["grams"])) * 2.0 / (F.size(a) + t["b"])).alias("dice"), t["name"].alias("name"))) \
             if notices else F.expr("CAST(array() AS array<struct<dice double, name string>>)")
 
+    # A line of fewer or far more pairs than any notice can't be its own row; most are left out by that.
+    sizes = [len(g) for _, g in notices] or [0]
+
     def reached(words):
-        return F.exists(best(words), lambda x: x["dice"] >= least)
+        return (F.size(words) > min(sizes) * down) & F.exists(best(words), lambda x: x["dice"] >= least)
 
-    # first[k]: words before line k, so a run of pairs i to j touches the lines with words in i to j + 1.
-    first = F.transform("lw", lambda x, k: F.aggregate(F.slice("lw", 1, k), F.lit(0), lambda t, y: t + F.size(y)))
-    runs = _once(_once(runs, "first", first), "own", F.transform("lw", reached))
-    runs = _once(runs, "whole", F.transform(F.filter(best(F.flatten("lw")), lambda x: x["dice"] >= least), lambda x: x["name"]))
-    lines_of = F.sequence(F.lit(0), F.size("lw") - 1)
+    # line[k]: the line of word k; a run of pairs i to j touches the lines of words i to j + 1.
+    found = _once(_once(found, "line", F.flatten(F.transform("lw", lambda x, k: F.array_repeat(k, F.size(x))))), "own", F.transform("lw", reached))
+    found = _once(found, "whole", F.transform(F.filter(best(F.flatten("lw")), lambda x: x["dice"] >= least), lambda x: x["name"]))
 
     def free(x):
-        touched = F.exists(lines_of, lambda k: F.get(F.col("own"), k) & (F.get(F.col("first"), k) <= 1 - x["j"]) & (F.get(F.col("first"), k) + F.size(F.get(F.col("lw"), k)) > x["i"]))
-        return ~touched & ~F.array_contains("whole", x["name"])
-
-    kind = "array<struct<d double, i int, j int, name string>>"
-    chosen = F.aggregate(F.filter(F.col("runs"), free).cast(kind), F.expr(f"CAST(array() AS {kind})"), lambda got, x: F.when(
+        first, last = F.get(F.col("line"), x["i"]), F.get(F.col("line"), 1 - x["j"])
+        return ~F.exists(F.slice("own", first + 1, last - first + 1), lambda y: y)
+
+    listed = found.where(~F.array_contains("whole", F.col("name"))).select(
+        "row", "key", "name", F.explode(F.transform(F.filter("runs", free), lambda x: F.struct(x["d"].alias("d"), x["i"].alias("i"), x["j"].alias("j"), F.get(F.col("line"), x["i"]).alias("line")))).alias("x"))
+    # Runs that no chain of overlaps ties to each other don't compete: each such stretch is judged by itself.
+    before = Window.partitionBy("row").orderBy("i")
+    flat = listed.select("row", "key", "x.d", "x.i", "x.j", "name", "x.line")
+    reach = F.max(1 - F.col("j")).over(before.rowsBetween(Window.unboundedPreceding, -1))
+    tied = flat.withColumn("apart", F.coalesce(F.col("i") > reach, F.lit(True)).cast("long"))
+    tied = tied.withColumn("stretch", F.sum("apart").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = tied.groupBy("row", "stretch").agg(F.first("key").alias("key"), F.array_sort(F.collect_set(F.struct("d", "i", "j", "name", "line"))).alias("runs"))
+    kind = "array<struct<d double, i int, j int, name string, line int>>"
+    chosen = F.aggregate(F.col("runs").cast(kind), F.expr(f"CAST(array() AS {kind})"), lambda got, x: F.when(
         F.exists(got, lambda y: (x["i"] <= 1 - y["j"]) & (y["i"] <= 1 - x["j"])), got).otherwise(F.concat(got, F.array(x)).cast(kind)))
-    out = runs.select("key", "lw", "first", F.explode(chosen).alias("x"))
-    line = F.array_max(F.filter(lines_of, lambda k: (F.get(F.col("first"), k) <= F.col("x.i")) & (F.size(F.get(F.col("lw"), k)) > 0)))
-    return out.select("key", line.alias("line_no"), F.col("x.name").alias("license"), (-F.col("x.d")).alias("dice"))
+    return runs.select("key", F.explode(chosen).alias("x")).select("key", F.col("x.line").alias("line_no"), F.col("x.name").alias("license"), (-F.col("x.d")).alias("dice"))
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -260,3 +260,20 @@ def test_pipeline_stages(spark, tmp_path):
     check_packing(last, spark.read.parquet(str(tmp_path / "out")).collect(), 4096)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, before.limit(0), sf).count() == 0, name
+
+
+def test_license_runs_of_many_copies_and_edits(spark):
+    """Every copy of a wrapped notice gives one row, on the line it begins in; edits lower Dice as counted by hand."""
+    from latticeworks.llm import licenses
+
+    body = licenses.TEMPLATES[8][1]
+    lines = [x for i in range(12) for x in (f"Part {i} by some one", *body.replace(" are ", " are\n").split("\n"))]
+    got = sorted(tuple(r)[1:] for r in licenses.scan(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")).collect())
+    assert got == [(at, "BSD-2-Clause", 1.0) for at in range(1, 48, 4)]
+    words = licenses.words_of(body)
+    words[7] = "altered"
+    edited = " ".join(words[:10]) + "\n" + " ".join(words[10:])
+    a, b = {*zip(words, words[1:])}, {*zip(licenses.words_of(body), licenses.words_of(body)[1:])}
+    row = licenses.scan(spark.createDataFrame([(2, "before it\n" + edited + "\nafter it")], "doc_id long, text string"), [("X", body)]).collect()
+    assert [(r.line_no, r.license) for r in row] in ([(1, "X")], [(-1, "X")])
+    assert row[0].dice == pytest.approx(2 * len(a & b) / (len(a) + len(b))) or row[0].line_no == -1
