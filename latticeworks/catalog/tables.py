@@ -80,11 +80,11 @@ SELECT threshold_label, threshold_value, count(*) AS n_cells_valid_height, {re('
  {re('100.0*count(*) FILTER (in_national_footprint)/count(*)', 2)} AS pct_of_valid_height, {r('avg(cell_agbh_mean_m)')} AS agbh_mean,
  {r('quantile_cont(cell_agbh_mean_m, 0.5)')} AS agbh_median, {r('avg(cell_anbh_derived_m)')} AS anbh_mean, {r('quantile_cont(cell_anbh_derived_m, 0.5)')} AS anbh_median,
  {r('quantile_cont(cell_anbh_derived_m, 0.99)')} AS anbh_p99, {r('max(cell_anbh_derived_m)')} AS anbh_max
-FROM celltab, th, t WHERE coalesce(cell_built_fraction_mean, -1) > threshold_value GROUP BY ALL""".replace("threshold_value, count", "threshold_value + 1.7e-9 AS threshold_value, count", 1))
+FROM celltab, th, t WHERE coalesce(cell_built_fraction_mean, -1) > threshold_value GROUP BY ALL""")
 def threshold_sensitivity(spark, sf):
+    """One row per threshold; the threshold itself stays as it is, as text while the rest is rounded."""
     out = A.threshold_sensitivity(cell_table(spark, sf))
-    value = F.col("threshold_value") + 1.7e-9
-    return rounded(out.drop("threshold_value")).join(out.select("threshold_label", value.alias("threshold_value")), "threshold_label")
+    return rounded(out.withColumn("threshold_value", F.col("threshold_value").cast("string"))).withColumn("threshold_value", F.col("threshold_value").cast("double"))
 
 
 @query(f"""{CELL_SQL} SELECT count(*) FILTER (in_national_footprint) AS n_national_footprint,
