@@ -42,7 +42,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     and outlives a lost executor; the plan above it starts from the files."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``stored`` whose rows no later plan reads, not even after a lost executor:
+    call it only once all that was derived from them is itself stored or on the driver."""
+    for one in tables:
+        path = one.sparkSession._jvm.org.apache.hadoop.fs.Path(one.stored_at)
+        path.getFileSystem(one.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` is called so in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:

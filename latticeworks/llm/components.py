@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticeworks.llm.common import stored
+from latticeworks.llm.common import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -32,6 +32,7 @@ def components(links: DataFrame) -> DataFrame:
         # Small star: every node hands its smaller neighbours and itself to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         handed = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(handed.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        last, edges = edges, stored(handed.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(last)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)

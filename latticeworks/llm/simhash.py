@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticeworks.llm.common import in_tasks, join_groups, slices, stored
+from latticeworks.llm.common import in_tasks, join_groups, slices, stored, unused
 from latticeworks.llm.components import components
 
 SEED = 42
@@ -165,7 +165,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", re
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = 2, shingle: int = 3) -> DataFrame:
     """One row of each group of near duplicates (see ``near_duplicates``), all columns unchanged."""
-    placed = stored(docs.withColumn("__place", F.monotonically_increasing_id()), "placed")
-    found = near_duplicates(placed, key, text, reach, shingle, place="__place")
-    gone = found.where(~F.col("kept")).select(F.col("place").alias("__place"))
-    return placed.join(gone, "__place", "left_anti").drop("__place")
+    place = unused(docs, "__place")
+    placed = stored(docs.withColumn(place, F.monotonically_increasing_id()), "placed")
+    found = near_duplicates(placed, key, text, reach, shingle, place=place)
+    gone = found.where(~F.col("kept")).select(F.col("place").alias(place))
+    return placed.join(gone, place, "left_anti").drop(place)
