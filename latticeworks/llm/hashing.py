@@ -46,6 +46,19 @@ def flat(texts: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
+def spans(buf: np.ndarray, off: np.ndarray, outside: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(inside, start, end): which bytes belong to words, and the span of every word of every text."""
+    inside = ~outside[buf]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:]
+    cut = off[(off > 0) & (off < len(buf))]  # a word ends where its text ends
+    first[cut] |= inside[cut]
+    last[cut - 1] |= inside[cut - 1]
+    return inside, np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
 class Words:
     """Words of some texts: hash, byte span, and where each text's words begin."""
 
@@ -54,15 +67,7 @@ class Words:
         if lower:
             buf = _LOWER[buf]
         self.buf = buf
-        inside = ~(_NOT_ALNUM if alnum else _SPACE)[buf]
-        first = inside.copy()
-        first[1:] &= ~inside[:-1]
-        last = inside.copy()
-        last[:-1] &= ~inside[1:]
-        cut = off[(off > 0) & (off < len(buf))]  # a word ends where its text ends
-        first[cut] |= inside[cut]
-        last[cut - 1] |= inside[cut - 1]
-        self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        _, self.start, self.end = spans(buf, off, _NOT_ALNUM if alnum else _SPACE)
         self.text_at = np.searchsorted(self.start, off)
         self.offsets = off
         self.hash = self.head(None)

@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 import os
+import string
 import unicodedata
 import zlib
 
@@ -25,9 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticeworks.llm.common import in_tasks, slices, stored
+from latticeworks.llm.hashing import flat, spans
 
 UNIT = 32
 MAX_SEEN = 600_000
+# Words of letters are given to the library in lines of so many, a lone sign between them.
+LINE_WORDS, SIGN = 64, ","
 # Column generation stops after so many pivots, or so many that made nothing better.
 MAX_PIVOTS, MAX_STALL = 3_000, 100
 
@@ -40,7 +44,8 @@ class ChunkTokens(dict):
 
     For tokenizers whose splitter drops white space and takes runs of letters and of other signs as
     words: a text's ids are those of its runs in turn, and a run of letters with signs after it is
-    the two parts in turn. What was seen last stays known, MAX_SEEN runs at least.
+    the two parts in turn. What was seen last stays known, MAX_SEEN runs at least. Each distinct run of
+    a slice is looked up once; a text's ids are then gathered by the numbers of its runs.
     """
 
     def __init__(self, path: str):
@@ -53,8 +58,33 @@ class ChunkTokens(dict):
         self.library.no_padding()
         self.older: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        sign = self.library.encode(SIGN, add_special_tokens=False).ids
+        self.sign = sign[0] if len(sign) == 1 else None
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        found = self.library.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(x.ids, "<u4").tobytes() for x in found]
+
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters: no part of these is the sign, so that its id ends each of them."""
+        if self.sign is None:
+            return self._encode(words)
+        lines = [words[at : at + LINE_WORDS] for at in range(0, len(words), LINE_WORDS)]
+        asked = [f" {SIGN} ".join([*line, ""]) for line in lines]
+        out = []
+        for line, found in zip(lines, self.library.encode_batch_fast(asked, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            end = np.flatnonzero(ids == self.sign)
+            if len(end) != len(line):
+                out += self._encode(line)
+                continue
+            data, a = ids.tobytes(), 0
+            for b in (end * 4).tolist():
+                out.append(data[a:b])
+                a = b + 4
+        return out
 
-    def learn(self, chunks: set[bytes]) -> None:
+    def learn(self, chunks: list[bytes]) -> None:
         if len(self) + len(chunks) > MAX_SEEN:
             self.older = dict(self)
             self.clear()
@@ -68,23 +98,50 @@ class ChunkTokens(dict):
                     new.append(chunk)
                 else:
                     self[chunk] = known
-        split = []
+        parts = self.parts
+        parts[""] = b""
+        split, letters, others = [], set(), set()
         for chunk in new:
             text = chunk.decode("utf-8", "replace")
-            core = text.rstrip(".,!?;:")
+            core = text.rstrip(string.punctuation)
+            plain = core.isascii()
             # As normalised: some letters are lowered or composed to a letter and a mark.
-            whole = core.lower() if core.isascii() else unicodedata.normalize("NFC", core).lower()
-            split.append((core.lower() if core.isascii() else core, text[len(core) :]) if whole.isalpha() else (text, ""))
-        parts = self.parts
-        unknown = list({p for pair in split for p in pair if p and p not in parts})
-        for part, found in zip(unknown, self.library.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-            parts[part] = np.array(found.ids, "<u4").tobytes()
-        parts[""] = b""
+            whole = core.lower() if plain else unicodedata.normalize("NFC", core).lower()
+            if whole.isalpha():
+                pair = (whole if plain else core, text[len(core) :])
+                if pair[0] not in parts:
+                    letters.add(pair[0])
+                if pair[1] not in parts:
+                    others.add(pair[1])
+            else:
+                pair = (text, "")
+                if text not in parts:
+                    others.add(text)
+            split.append(pair)
+        for words, encode in ((list(letters), self._encode_letters), (list(others), self._encode)):
+            if words:
+                parts.update(zip(words, encode(words), strict=True))
         for chunk, (a, b) in zip(new, split, strict=True):
             self[chunk] = parts[a] + parts[b]
 
-    def ids(self, chunks: list[bytes]) -> bytes:
-        return b"".join(map(self.__getitem__, chunks))
+    def ids(self, texts: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin, with a last one)."""
+        buf, off = flat(texts)
+        inside, start, end = spans(buf, off)
+        at = np.zeros(len(start) + 1, np.int64)
+        np.cumsum(end - start, out=at[1:])
+        runs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(buf[inside])])
+        coded = runs.dictionary_encode()
+        chunks, number = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self.learn(chunks)
+        known = [self[x] for x in chunks]
+        size = np.array([len(x) // 4 for x in known], np.int64)
+        begin = np.cumsum(size) - size
+        own = size[number]
+        ends = np.zeros(len(own) + 1, np.int64)
+        np.cumsum(own, out=ends[1:])
+        place = np.arange(ends[-1]) + np.repeat(begin[number] - ends[:-1], own)
+        return np.frombuffer(b"".join(known), "<u4")[place], ends[np.searchsorted(start, off)]
 
 
 _TOKENS: dict[str, ChunkTokens] = {}
@@ -111,11 +168,10 @@ def _pieces(docs: DataFrame, path: str, end_id: int, size: int, key: str, text:
         for batch in batches:
             for first, texts in slices(batch, text):
                 tokens = _tokens(path)
-                split = [x.split() for x in texts.to_pylist()]
-                tokens.learn({w for x in split for w in x})
+                every, cuts = tokens.ids(texts)
                 rows = []
-                for i, x in enumerate(split):
-                    ids = tokens.ids(x) + end
+                for i, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist(), strict=False)):
+                    ids = every[a:b].tobytes() + end
                     n = len(ids) // 4
                     for at in range(0, len(ids) - full + 1, full):
                         rows.append((first + i, 0, at // 4, size, zlib.crc32(ids[at : at + full]), n, None))
