@@ -74,12 +74,12 @@ def ftrl(rows: list[tuple[np.ndarray, int]], alpha: float = 1.0, beta: float = 1
     return Model(np.flatnonzero(w).astype(np.int32), w[w != 0])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_clean: int = 3500, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean: int = 5000, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fit on the labelled rows of each label whose key hashes lowest, at most ``max_toxic`` and
     ``max_clean``; the bias is then moved to the labels' true share. Held-out keys are left out.
 
     Null keys and labels are not learnt from; of repeated labels of a key the highest counts, of
-    repeated documents any one. Without labels the model gives every text the score 0.5.
+    repeated documents the one whose features are lowest in byte order. Without labels the model gives every text the score 0.5.
     """
     known = (
         labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k IS NOT NULL AND y IS NOT NULL")
@@ -103,7 +103,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_clean:
                     "b": pa.array([p.tobytes() for p in parts], pa.binary()),
                 })
 
-    rows = in_tasks(picked, run, "k string, y int, b binary").dropDuplicates(["k"]).orderBy(F.xxhash64("k"), "k").collect()
+    rows = in_tasks(picked, run, "k string, y int, b binary").groupBy("k", "y").agg(F.min("b").alias("b")).orderBy(F.xxhash64("k"), "k").collect()
     model = ftrl([(np.frombuffer(bytes(r.b), np.int32), r.y) for r in rows])
     used = {y: sum(r.y == y for r in rows) for y in (0, 1)}
     if all(used.values()):
@@ -115,7 +115,11 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 2000, max_clean:
 
 
 def score(docs: DataFrame, model: Model, columns: list[str], text: str = "text", name: str = "score") -> DataFrame:
-    """``columns`` of every row and the probability of label 1 (double); null text counts as empty."""
+    """``columns`` of every row and the probability of label 1 (double).
+
+    Null text counts as empty and gets the score of the bias alone; repeated rows are scored alike; other
+    columns are ignored; an empty table gives an empty result. ``name`` must not be one of ``columns``.
+    """
     fields = [docs.schema[c] for c in columns]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{name}` double"
     ask = docs.select(*[F.col(c) for c in columns], F.col(text).alias("__x"))
