@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticeworks.llm.common import held_out, in_tasks, slices
+from latticeworks.llm.common import SLICE_BYTES, held_out, in_tasks, slices
 from latticeworks.llm.hashing import U, Words, mix
 
 BITS = 18
@@ -92,7 +92,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean:
 
     def run(batches):
         for batch in batches:
-            for first, texts in slices(batch, "x"):
+            for first, texts in slices(batch, "x", SLICE_BYTES // 4):
                 owner, bucket = features(texts)
                 pairs = np.unique(owner.astype(np.int64) << BITS | bucket)
                 cuts = np.searchsorted(pairs >> BITS, np.arange(1, len(texts)))
@@ -126,7 +126,7 @@ def score(docs: DataFrame, model: Model, columns: list[str], text: str = "text",
 
     def run(batches):
         for batch in batches:
-            for first, texts in slices(batch, "__x"):
+            for first, texts in slices(batch, "__x", SLICE_BYTES // 4):
                 out = {c: batch.column(c).slice(first, len(texts)) for c in columns}
                 yield pa.RecordBatch.from_pydict(out | {name: pa.array(model.scores(texts))})
 
