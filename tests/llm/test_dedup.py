@@ -202,3 +202,12 @@ def test_pipeline_stage_keeps_one_of_each_group_of_similar_texts(spark):
     rows = planted_near(random.Random(12))
     got = corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), "")
     assert sorted(r.doc_id for r in got.collect()) == brute_near(rows)
+
+
+def test_columns_named_like_those_used_inside_come_back_unchanged(spark):
+    rows = [(1, "a b c d e f g", "s"), (2, "A b c d e f g", "t"), (3, None, "u"), (4, "h i j k l m n", "v")]
+    docs = frame(spark, rows).selectExpr("*", "doc_id * 10 AS __place", "-doc_id AS __PLACE_")
+    for keep in (similar.keep_one, simhash.keep_one):
+        got = keep(docs)
+        assert got.columns == docs.columns
+        assert sorted((r.doc_id, r[-2], r[-1]) for r in got.collect()) == [(i, 10 * i, -i) for i in (1, 3, 4)]

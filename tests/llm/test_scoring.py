@@ -277,3 +277,22 @@ def test_license_runs_of_many_copies_and_edits(spark):
     row = licenses.scan(spark.createDataFrame([(2, "before it\n" + edited + "\nafter it")], "doc_id long, text string"), [("X", body)]).collect()
     assert [(r.line_no, r.license) for r in row] in ([(1, "X")], [(-1, "X")])
     assert row[0].dice == pytest.approx(2 * len(a & b) / (len(a) + len(b))) or row[0].line_no == -1
+
+
+def test_chunk_tokens_are_those_of_the_library_on_odd_runs():
+    rng = random.Random(3)
+    signs = [*"abXYst.,!?;:&$_<>|'() \n\t", "é", "́", "̸", "İ", "Σ", "ᄀ", "ᅡ", ";", "　", "中", "7", "²", "Ⅷ", "🙂", "<|endoftext|>", "'ll"]
+    values = ["".join(rng.choices(signs, k=rng.randrange(14))) for _ in range(5000)] + ["", " , "]
+    tokens = packing.ChunkTokens(WORD)
+    for part in (values[:2500], values[2500:], [""], []):
+        ids, at = tokens.ids(texts(*part))
+        found = tokens.library.encode_batch_fast(part, add_special_tokens=False)
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [x.ids for x in found]
+
+
+def test_toxicity_of_repeated_documents_does_not_depend_on_their_order(spark):
+    docs = [(i, f"kind words number {i}") for i in range(30)] + [(i, f"vile filth number {i}") for i in range(30, 60)]
+    docs += [(i, f"another text {i}") for i in range(0, 60, 3)]
+    labels = spark.createDataFrame([(i, int(i >= 30)) for i in range(60)], "doc_id long, toxic int")
+    models = [toxicity.train(spark.createDataFrame(x, "doc_id long, text string").repartition(n), labels) for x, n in ((docs, 1), (docs[::-1], 4))]
+    assert np.array_equal(models[0].buckets, models[1].buckets) and np.allclose(models[0].weights, models[1].weights)
