@@ -101,13 +101,13 @@ def boundary_clip(spark, sf):
     ring = F.array(*[R.point(F.lit(x), F.lit(y)) for x, y in TRIANGLE])
     fp = B.footprints(spark, sf)
     near = fp.where(F.col("x").between(500, 9500) & F.col("y").between(200, 60_000))
-    return near.where(R.point_in_ring(F.col("x"), F.col("y"), ring)).groupBy("grid_id").agg(F.count(F.lit(1)).alias("n_inside"))
+    return near.where(R.strictly_in_ring(F.col("x"), F.col("y"), ring)).groupBy("grid_id").agg(F.count(F.lit(1)).alias("n_inside"))
 
 
 @query(f"""{with_sql('px')} SELECT count(*) FILTER ({_inside_sql('(col+0.5)*100', '("row"+0.5)*100')}) AS n_inside, count(*) AS n_pixels FROM px""")
 def boundary_pixel_mask(spark, sf):
     ring = F.array(*[R.point(F.lit(x), F.lit(y)) for x, y in TRIANGLE])
-    inside = R.point_in_ring((F.col("col") + 0.5) * 100, (F.col("row") + 0.5) * 100, ring)
+    inside = R.strictly_in_ring((F.col("col") + 0.5) * 100, (F.col("row") + 0.5) * 100, ring)
     return B.pixels(spark, sf).agg(F.count_if(inside).alias("n_inside"), F.count(F.lit(1)).alias("n_pixels"))
 
 

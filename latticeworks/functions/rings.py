@@ -154,6 +154,21 @@ def point_in_ring(x: Column, y: Column, ring: Column) -> Column:
     return crossings % 2 == 1
 
 
+def on_ring(x: Column, y: Column, ring: Column) -> Column:
+    """True on a vertex or an edge of a closed ring."""
+    return F.exists(
+        segments(ring),
+        lambda s: ((s.q.x - s.p.x) * (y - s.p.y) == (s.q.y - s.p.y) * (x - s.p.x))
+        & x.between(F.least(s.p.x, s.q.x), F.greatest(s.p.x, s.q.x))
+        & y.between(F.least(s.p.y, s.q.y), F.greatest(s.p.y, s.q.y)),
+    )
+
+
+def strictly_in_ring(x: Column, y: Column, ring: Column) -> Column:
+    """``point_in_ring`` without the points of the ring itself."""
+    return point_in_ring(x, y, ring) & ~on_ring(x, y, ring)
+
+
 def tidy_ring(ring: Column) -> Column:
     """Drop repeated neighbouring vertices and close the ring."""
 

@@ -89,3 +89,13 @@ def test_segments_cover_exactly_the_crossed_cells(spark):
         mine = [r for r in pieces if r.id == i]
         assert sum(r.len for r in mine) == pytest.approx(((bx - ax) ** 2 + (by - ay) ** 2) ** 0.5)
         assert len({(r.col, r.row) for r in mine}) == len(mine)
+
+
+def test_strictly_in_ring_leaves_out_the_ring_itself(spark):
+    df = frame(spark, {"l": SHAPE_L, "slant": [(500, 200), (9500, 1200), (4300, 60_000), (500, 200)]})
+    tests = {"l": {(0.5, 0.5): True, (0, 0): False, (0, 0.5): False, (0.5, 0): False, (2, 0.5): False, (1, 1.5): False, (1.5, 1.5): False},
+             "slant": {(8850, 8550): False, (8849, 8550): True, (8851, 8550): False}}  # the first lies on the second side
+    for k, points in tests.items():
+        for (x, y), want in points.items():
+            inside = rings.strictly_in_ring(F.lit(float(x)), F.lit(float(y)), F.col("ring"))
+            assert df.where(F.col("k") == k).select(inside).first()[0] is want, (k, x, y)
