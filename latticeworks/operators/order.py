@@ -230,10 +230,10 @@ def lorenz(df: DataFrame, value: str, points: int) -> DataFrame:
     )
 
 
-def ordinals(df: DataFrame, key: str, out: str) -> DataFrame:
-    """0-based rank of each row by a unique numeric key."""
+def ordinals(df: DataFrame, key: str, out: str, ties: Sequence[str] = ()) -> DataFrame:
+    """0-based rank of each row by a numeric key; ``ties`` names what orders rows of one key, if it is not unique."""
     ranged = with_range(df.withColumn("_k", F.col(key).cast("double")), "_k", value_cuts(df, key))
-    return _number(ranged, RANGE, [key], out).drop("_k", RANGE)
+    return _number(ranged, RANGE, [key, *ties], out).drop("_k", RANGE)
 
 
 def stable_ids(df: DataFrame, keys: Sequence[str], out: str, pattern: str) -> DataFrame:

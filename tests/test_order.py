@@ -115,3 +115,12 @@ def test_mode_breaks_ties_low_and_shares_sum_to_one(spark):
     assert {r.g: r.c for r in cells.modal_value(df, ["g"], "c").collect()} == {1: "a", 2: "z"}
     s = cells.class_shares(df, ["g"], "c", ["a", "b"]).collect()
     assert {r.g: (r.share_a, r.share_b) for r in s} == {1: (0.5, 0.5), 2: (None, None)}
+
+
+def test_ordinals_break_ties_by_the_named_columns(spark):
+    rows = [(int(i), int(i) * 7919 % 13) for i in np.random.default_rng(5).permutation(400)]
+    want = {i: at for at, (k, i) in enumerate(sorted((k, i) for i, k in rows))}
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows, "i long, k long").repartition(parts)
+        got = order.ordinals(df, "k", "rank0", ["i"]).collect()
+        assert {r.i: r.rank0 for r in got} == want
