@@ -2,10 +2,11 @@
 
 Queries and targets are put on one square tile lattice. From a single root tile down, each kept (query
 tile, target tile) pair is split into smaller ones, and a child pair is dropped once the target tile lies
-farther from the query tile than the k nearest targets can. Depth is each branch's own: a target tile of
-few targets stays as it is, and a query tile leaves the descent with its list of target tiles once
-these hold few targets in all, so close pairs of targets are looked into where they lie and nowhere
-else. Only tiles travel through the levels. In the end each query row scans its tile's list in
+farther from every corner of the query tile than the k nearest targets can: what is closer at all corners
+is closer everywhere in the tile. Depth is each branch's own: a target tile of few targets stays as it is,
+a query tile far off all its targets stays whole while these are split further (its parts would keep the
+same list), and a query tile leaves the descent with its list of target tiles once these hold few targets
+in all, so close pairs of targets are looked into where they lie and nowhere else. Only tiles travel through the levels. In the end each query row scans its tile's list in
 place, so query rows are never multiplied or shuffled by candidate.
 """
 
@@ -14,15 +15,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from latticeworks.operators.joins import lookup_join
+from latticeworks.functions.rings import let
 from latticeworks.session import checkpointed
 
 LEAF_TARGETS = 4  # a tile of no more targets is not split
-SCAN_TARGETS = 24  # a query tile whose list holds no more targets is not split
-FIRST, STEP = 4, 3  # levels of the first round, and of each further one
+SCAN_TARGETS = 64  # a query tile whose list holds no more targets is not split; at least ``SCAN_SHARE`` for each wanted
+SCAN_SHARE = 20
+SHORT_LIST = 24  # longer lists are gone through once more, target by target
+FAR = 4.0  # a query tile as many of its widths off all its targets is not split
+FIRST, STEP = 4, 3  # levels of the first round, and of each further one while pairs are few
+MANY_PAIRS = 50_000  # from here one level at a time: children of eight by eight tiles are mostly dropped again
+SLACK, EDGE = 1e-12, 0.02  # of a distance, and in finest tiles
 FINEST = 44  # levels; positions closer than the plane / 2^44 share a tile
 
 
@@ -59,7 +65,7 @@ def nearest(
     ).na.drop(subset=["_x", "_y"])
     # Of targets on one spot only the lowest ``need`` ids can ever be returned.
     same_spot = Window.partitionBy(*group, "_x", "_y").orderBy("_id")
-    t = t.withColumn("_rn", F.row_number().over(same_spot)).where(F.col("_rn") <= need).drop("_rn")
+    t = checkpointed(t.withColumn("_rn", F.row_number().over(same_spot)).where(F.col("_rn") <= need).drop("_rn"))
     q = queries.select("*", number("x").alias("_x"), number("y").alias("_y"))
     q = q.withColumns({"_x": F.when(F.col("_y").isNotNull(), F.col("_x")), "_y": F.when(F.col("_x").isNotNull(), F.col("_y"))})
     bounds = [
@@ -76,7 +82,7 @@ def nearest(
     x0, y0 = min(b["a"] for b in bounds), min(b["b"] for b in bounds)
     side = max(max(b["c"] for b in bounds) - x0, max(b["d"] for b in bounds) - y0) * (1 + 1e-9) + 1e-6
     scale = 2.0**FINEST / side
-    scan = max(SCAN_TARGETS, 3 * need)
+    scan = max(SCAN_TARGETS, SCAN_SHARE * need)
 
     def tile(c: str, level: int):
         return F.floor(F.col(c) / 2.0 ** (FINEST - level)).cast("long")
@@ -98,86 +104,133 @@ def nearest(
             {"qpc": F.floor(F.col("qc") / 2 ** (level - old)).cast("long"), "qpr": F.floor(F.col("qr") / 2 ** (level - old)).cast("long")})
         ts = t_fine.select(*group, "n", tile("_c", level).alias("tc"), tile("_r", level).alias("tr")).groupBy(*group, "tc", "tr").agg(F.sum("n").alias("n")).withColumns(
             {"tpc": F.floor(F.col("tc") / 2 ** (level - old)).cast("long"), "tpr": F.floor(F.col("tr") / 2 ** (level - old)).cast("long")})
-        named = pairs.withColumnsRenamed({"qc": "qpc", "qr": "qpr"}).join(qs, ["qpc", "qpr"]).drop("qpc", "qpr")
+        moved = pairs.where("NOT held").drop("ql").withColumnsRenamed({"qc": "qpc", "qr": "qpr"}).join(qs, ["qpc", "qpr"]).drop("qpc", "qpr")
+        named = moved.withColumn("ql", F.lit(level)).unionByName(pairs.where("held"))
         large = named.where(F.col("n") > LEAF_TARGETS).drop("n", "tl").withColumnsRenamed({"tc": "tpc", "tr": "tpr"})
         children = large.join(ts, [*group, "tpc", "tpr"]).drop("tpc", "tpr").withColumn("tl", F.lit(level))
-        return named.where(F.col("n") <= LEAF_TARGETS).unionByName(children)
-
-    def prune(pairs: DataFrame, level: int) -> DataFrame:
-        near, far = F.lit(0.0), F.lit(0.0)
-        width = F.pow(F.lit(2.0), F.lit(level) - F.col("tl"))  # of the target tile, in query tiles
-        for a, b in (("qc", "tc"), ("qr", "tr")):
-            low = F.col(b) * width
-            gap = F.greatest(low - F.col(a) - 1, F.col(a) - (low + width), F.lit(0.0))
-            span = F.greatest(low + width - F.col(a), F.col(a) + 1 - low)
-            near, far = near + gap * gap, far + span * span
-        marked = pairs.withColumns({"near": near, "far": far})
-        # Farthest corner within which the nearest tiles hold enough targets.
-        # A query tile has few kept target tiles, so this window stays small.
-        key = [*group, "qc", "qr"]
-        so_far = F.sum("n").over(Window.partitionBy(*key).orderBy("far").rangeBetween(Window.unboundedPreceding, 0))
-        reach = F.min(F.when(F.col("so_far") >= need, F.col("far"))).over(Window.partitionBy(*key))
-        # The slack covers rounding at tile borders.
-        kept = marked.withColumn("so_far", so_far).withColumn("reach", reach).where(
-            F.col("reach").isNull() | (F.col("near") <= F.col("reach") * 1.01 + 0.01))
+        return named.where(F.col("n") <= LEAF_TARGETS).unionByName(children).drop("held")
+
+    def prune(pairs: DataFrame) -> DataFrame:
+        # Everything in finest tiles. Shuffled first, so that the distances do not travel.
+        key = [*group, "ql", "qc", "qr"]
+        sized = pairs.repartition(*key).withColumns({
+            "wide": F.pow(F.lit(2.0), F.lit(FINEST) - F.col("ql")), "size": F.pow(F.lit(2.0), F.lit(FINEST) - F.col("tl"))})
+        at = sized.withColumns({c: F.col(tile) * F.col(by) for c, tile, by in (
+            ("west", "qc", "wide"), ("south", "qr", "wide"), ("left", "tc", "size"), ("low", "tr", "size"))})
+        wide, size, west, south, left, low = (F.col(c) for c in ("wide", "size", "west", "south", "left", "low"))
+
+        def gap(x, y, side=0.0):
+            """From a point, or from a square's south-west corner, to the nearest place in the target tile."""
+            return F.hypot(*[F.greatest(a - p - side, p - a - size, F.lit(0.0)) for a, p in ((left, x), (low, y))])
+
+        def farthest(x, y):
+            return F.hypot(*[F.greatest(F.abs(a - p), F.abs(a + size - p)) for a, p in ((left, x), (low, y))])
+
+        corners = [(west + wide * i, south + wide * j) for i in (0, 1) for j in (0, 1)]
+        marked = at.select(
+            *pairs.columns, farthest(west + wide / 2, south + wide / 2).alias("middle"), (gap(west, south, wide) / wide).alias("apart"),
+            *[gap(x, y).alias(f"near{i}") for i, (x, y) in enumerate(corners)], *[farthest(x, y).alias(f"far{i}") for i, (x, y) in enumerate(corners)])
+        # The tiles around the middle that hold enough targets: farther off all corners than these nothing is needed.
+        # A query tile has few kept target tiles, so these windows stay small.
         whole = Window.partitionBy(*key)
+        so_far = F.sum("n").over(whole.orderBy("middle").rangeBetween(Window.unboundedPreceding, 0))
+        enough = F.min(F.when(F.col("so_far") >= need, F.col("middle"))).over(whole)
+        counted = marked.withColumn("so_far", so_far).withColumn("enough", enough)
+        reach = [F.max(F.when(F.col("middle") <= F.col("enough"), F.col(f"far{i}"))).over(whole) for i in range(4)]
+        reached = counted.withColumns({f"reach{i}": r for i, r in enumerate(reach)})
+        # The slack covers rounding of positions and distances.
+        within = reduce(lambda a, b: a | b, [F.col(f"near{i}") <= F.col(f"reach{i}") * (1 + SLACK) + EDGE for i in range(4)])
+        kept = reached.where(F.col("enough").isNull() | within)
         busy = (F.sum("n").over(whole) > scan) & (F.max("n").over(whole) > LEAF_TARGETS)
-        return kept.select(*key, "tl", "tc", "tr", "n", busy.alias("busy"))
+        held = F.min("apart").over(whole) >= FAR
+        return kept.select(*key, "tl", "tc", "tr", "n", busy.alias("busy"), held.alias("held"))
 
     level = 0
     # Level 0 is tile (0, 0) on both sides, once per group.
     zero = F.lit(0).cast("long")
     # Written, so that the plan does not see constants and keeps joins on the tile.
     busy = checkpointed(t_fine.groupBy(*group).agg(F.sum("n").alias("n")).select(
-        *group, zero.alias("qc"), zero.alias("qr"), F.lit(0).alias("tl"), zero.alias("tc"), zero.alias("tr"), "n"))
-    done, levels = [], [0]
+        *group, F.lit(0).alias("ql"), zero.alias("qc"), zero.alias("qr"), F.lit(0).alias("tl"), zero.alias("tc"), zero.alias("tr"), "n",
+        F.lit(False).alias("held")))
+    done, levels, closed = [], [0], set()
     open_ = (busy.agg(F.max("n")).first()[0] or 0) > scan
     if not open_:  # few targets in all
-        done.append((0, busy.drop("n")))
+        done.append(busy)
+        closed.add(0)
+    step = FIRST
     while open_ and level < FINEST:
-        old, level = level, min(level + (STEP if level else FIRST), FINEST)
+        old, level = level, min(level + step, FINEST)
         levels.append(level)
-        found = checkpointed(prune(split(busy, level, old), level))
-        counts = {x.busy: x["count"] for x in found.groupBy("busy").count().collect()}
+        found = checkpointed(prune(split(busy, level, old)))
+        at_levels = found.groupBy("busy").agg(F.collect_set("ql").alias("ql"), F.count(F.lit(1)).alias("n")).collect()  # at most one number per level
+        ql = {x.busy: x.ql for x in at_levels}
         busy = found.where("busy").drop("busy")
-        if counts.get(False):
-            done.append((level, found.where("NOT busy").drop("busy", "n")))
-        open_ = bool(counts.get(True))
+        if False in ql:
+            done.append(found.where("NOT busy").drop("busy"))
+            closed.update(ql[False])
+        open_ = True in ql
+        step = 1 if any(x.busy and x.n > MANY_PAIRS for x in at_levels) else STEP
     if open_ and level == FINEST:
-        done.append((level, busy.drop("n")))
+        done.append(busy)
+        closed.update(ql[True])
     at = t.withColumn("tl", F.explode(F.array(*[F.lit(x) for x in levels])))
     shift = F.pow(F.lit(2.0), F.lit(FINEST) - F.col("tl"))
     at = at.withColumns({"tc": F.floor(F.col("_c") / shift).cast("long"), "tr": F.floor(F.col("_r") / shift).cast("long")})
     at = at.drop("_c", "_r").withColumnsRenamed({"_x": "_tx", "_y": "_ty"})
-    pairs = reduce(DataFrame.unionByName, [found.withColumn("_ql", F.lit(x)) for x, found in done])
+    pairs = reduce(DataFrame.unionByName, done).drop("n", "held").withColumnsRenamed({"ql": "_ql", "qc": "_qc", "qr": "_qr"})
+    width = F.pow(F.lit(2.0), F.lit(FINEST) - F.col("_ql"))
     lists = (
         pairs.join(at, [*group, "tl", "tc", "tr"])
-        .groupBy(*group, "_ql", F.col("qc").alias("_qc"), F.col("qr").alias("_qr"))
+        .groupBy(*group, "_ql", "_qc", "_qr")
         .agg(F.collect_list(F.struct("_tx", "_ty", "_id", *[f"_a_{a}" for a in attributes])).alias("_cand"))
+        .withColumns({"_wide": width / scale, "_west": F.lit(x0) + F.col("_qc") * width / scale, "_south": F.lit(y0) + F.col("_qr") * width / scale})
     )
+    short = F.when(F.size("_cand") > SHORT_LIST, _needed(F.col("_cand"), F.col("_west"), F.col("_south"), F.col("_wide"), need, EDGE / scale)).otherwise(F.col("_cand"))
+    lists = lists.withColumn("_cand", short).drop("_wide", "_west", "_south")
     # A row has one list (for each group), at one of the levels where lists were closed.
-    placed = q.where(F.col("_c").isNotNull()).withColumn("_ql", F.explode(F.array(*[F.lit(x) for x, _ in done])))
-    width = F.pow(F.lit(2.0), F.lit(FINEST) - F.col("_ql"))
+    placed = q.where(F.col("_c").isNotNull()).withColumn("_ql", F.explode(F.array(*[F.lit(x) for x in sorted(closed)])))
     placed = placed.withColumns({"_qc": F.floor(F.col("_c") / width).cast("long"), "_qr": F.floor(F.col("_r") / width).cast("long")})
-    matched = lookup_join(placed, lists, ["_ql", "_qc", "_qr"], "inner", probe=False)
+    matched = placed.join(lists, ["_ql", "_qc", "_qr"])  # tiles of many rows are split by AQE; lists are never repeated
     nowhere = q.where(F.col("_c").isNull())
     matched = matched.unionByName(nowhere, allowMissingColumns=True)
     kept = F.col("_cand")
     if exclude_same_key:
         kept = F.filter(kept, lambda c: c["_id"] != F.col(query_key))
-    measured = F.transform(kept, lambda c: F.struct(
-        F.hypot(c["_tx"] - F.col("_x"), c["_ty"] - F.col("_y")).alias("distance"),
-        c["_id"].alias("id"),
-        *[c[f"_a_{a}"].alias(a) for a in attributes],
-    ))
+
+    def away(c: Column) -> Column:
+        return F.hypot(c["_tx"] - F.col("_x"), c["_ty"] - F.col("_y"))
+
+    def found(c: Column) -> Column:
+        return F.struct(away(c).alias("distance"), c["_id"].alias("id"), *[c[f"_a_{a}"].alias(a) for a in attributes])
+
     if k == 1:
-        first = F.transform(F.array(measured), lambda m: F.array_min(m))
+        first = F.transform(F.array(F.transform(kept, found)), lambda m: F.array_min(m))
         best = F.filter(first, lambda b: b.isNotNull())
     else:
-        best = F.slice(F.array_sort(measured), 1, k)
+        # Only what is no farther than the k-th distance is sorted as a whole.
+        last = F.element_at(F.slice(F.array_sort(F.transform(kept, away)), 1, k), -1)
+        best = let(F.struct(kept.alias("c"), last.alias("d")), lambda s: F.slice(F.array_sort(F.transform(
+            F.filter(s["c"], lambda c: away(c) <= s["d"]), found)), 1, k))
     return matched.select(*queries.columns, *group, best.alias("neighbours"))
 
 
+def _needed(cand: Column, west: Column, south: Column, wide: Column, need: int, edge: float) -> Column:
+    """Candidates that some place of a tile needs, by the same test of its corners, on single targets."""
+    def away(c: Column, x: Column, y: Column) -> Column:
+        return F.hypot(c["_tx"] - x, c["_ty"] - y)
+
+    corners = [(west + wide * i, south + wide * j) for i in (0, 1) for j in (0, 1)]
+    middle = F.array_sort(F.transform(cand, lambda c: F.struct(away(c, west + wide / 2, south + wide / 2).alias("d"), c.alias("c"))))
+    first = let(middle, lambda m: F.transform(F.slice(m, 1, need), lambda s: s["c"]))
+
+    def farthest(near: Column, at: tuple[Column, Column]) -> Column:
+        return F.array_max(F.transform(near, lambda c: away(c, *at)))
+
+    reach = let(first, lambda near: F.array(*[farthest(near, at) for at in corners]))
+    return let(reach, lambda far: F.filter(cand, lambda c: reduce(
+        lambda a, b: a | b, [away(c, *at) <= far[i] * (1 + SLACK) + edge for i, at in enumerate(corners)])))
+
+
 def nearest_one(queries: DataFrame, targets: DataFrame, query_key: str, target_key: str,
                 attributes: Sequence[str] = (), prefix: str = "nearest") -> DataFrame:
     """Distance, id and attributes of the single nearest target."""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from latticeworks.functions import projection, scalars
 from latticeworks.functions.scalars import round_even
 from latticeworks.operators import joins, lattice, nearest
+from latticeworks.session import checkpointed
 from latticeworks.sources import lookups
 
 log = logging.getLogger(__name__)
@@ -85,8 +86,9 @@ def category_distances(
 
 def urban_distance(cells: DataFrame, key: str, coverage: str, threshold: float = 0.05) -> DataFrame:
     """Distance to the nearest cell at or above the coverage threshold."""
-    urban = cells.where(F.coalesce(F.col(coverage), F.lit(0.0)) >= threshold)
-    found = nearest.nearest_one(cells.select(key, "x", "y"), urban.select(key, "x", "y"), key, key)
+    # Written once: the search reads both sides several times, and the coverage may be costly to get.
+    at = checkpointed(cells.select(key, "x", "y", (F.coalesce(F.col(coverage), F.lit(0.0)) >= threshold).alias("_urban")))
+    found = nearest.nearest_one(at.select(key, "x", "y"), at.where("_urban").select(key, "x", "y"), key, key)
     return found.select(key, F.col("nearest_distance").alias("distance_to_urban_edge_m"))
 
 

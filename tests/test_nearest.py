@@ -77,3 +77,23 @@ def test_more_wanted_than_there_are(spark):
     t = spark.createDataFrame([(1, 3.0, 4.0), (2, 6.0, 8.0)], "tid long, x double, y double")
     rows = nearest.nearest(q, t, "qid", "tid", k=100).collect()
     assert all(len(r.neighbours) == 2 for r in rows)
+
+
+def test_far_off_queries_do_not_meet_every_target(spark, monkeypatch):
+    """A long strip of queries beside one small cluster: pairs of tiles stay few, results exact."""
+    rng = np.random.default_rng(9)
+    t = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 1000, (900, 2)).round(2))]
+    q = [(i, float(x), float(y)) for i, (x, y) in enumerate(zip(rng.uniform(0, 1000, 1500).round(1), np.linspace(0, 2_000_000, 1500).round(1)))]
+    written, cut = [], nearest.checkpointed
+
+    def counted(df):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(nearest, "checkpointed", counted)
+    qdf, tdf = spark.createDataFrame(q, "qid long, x double, y double"), spark.createDataFrame(t, "tid long, x double, y double")
+    want = brute(q, t, 3)
+    for r in nearest.nearest(qdf, tdf, "qid", "tid", 3).collect():
+        assert [n.id for n in r.neighbours] == [i for _, i in want[r.qid]], r.qid
+    assert max(written) < 15_000, written
