@@ -29,7 +29,8 @@ def lookup_join(
     that the left keys are salted and the right side is repeated once per
     salt, so one hot key is shared by ``salts`` tasks (AQE may split further).
     Pass ``probe=False`` for a right side that is costly to compute: it is
-    then not counted first, and AQE broadcasts it if it turns out small.
+    then not counted first and never broadcast, since its size is only guessed
+    from the files it stems from, whatever an explode made of them.
     """
     on = list(on)
     if probe and is_small(right):
@@ -37,7 +38,7 @@ def lookup_join(
     # The salt is drawn from the whole row, so rows of one key spread out.
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    return salted.join(copies.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
 def attach(base: DataFrame, extra: DataFrame | None, key: str) -> DataFrame:
@@ -153,14 +154,14 @@ def locate(
     if first_by is not None:  # the regions of a tile side by side; each point picks the first that holds it
         value = F.struct(F.col(first_by).alias("_o"), *attributes, "ring")
         cover = cover.groupBy("_tx", "_ty").agg(F.collect_list(value).alias("_regions"))
-        found = lookup_join(tiled, cover, ["_tx", "_ty"], "left", probe=False)
+        found = lookup_join(tiled, cover, ["_tx", "_ty"], "left")
         holding = F.filter("_regions", lambda c: point_in_ring(F.col("x"), F.col("y"), c["ring"]))
         first = F.array_min(F.transform(holding, lambda c: F.struct(c["_o"], *[c[a].alias(a) for a in attributes])))
         return found.select(*points.columns, first.alias("_a")).select(*points.columns, *[F.col(f"_a.{a}") for a in attributes])
     salts = 1 if is_small(cover) else SALTS
     tiled = tiled.withColumn("_salt", F.pmod(F.xxhash64(*point_key), F.lit(salts)).cast("int"))
     cover = cover.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    right = F.broadcast(cover) if salts == 1 else cover
+    right = F.broadcast(cover) if salts == 1 else cover.hint("merge")
     left, right = tiled.alias("p"), right.alias("r")
     keys = [F.col(f"p.{k}") == F.col(f"r.{k}") for k in ("_tx", "_ty", "_salt")]
     inside = point_in_ring(F.col("p.x"), F.col("p.y"), F.col("r.ring"))
