@@ -165,9 +165,12 @@ def permutation_tests(
 
 
 def _products(edges: DataFrame, arrays: DataFrame) -> DataFrame:
-    """(at, num): for every place in the arrays, the sum of w * z_i * z_j over the edges."""
-    first = edges.join(arrays.select(F.col("pos").alias("pj"), F.col("z").alias("zj")), "pj")
-    both = first.join(arrays.select(F.col("pos").alias("pi"), F.col("z").alias("zi")), "pi")
+    """(at, num): for every place in the arrays, the sum of w * z_i * z_j over the edges.
+
+    The arrays are long and never broadcast: their size is guessed from the units', before replicates.
+    """
+    first = edges.join(arrays.select(F.col("pos").alias("pj"), F.col("z").alias("zj")).hint("merge"), "pj")
+    both = first.join(arrays.select(F.col("pos").alias("pi"), F.col("z").alias("zi")).hint("merge"), "pi")
     each = both.select("w", F.posexplode(F.zip_with("zi", "zj", lambda a, b: a * b)).alias("at", "zz"))
     return each.groupBy("at").agg(F.sum(F.col("w") * F.col("zz")).alias("num"))
 

@@ -32,3 +32,21 @@ def test_locate_does_not_broadcast_many_regions(spark, tmp_path):
             out = joins.locate(pts, regions, ["p"], tile, first_by=first)
             assert "BroadcastHashJoin" not in _plan(out)
             assert out.where("p = region").count() == n
+
+
+def test_permuted_arrays_are_not_broadcast(spark, monkeypatch):
+    from latticeworks.operators import spatial
+
+    plans, products = [], spatial._products
+
+    def watched(edges, arrays):
+        out = products(edges, arrays)
+        plans.append(_plan(out))
+        return out
+
+    monkeypatch.setattr(spatial, "_products", watched)
+    units = spark.range(60).select(F.col("id").alias("u"), (F.col("id") * 7 % 13).cast("double").alias("v"))
+    ring = spark.range(60).select(F.col("id").alias("i"), ((F.col("id") + 1) % 60).alias("j"), F.lit(1.0).alias("w"))
+    got = spatial.permutation_test(units, "u", ring, "v", 20, 1, batch=10)
+    assert got["n"] == 60 and len(plans) == 3
+    assert not any("BroadcastHashJoin" in p.split("InMemoryRelation")[0] for p in plans)
