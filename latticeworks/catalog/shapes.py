@@ -61,8 +61,8 @@ SELECT grid_id, count(*) AS n_inside FROM fp JOIN ins USING (x, y) GROUP BY grid
 def polygon_boundary_clip(spark, sf):
     """Footprints inside a country with lakes and islands."""
     fp = B.footprints(spark, sf).select("grid_id", "x", "y")
-    found = polygons.holders(fp, country_edges(spark, sf), "key", 250.0)
-    return found.where(F.size("polygons") > 0).groupBy("grid_id").agg(F.count(F.lit(1)).alias("n_inside"))
+    found = polygons.held(fp, country_edges(spark, sf), 250.0)
+    return found.where("inside").groupBy("grid_id").agg(F.count(F.lit(1)).alias("n_inside"))
 
 
 def _centres(df):
@@ -74,7 +74,7 @@ SELECT CASE WHEN ins.x IS NOT NULL THEN CAST(floor(c.y/400) AS BIGINT) END AS zo
  count(*) AS n_pixels, {r('avg(net)', 6)} AS mean_net FROM c LEFT JOIN ins ON c.x = ins.x AND c.y = ins.y GROUP BY 1, 2""")
 def clipped_zone_pixels(spark, sf):
     """Pixels by the clipped cell that holds their centre; those in lakes or outside have no zone."""
-    found = polygons.zone_cells(_centres(B.pixels(spark, sf)), country_edges(spark, sf), "key", 400.0)
+    found = polygons.zone_cells(_centres(B.pixels(spark, sf)), country_edges(spark, sf), 400.0)
     return rounded(found.groupBy("zone_row", "zone_col").agg(F.count(F.lit(1)).alias("n_pixels"), F.avg("net").alias("mean_net")))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticeworks.functions import rings
-from latticeworks.operators.joins import lookup_join
+from latticeworks.operators.joins import BROADCAST_ROWS, is_small, lookup_join
 from latticeworks.operators.lattice import segment_cells
 
 # Where in a cell its reference point lies; no lattice coordinate falls on it.
@@ -232,11 +232,42 @@ def holders(points: DataFrame, edges: DataFrame, key: str, size: float, x0: floa
     return found.select(*points.columns, F.coalesce(keys, F.array().cast(kind)).alias(out))
 
 
-def zone_cells(pixels: DataFrame, edges: DataFrame, key: str, size: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
+def held(points: DataFrame, edges: DataFrame, size: float, x0: float = 0.0, y0: float = 0.0, out: str = "inside") -> DataFrame:
+    """Points (x, y) with ``out``: whether they are in the polygons, by the even-odd rule over all (closed) rings.
+
+    For points that stand in columns, as pixel centres and snapped coordinates do: an edge is cut only by the
+    columns it crosses, so cost grows with the crossings and not with the edges' length in cells. A point is
+    inside if an odd number of crossings lies below it: running counts along each column, block by block
+    (64 ``size`` high), so that no task holds a whole column. Points without coordinates are outside. On an
+    edge either answer may come.
+    """
+    strip = F.floor((F.col("x") - x0) / size)
+    columns = points.select("x").where("x IS NOT NULL").distinct().select("x", strip.alias("_strip"))
+    ax, ay, bx, by = (F.col(c) for c in EDGE)
+    cut = edges.select(*EDGE).where("ax <> bx").withColumn("_strip", F.explode(F.sequence(
+        F.floor((F.least("ax", "bx") - x0) / size), F.floor((F.greatest("ax", "bx") - x0) / size))))
+    near = cut.join(F.broadcast(columns), "_strip") if is_small(columns, BROADCAST_ROWS) else lookup_join(cut, columns, ["_strip"], "inner", probe=False)
+    crossings = near.where((ax > F.col("x")) != (bx > F.col("x"))).select("x", (ay + (by - ay) * (F.col("x") - ax) / (bx - ax)).alias("y"))
+    placed = F.col("x").isNotNull() & F.col("y").isNotNull()
+    block = F.floor((F.col("y") - y0) / (64 * size)).alias("_block")
+    here, cross = points.where(placed).select("*", block), crossings.select("x", "y", block)
+    # What the blocks below hold, for each block with a point or a crossing.
+    each = here.select("x", "_block", F.lit(0).alias("_n")).unionByName(cross.select("x", "_block", F.lit(1).alias("_n"))).groupBy("x", "_block").agg(F.sum("_n").alias("_n"))
+    below = Window.partitionBy("x").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    base = each.select("x", "_block", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_n"), F.lit(0).alias("_kind"))
+    rows = here.withColumns({"_n": F.lit(0).cast("long"), "_kind": F.lit(2)})
+    rows = rows.unionByName(cross.withColumns({"_n": F.lit(1).cast("long"), "_kind": F.lit(1)}), allowMissingColumns=True)
+    rows = rows.unionByName(base, allowMissingColumns=True)
+    # The base row has no y and comes first.
+    order = Window.partitionBy("x", "_block").orderBy(F.col("y").asc_nulls_first(), "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    told = rows.withColumn(out, F.sum("_n").over(order) % 2 == 1).where("_kind = 2").select(*points.columns, out)
+    return told.unionByName(points.where(~placed).withColumn(out, F.lit(False)))
+
+
+def zone_cells(pixels: DataFrame, edges: DataFrame, size: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
     """Pixels (x, y of their centres) with the row and column of the clipped cell that holds the centre; null outside."""
-    found = holders(pixels, edges, key, size, x0, y0, "_in")
-    inside = F.size("_in") > 0
+    found = held(pixels, edges, size, x0, y0, "_in")
     return found.select(
         *pixels.columns,
-        F.when(inside, F.floor((F.col("y") - y0) / size).cast("long")).alias("zone_row"),
-        F.when(inside, F.floor((F.col("x") - x0) / size).cast("long")).alias("zone_col"))
+        F.when(F.col("_in"), F.floor((F.col("y") - y0) / size).cast("long")).alias("zone_row"),
+        F.when(F.col("_in"), F.floor((F.col("x") - x0) / size).cast("long")).alias("zone_col"))

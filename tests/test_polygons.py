@@ -107,3 +107,21 @@ def test_no_ring_in_the_plan_and_empty_inputs(spark):
     assert P.cover(edges.limit(0), "k", 5.0).count() == 0
     assert P.holders(points, edges.limit(0), "k", 5.0).first().polygons == []
     assert P.holders(points.limit(0), edges, "k", 5.0).count() == 0
+
+
+def test_held_in_tall_polygons_against_crossing_counts(spark):
+    """Edges tens of thousands of cells long: each is cut only by the columns of points it crosses."""
+    rng = random.Random(8)
+    tall = 1e6
+    ring = [(x, y * tall) for x, y in star(rng, 50, 50, 40, 600)]
+    lake = [(x, y * tall) for x, y in star(rng, 50, 50, 8, 60)[::-1]]
+    parts = [[ring, lake], [[(x, y * tall) for x, y in star(rng, 95, 95, 4, 12)]]]
+    points = [(i, i % 23 * 4.3 + 0.1, rng.uniform(-5, 105) * tall) for i in range(3000)] + [(7000, None, 1.0), (7001, 50.0, None)]
+    points += [(8000, 49.9, 80.0 * tall)] * 2
+    df = spark.createDataFrame(points, "id long, x double, y double").repartition(5)
+    edges = P.edge_table(frame(spark, {"c": parts}), "k", "parts")
+    got = [(r.id, r.inside) for r in P.held(df, edges, 1.0).collect()]
+    assert sorted(got) == sorted((i, x is not None and y is not None and odd(x, y, parts)) for i, x, y in points)
+    assert P.held(df.limit(0), edges, 1.0).count() == 0
+    assert not any(r.inside for r in P.held(df, edges.limit(0), 1.0).collect())
+    assert {r.id: r.zone_col for r in P.zone_cells(df, edges, 7.0).collect()}[7000] is None
