@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Mapping
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from latticeworks.operators.joins import lookup_join
 from latticeworks.operators.nearest import knn_edges, nearest  # noqa: F401
@@ -29,12 +33,20 @@ def row_standardised(edges: DataFrame) -> DataFrame:
     return edges.select("i", "j", (1.0 / degree).alias("w"))
 
 
-def attach_islands(cells: DataFrame, key: str, edges: DataFrame) -> DataFrame:
-    """Join every unit without neighbours to its nearest unit, both ways."""
+def attach_islands(cells: DataFrame, key: str, edges: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """Join every unit without neighbours to its nearest unit, both ways.
+
+    ``near`` gives edges (i, j, distance) of ``knn_edges`` over the same units, if they are there already:
+    the nearest unit is among them.
+    """
     linked = edges.select(F.col("i").alias(key)).distinct()
     islands = cells.join(linked, key, "left_anti")
-    found = nearest(islands.select(key, "x", "y"), cells, key, key, 1, exclude_same_key=True)
-    new = found.select(F.col(key).alias("i"), F.explode("neighbours.id").alias("j"))
+    if near is None:
+        found = nearest(islands.select(key, "x", "y"), cells, key, key, 1, exclude_same_key=True)
+        new = found.select(F.col(key).alias("i"), F.explode("neighbours.id").alias("j"))
+    else:
+        asked = near.join(islands.select(F.col(key).alias("i")), "i", "left_semi")
+        new = asked.groupBy("i").agg(F.min(F.struct("distance", "j")).alias("first")).select("i", F.col("first.j").alias("j"))
     both = new.unionByName(new.select(F.col("j").alias("i"), F.col("i").alias("j")))
     return edges.select("i", "j").unionByName(both).distinct()
 
@@ -98,15 +110,38 @@ def component_sizes(labels: DataFrame) -> DataFrame:
 
 def audit(cells: DataFrame, key: str, edges: DataFrame) -> DataFrame:
     """Units, islands, components and the range of neighbour counts."""
-    degrees = edges.groupBy(F.col("i").alias(key)).agg(F.count(F.lit(1)).alias("d"))
-    per_unit = cells.select(key).join(degrees, key, "left").na.fill(0, ["d"])
-    base = per_unit.agg(
+    return audits(cells, key, {"": edges}).drop("spec")
+
+
+def audits(cells: DataFrame, key: str, specs: Mapping[str, DataFrame]) -> DataFrame:
+    """``audit`` of several graphs over the same units, one row per name in ``spec``.
+
+    The graphs go through one search for components, side by side: a unit's id carries its graph's number.
+    So the number of jobs and plans the driver holds does not grow with the number of graphs.
+    """
+    m = len(specs)
+    whole = isinstance(cells.schema[key].dataType, T.IntegralType)
+
+    def tagged(column: str, graph: Column) -> Column:
+        return F.col(column).cast("long") * m + graph if whole else F.struct(graph.alias("graph"), F.col(column).alias("id"))
+
+    def number(unit: Column) -> Column:
+        return F.pmod(unit, F.lit(m)).cast("int") if whole else unit["graph"]
+
+    edges = reduce(DataFrame.unionByName, [
+        e.select(tagged("i", F.lit(n)).alias("i"), tagged("j", F.lit(n)).alias("j")) for n, e in enumerate(specs.values())])
+    units = cells.select(key, F.explode(F.array(*[F.lit(n) for n in range(m)])).alias("_g")).select(tagged(key, F.col("_g")).alias("unit"))
+    degrees = edges.groupBy(F.col("i").alias("unit")).agg(F.count(F.lit(1)).alias("d"))
+    per_unit = units.join(degrees, "unit", "left").na.fill(0, ["d"])
+    base = per_unit.groupBy(number(F.col("unit")).alias("_g")).agg(
         F.count(F.lit(1)).alias("n_units"),
         F.count_if(F.col("d") == 0).alias("n_islands"),
         F.min("d").alias("min_neighbors"),
         F.max("d").alias("max_neighbors"),
         F.avg("d").alias("mean_neighbors"),
     )
-    parts = components(cells, key, edges).agg(F.count_distinct("component").alias("n_components"))
-    one = base.withColumn("_one", F.lit(1)).join(parts.withColumn("_one", F.lit(1)), "_one")
-    return one.drop("_one")  # one row on each side
+    parts = components(units, "unit", edges).select("component").distinct().groupBy(number(F.col("component")).alias("_g")).agg(
+        F.count(F.lit(1)).alias("n_components"))
+    # One row per graph on each side.
+    names = cells.sparkSession.createDataFrame(list(enumerate(specs)), "_g int, spec string")
+    return names.join(base, "_g", "left").join(parts, "_g", "left").na.fill(0, ["n_units", "n_islands", "n_components"]).drop("_g")

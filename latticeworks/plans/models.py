@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticeworks.functions.tails import normal_two_sided
-from latticeworks.operators import graph, order, profiles, regression, spatial
+from latticeworks.operators import graph, order, regression, spatial
 from latticeworks.plans import analysis as A
 from latticeworks.session import checkpointed
 
@@ -119,15 +119,16 @@ def fit_and_moran(df: DataFrame, weights: DataFrame, models: Sequence[str] = ("A
 def weight_specs(df: DataFrame, key: str = "grid_id") -> dict[str, DataFrame]:
     """Queen, Queen with repaired islands, and eight-nearest graphs as edges."""
     queen = checkpointed(graph.queen_edges(df, key, "zcol", "zrow"))
+    near = checkpointed(graph.knn_edges(df, key, 8))
     return {
         "queen": queen,
-        "queen_knn1_islands": checkpointed(graph.attach_islands(df, key, queen)),
-        "knn8": checkpointed(graph.knn_edges(df, key, 8).select("i", "j")),
+        "queen_knn1_islands": checkpointed(graph.attach_islands(df, key, queen, near)),
+        "knn8": near.select("i", "j"),
     }
 
 
 def weights_audit(df: DataFrame, specs: Mapping[str, DataFrame], key: str = "grid_id") -> DataFrame:
-    return profiles.stack_rows({k: graph.audit(df, key, e) for k, e in specs.items()}, "spec")
+    return graph.audits(df, key, specs)
 
 
 def weights_sensitivity(df: DataFrame, specs: Mapping[str, DataFrame], key: str = "grid_id") -> DataFrame:

@@ -27,6 +27,25 @@ def test_queen_repair_audit_components(spark):
     assert (bands.n_singletons, bands.n_2_to_5, bands.n_6_to_20, bands.largest_component) == (1, 1, 1, 9)
 
 
+def test_audits_of_several_graphs_are_those_of_each(spark):
+    at = [(c, r) for c in range(3) for r in range(3)] + [(10, 10)] + [(20, 0), (21, 1), (-30, 4)]
+    df = cells(spark, at)
+    queen, near = graph.queen_edges(df, "id"), graph.knn_edges(df, "id", 8)
+    fixed = graph.attach_islands(df, "id", queen, near)
+    assert sorted(map(tuple, fixed.collect())) == sorted(map(tuple, graph.attach_islands(df, "id", queen).collect()))
+    specs = {"queen": queen, "fixed": fixed, "near": near.select("i", "j"), "none": queen.limit(0)}
+    got = {r.spec: r for r in graph.audits(df, "id", specs).collect()}
+    shape = {k: tuple(got[k][c] for c in ("n_units", "n_islands", "min_neighbors", "max_neighbors", "n_components")) for k in specs}
+    assert shape == {"queen": (13, 2, 0, 8, 4), "fixed": (13, 0, 1, 8, 2), "near": (13, 0, 8, 8, 1), "none": (13, 13, 0, 0, 13)}
+    for k, e in specs.items():
+        assert graph.audit(df, "id", e).first().asDict() == {c: v for c, v in got[k].asDict().items() if c != "spec"}
+    texts = df.withColumn("id", F.col("id").cast("string"))
+    named = {k: e.select(F.col("i").cast("string").alias("i"), F.col("j").cast("string").alias("j")) for k, e in specs.items()}
+    assert {r.spec: r for r in graph.audits(texts, "id", named).collect()} == got
+    empty = graph.audit(df.limit(0), "id", queen.limit(0)).first()
+    assert (empty.n_units, empty.n_components, empty.max_neighbors) == (0, 0, None)
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(0, 199)]
     star = [(1000, 1001 + i) for i in range(300)]
