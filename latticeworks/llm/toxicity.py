@@ -8,6 +8,7 @@ zero travel with the task. Learnt from a bounded sample, ``max_rows``; scoring r
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -55,7 +56,30 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(total, -500, 500)))
 
 
-def ftrl(rows: list[tuple[np.ndarray, int]], alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.1, epochs: int = 3) -> Model:
+def pack(buckets: np.ndarray) -> tuple[int, bytes]:
+    """How many sorted buckets, and their differences compressed."""
+    gaps = np.diff(buckets, prepend=np.int32(0)).astype(np.int32)
+    # The bytes of one place side by side: the upper ones are nearly all zero.
+    return len(gaps), pa.compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(n: int, data: bytes) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int32).ravel(), dtype=np.int32)
+
+
+@dataclass
+class Rows:
+    """(distinct buckets, label) rows that are unpacked one at a time, each time they are gone through."""
+
+    packed: list[tuple[int, bytes]]
+    labels: list[int]
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, int]]:
+        return ((unpack(n, data), y) for (n, data), y in zip(self.packed, self.labels, strict=True))
+
+
+def ftrl(rows: Iterable[tuple[np.ndarray, int]], alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.1, epochs: int = 3) -> Model:
     """FTRL-proximal over (distinct buckets, label 0/1) rows; no rows give the zero model."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
 
@@ -103,9 +127,16 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 3000, max_clean:
                     "b": pa.array([p.tobytes() for p in parts], pa.binary()),
                 })
 
-    rows = in_tasks(picked, run, "k string, y int, b binary").groupBy("k", "y").agg(F.min("b").alias("b")).orderBy(F.xxhash64("k"), "k").collect()
-    model = ftrl([(np.frombuffer(bytes(r.b), np.int32), r.y) for r in rows])
-    used = {y: sum(r.y == y for r in rows) for y in (0, 1)}
+    def shrink(batches):
+        for batch in batches:
+            small = [pack(np.frombuffer(b, np.int32)) for b in batch.column("b").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"h": batch.column("h"), "k": batch.column("k"), "y": batch.column("y"), "n": pa.array([n for n, _ in small], pa.int32()), "b": pa.array([b for _, b in small], pa.binary())})
+
+    lowest_of = in_tasks(picked, run, "k string, y int, b binary").groupBy("k", "y").agg(F.min("b").alias("b"))
+    rows = in_tasks(lowest_of.select(F.xxhash64("k").alias("h"), "k", "y", "b"), shrink, "h long, k string, y int, n int, b binary").collect()
+    rows = [(y, n, bytes(b)) for _, _, y, n, b in sorted((tuple(r) for r in rows), key=lambda r: r[:2])]
+    model = ftrl(Rows([(n, b) for _, n, b in rows], [y for y, _, _ in rows]))
+    used = {y: sum(r[0] == y for r in rows) for y in (0, 1)}
     if all(used.values()):
         shift = np.log(counts[1] / counts[0]) - np.log(used[1] / used[0])
         weights = dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True))

@@ -290,6 +290,17 @@ def test_chunk_tokens_are_those_of_the_library_on_odd_runs():
         assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [x.ids for x in found]
 
 
+def test_rows_for_toxicity_come_back_as_packed_and_travel_small():
+    rng = np.random.default_rng(5)
+    some = [np.unique(rng.integers(1, 1 << toxicity.BITS, n)).astype(np.int32) for n in (0, 1, 7, 3000, 20000)]
+    small = [toxicity.pack(x) for x in some]
+    assert all(np.array_equal(toxicity.unpack(*p), x) and toxicity.unpack(*p).dtype == np.int32 for p, x in zip(small, some, strict=True))
+    assert sum(len(b) for _, b in small) < 0.5 * sum(x.nbytes for x in some)
+    labels = [0, 1, 1, 0, 1]
+    packed, plain = (toxicity.ftrl(x, l1=0.1) for x in (toxicity.Rows(small, labels), list(zip(some, labels, strict=True))))
+    assert np.array_equal(packed.buckets, plain.buckets) and np.array_equal(packed.weights, plain.weights)
+
+
 def test_toxicity_of_repeated_documents_does_not_depend_on_their_order(spark):
     docs = [(i, f"kind words number {i}") for i in range(30)] + [(i, f"vile filth number {i}") for i in range(30, 60)]
     docs += [(i, f"another text {i}") for i in range(0, 60, 3)]
