@@ -100,7 +100,13 @@ def in_tasks(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
                         out.write(full, os.path.join(name, os.path.relpath(full, here)))
         sc.addPyFile(path)
         sc._package_shipped = path
-    return df.mapInArrow(lambda batches: run(b for b in batches if b.num_rows), schema)
+
+    def task(batches):
+        yield from run(b for b in batches if b.num_rows)
+        # The worker lives on; what its pool keeps would count beside the next stage's memory.
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(task, schema)
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, on: str, size: str, total: int, share: float = 0.001) -> DataFrame:

@@ -8,6 +8,7 @@ import xxhash
 
 import corpus_pipeline
 from latticeworks.llm import exact_dedup, line_dedup, simhash, similar, substring_dedup
+from latticeworks.llm.common import stored
 from latticeworks.llm.components import components
 
 SCHEMA = "doc_id long, text string, source string, digest string, line string, key long, fp long, slice long"
@@ -204,6 +205,23 @@ def test_pipeline_stage_keeps_one_of_each_group_of_similar_texts(spark):
     assert sorted(r.doc_id for r in got.collect()) == brute_near(rows)
 
 
+def test_first_candidates_of_the_pipeline_stage_are_those_of_fingerprints(spark):
+    """Their ties connect what fingerprints within two bits connect, and links that only they propose count."""
+    rng = random.Random(13)
+    base = words(rng, 20000, 5000).split()
+    texts = [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(0, 20000, 1000)] + [words(rng, 80, 5000) for _ in range(30)]
+    placed = spark.createDataFrame(list(enumerate(texts)), "place long, text string")
+    rows = similar._prefixes(placed.withColumn("id", -placed.place), "place", "id", "text", 5, 0.8).selectExpr("place AS node", "fp")
+    pairs = similar._by_fingerprint(stored(rows, "fingerprints"))
+    label = {r.node: r.label for r in components(pairs).collect()}
+    fps = [simhash.fingerprint(x.encode(), 5) for x in texts]
+    want, first = brute_components(set(fps), 2), {}
+    for i, x in enumerate(fps):
+        first.setdefault(want[x], i)
+    assert len(first) < len(set(fps))
+    assert [label.get(i, i) for i in range(len(fps))] == [first[want[x]] for x in fps]
+
+
 def test_columns_named_like_those_used_inside_come_back_unchanged(spark):
     rows = [(1, "a b c d e f g", "s"), (2, "A b c d e f g", "t"), (3, None, "u"), (4, "h i j k l m n", "v")]
     docs = frame(spark, rows).selectExpr("*", "doc_id * 10 AS __place", "-doc_id AS __PLACE_")
