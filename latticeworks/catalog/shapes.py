@@ -118,9 +118,8 @@ def polygon_measures(spark, sf):
     zero = F.lit(0.0)
     wkt = F.concat(F.lit("MULTIPOLYGON (("), text(zero, zero, w, h), F.lit(", "), text(w / 3, h / 3, w / 3, h / 3), F.lit("), ("), text(w + 1, zero, w / 2, h / 2), F.lit("))"))
     parsed = raw.select(*B.ROW_KEY[:4], F.explode(F.array(polygons.wkt_polygons(wkt))).alias("parts"))
-    measured = polygons.with_polygon_metrics(parsed, "parts", exact=True)
-    big = polygons.polygon_area(polygons.largest_part(F.col("parts")))
-    out = measured.withColumns({"n_parts": F.size("parts"), "largest_part_m2": big}).drop("parts")
+    measured = polygons.with_polygon_metrics(parsed, "parts", exact=True, largest="largest_part_m2")
+    out = measured.withColumn("n_parts", F.size("parts")).drop("parts")
     return rounded(out, 4, largest_part_m2=3, area_m2=2, perimeter_m=2)
 
 

@@ -85,17 +85,21 @@ def largest_part(parts: Column) -> Column:
     return F.when(F.size(parts) > 0, F.array(best))
 
 
-def with_polygon_metrics(df: DataFrame, parts: str, exact: bool = False) -> DataFrame:
+def with_polygon_metrics(df: DataFrame, parts: str, exact: bool = False, largest: str | None = None) -> DataFrame:
     """Rows with area, perimeter and shape ratios of the whole geometry, by the names of ``shape_metrics``.
 
-    The measures are taken once a row; the ratios read them.
+    ``largest`` names a column for the area of the largest part. The measures are taken once a row, the area
+    of each part too; the ratios read them.
     """
+    areas = F.transform(parts, lambda p: polygon_area(F.array(p)))
     x0, y0, x1, y1 = polygon_bounds(F.col(parts))
-    base = F.struct(polygon_area(F.col(parts)).alias("area"), polygon_perimeter(F.col(parts)).alias("length"),
+    base = F.struct(areas.alias("areas"), polygon_perimeter(F.col(parts)).alias("length"),
                     x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
     once = df.select("*", F.explode(F.array(base)).alias("_m"))
+    area = F.aggregate("_m.areas", F.lit(0.0), lambda acc, v: acc + v)
     bounds = tuple(F.col(f"_m.{c}") for c in ("x0", "y0", "x1", "y1"))
-    return once.withColumns(rings.shape_ratios(F.col("_m.area"), F.col("_m.length"), bounds, exact)).drop("_m")
+    added = {largest: F.array_max("_m.areas")} if largest else {}
+    return once.withColumns(rings.shape_ratios(area, F.col("_m.length"), bounds, exact) | added).drop("_m")
 
 
 def tidy_polygon(parts: Column) -> Column:

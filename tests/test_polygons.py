@@ -125,3 +125,10 @@ def test_held_in_tall_polygons_against_crossing_counts(spark):
     assert P.held(df.limit(0), edges, 1.0).count() == 0
     assert not any(r.inside for r in P.held(df, edges.limit(0), 1.0).collect())
     assert {r.id: r.zone_col for r in P.zone_cells(df, edges, 7.0).collect()}[7000] is None
+
+
+def test_largest_part_is_measured_with_the_whole(spark):
+    df = frame(spark, {"m": [[SQUARE, HOLE], [ISLAND]], "none": None, "empty": []})
+    got = {r.k: r for r in P.with_polygon_metrics(df, "parts", exact=True, largest="big").collect()}
+    assert (got["m"].area_m2, got["m"].perimeter_m, got["m"].big) == (90.0, 66.0, 84.0)
+    assert got["none"].big is None and got["none"].area_m2 is None and got["empty"].big is None and got["empty"].area_m2 == 0
