@@ -5,6 +5,10 @@ ASCII letters and digits become spaces, and its distinct word bigrams are compar
 template. For a Dice coefficient of t, sizes a and b must meet b t / (2 - t) <= a <= b (2 - t) / t,
 which leaves most units without a candidate before any bigram is built.
 
+A match holds at least t / (2 - t) of its template's bigrams, so it can't miss all of any larger share of
+them: from each template a few words are taken whose bigrams are such a share, and texts and lines with none
+of these words are left out unsplit. No match is lost by it.
+
 Notices that no line holds alone (wrapped, inside a longer line, full texts) are found as runs of words
 over line ends: a best run begins and ends with a bigram of its template, so only those are tried.
 """
@@ -53,6 +57,32 @@ def bigrams_of(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
+# Taken as telling words only if a template's other words don't suffice.
+COMMON = frozenset("a an and any are be by following for in is it not of on or that the this to with work".split())
+
+
+def telling_words(known: list[tuple[str, list[str]]], least: float) -> list[str]:
+    """Words of which every match of any template holds one: with none of them too few of its bigrams are left."""
+    out: set[str] = set()
+    for _, grams in known:
+        left = {tuple(g.split(" ")) for g in grams if not out & set(g.split(" "))}
+        while len(left) >= max(len(grams) * least / (2 - least) - 1e-9, 1e-9):
+            words = {w for g in left for w in g}
+            word = min(words, key=lambda w: (w in COMMON or w.isdigit(), -sum(w in g for g in left), w))
+            out.add(word)
+            left = {g for g in left if word not in g}
+    return sorted(out)
+
+
+def _tells(text: Column, words: list[str]) -> Column:
+    """Whether a lowered text holds one of the words; what is not an ASCII letter or digit ends a word."""
+    by_first: dict[str, list[str]] = {}
+    for w in words:
+        by_first.setdefault(w[0], []).append(w[1:])
+    either = "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(by_first.items()))
+    return text.rlike(rf"(?<![a-z0-9])(?:{either})(?![a-z0-9])") if words else F.lit(False)
+
+
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a column that is computed once a row, however often it is used above (also in lambdas)."""
     return df.select("*", F.explode(F.array(value)).alias(name))
@@ -112,39 +142,44 @@ def _runs(lines: DataFrame, notices: list[tuple[str, list[str]]], texts: list[tu
     joined = _once(split.select("key", "lw"), "p", _pairs(F.flatten("lw")))
     near = joined.where(F.size(F.array_intersect("p", grams)) >= fewest - 1e-9)
     fits = _once(near, "fits", F.filter(_table(known), lambda t: F.size(F.array_intersect("p", t["grams"])) >= t["b"] * down - 1e-9)).where(F.size("fits") > 0)
-    # The number comes before the explosion: all templates of a row share it.
-    each = fits.withColumn("row", F.monotonically_increasing_id()).select("row", "key", "lw", "p", F.explode("fits").alias("t"))
-    each = _once(each, "hit", F.transform("p", lambda x: F.array_contains(F.col("t.grams"), x)))
-    each = _once(each, "h", F.filter(F.sequence(F.lit(0), F.size("p") - 1), lambda i: F.get(F.col("hit"), i)))
-    need, span = F.ceil(F.col("t.b") * down - 1e-9).cast("int"), F.floor(F.col("t.b") * up + 1e-9).cast("int")
-    # The hits are in order, so the need-th from here tells whether enough of them are near.
-    begins = F.filter("h", lambda i, x: F.coalesce(F.get(F.col("h"), x + need - 1) - i + 1 <= span, F.lit(False)))
-    each = _once(each, "begins", begins).where(F.size("begins") > 0).drop("h")
-    each = _once(each, "q", F.transform("p", lambda x, k: F.array_position(F.reverse(F.slice("p", F.greatest(k - longest, F.lit(0)) + 1, F.least(k, F.lit(longest)))), x)))
-    ran = F.flatten(F.transform("begins", lambda i: F.transform(_windows(i, need, span, F.col("t.b"), least), lambda y: F.struct(y["d"].alias("d"), i.alias("i"), (-y["j"]).alias("j")))))
-    found = _once(each, "runs", ran).where(F.size("runs") > 0).select("row", "key", "lw", "runs", F.col("t.name").alias("name"))
-
     def best(words):
         a = F.array_distinct(_pairs(words))
         return F.transform(_table(notices), lambda t: F.struct((F.size(F.array_intersect(a, t["grams"])) * 2.0 / (F.size(a) + t["b"])).alias("dice"), t["name"].alias("name"))) \
             if notices else F.expr("CAST(array() AS array<struct<dice double, name string>>)")
 
-    # A line of fewer or far more pairs than any notice can't be its own row; most are left out by that.
+    # A line of fewer or far more pairs than any notice can't be its own row; most are left out by that
+    # or hold no telling word.
+    telling = F.array(*map(F.lit, telling_words(notices, least))) if notices else F.expr("CAST(array() AS array<string>)")
     sizes = [len(g) for _, g in notices] or [0]
 
     def reached(words):
-        return (F.size(words) > min(sizes) * down) & F.exists(best(words), lambda x: x["dice"] >= least)
+        return (F.size(words) > min(sizes) * down) & F.arrays_overlap(words, telling) & F.exists(best(words), lambda x: x["dice"] >= least)
 
     # line[k]: the line of word k; a run of pairs i to j touches the lines of words i to j + 1.
-    found = _once(_once(found, "line", F.flatten(F.transform("lw", lambda x, k: F.array_repeat(k, F.size(x))))), "own", F.transform("lw", reached))
-    found = _once(found, "whole", F.transform(F.filter(best(F.flatten("lw")), lambda x: x["dice"] >= least), lambda x: x["name"]))
+    fits = _once(_once(fits, "line", F.flatten(F.transform("lw", lambda x, k: F.array_repeat(k, F.size(x))))), "own", F.transform("lw", reached))
 
-    def free(x):
-        first, last = F.get(F.col("line"), x["i"]), F.get(F.col("line"), 1 - x["j"])
+    def apart(i, j):
+        """Whether words i to j touch no line with a row of its own."""
+        first, last = F.get(F.col("line"), i), F.get(F.col("line"), j)
         return ~F.exists(F.slice("own", first + 1, last - first + 1), lambda y: y)
 
+    # The number comes before the explosion: all templates of a row share it.
+    each = fits.withColumn("row", F.monotonically_increasing_id()).select("row", "key", "lw", "line", "own", "p", F.explode("fits").alias("t"))
+    each = _once(each, "hit", F.transform("p", lambda x: F.array_contains(F.col("t.grams"), x)))
+    each = _once(each, "h", F.filter(F.sequence(F.lit(0), F.size("p") - 1), lambda i: F.get(F.col("hit"), i)))
+    need, span = F.ceil(F.col("t.b") * down - 1e-9).cast("int"), F.floor(F.col("t.b") * up + 1e-9).cast("int")
+    # The hits are in order, so the need-th from here tells whether enough of them are near. No run from here is
+    # free if the shortest one is not.
+    begins = F.filter("h", lambda i, x: F.coalesce(F.get(F.col("h"), x + need - 1) - i + 1 <= span, F.lit(False)) & apart(i, i + need))
+    each = _once(each, "begins", begins).where(F.size("begins") > 0).drop("h")
+    each = _once(each, "q", F.transform("p", lambda x, k: F.array_position(F.reverse(F.slice("p", F.greatest(k - longest, F.lit(0)) + 1, F.least(k, F.lit(longest)))), x)))
+    ran = F.flatten(F.transform("begins", lambda i: F.transform(_windows(i, need, span, F.col("t.b"), least), lambda y: F.struct(y["d"].alias("d"), i.alias("i"), (-y["j"]).alias("j")))))
+    found = _once(each, "runs", ran).where(F.size("runs") > 0).select("row", "key", "lw", "line", "own", "runs", F.col("t.name").alias("name"))
+
+    found = _once(found, "whole", F.transform(F.filter(best(F.flatten("lw")), lambda x: x["dice"] >= least), lambda x: x["name"]))
+
     listed = found.where(~F.array_contains("whole", F.col("name"))).select(
-        "row", "key", "name", F.explode(F.transform(F.filter("runs", free), lambda x: F.struct(x["d"].alias("d"), x["i"].alias("i"), x["j"].alias("j"), F.get(F.col("line"), x["i"]).alias("line")))).alias("x"))
+        "row", "key", "name", F.explode(F.transform(F.filter("runs", lambda x: apart(x["i"], 1 - x["j"])), lambda x: F.struct(x["d"].alias("d"), x["i"].alias("i"), x["j"].alias("j"), F.get(F.col("line"), x["i"]).alias("line")))).alias("x"))
     # Runs that no chain of overlaps ties to each other don't compete: each such stretch is judged by itself.
     before = Window.partitionBy("row").orderBy("i")
     flat = listed.select("row", "key", "x.d", "x.i", "x.j", "name", "x.line")
@@ -170,12 +205,15 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least:
     down, up = least / (2 - least), (2 - least) / least
     smallest = min((len(g) for _, g in known), default=1) * down
     longest = max((len(g) for _, g in known), default=0) * up
-    plain = docs.select(F.col(key).alias("key"), F.regexp_replace(F.lower(F.col(text)), "[^a-z0-9\n]+", " ").alias("plain"))
+    full = [(n, bigrams_of(body)) for n, body in FULL_TEXTS] if templates is None else []
+    telling = telling_words(known + full, least)
+    lower = _once(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "lower", F.lower("text")).where(_tells(F.col("lower"), telling))
+    plain = lower.select("key", F.regexp_replace("lower", "[^a-z0-9\n]+", " ").alias("plain"))
     lines = _once(plain, "lines", F.split("plain", "\n"))
     whole = F.when(F.size("lines") > 1, F.array(F.regexp_replace("plain", "\n", " ")))
     units = F.concat("lines", F.coalesce(whole, F.expr("CAST(array() AS array<string>)")))
-    listed = lines.select("key", F.size("lines").alias("n"), F.transform(units, lambda x: F.filter(F.split(x, " "), lambda y: y != "")).alias("units"))
-    split = listed.select("key", "n", F.posexplode("units").alias("at", "w"))
+    listed = lines.select("key", F.size("lines").alias("n"), F.posexplode(units).alias("at", "unit")).where(_tells(F.col("unit"), telling))
+    split = _once(listed, "w", F.filter(F.split("unit", " "), lambda y: y != ""))
     split = split.select("key", F.when(F.col("at") < F.col("n"), F.col("at")).otherwise(-1).alias("line_no"), "w")
     # Distinct bigrams are no more than pairs, so only the lower bound holds before they are built.
     sized = split.where(F.size("w") >= max(2, smallest + 1))
@@ -191,7 +229,6 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least:
     best = _once(_once(grams, "t", scored), "top", F.array_max(F.transform("t", lambda x: x["dice"]))).where(F.col("top") >= least)
     name = F.array_min(F.transform(F.filter("t", lambda x: x["dice"] == F.col("top")), lambda x: x["name"]))
     found = best.select("key", "line_no", name.alias("license"), F.col("top").alias("dice"))
-    full = [(n, bigrams_of(body)) for n, body in FULL_TEXTS] if templates is None else []
     if known or full:
         found = found.unionByName(_runs(lines.select("key", "lines"), known, full, least))
     return found.withColumnRenamed("key", key)

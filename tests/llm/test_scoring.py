@@ -307,3 +307,18 @@ def test_toxicity_of_repeated_documents_does_not_depend_on_their_order(spark):
     labels = spark.createDataFrame([(i, int(i >= 30)) for i in range(60)], "doc_id long, toxic int")
     models = [toxicity.train(spark.createDataFrame(x, "doc_id long, text string").repartition(n), labels) for x, n in ((docs, 1), (docs[::-1], 4))]
     assert np.array_equal(models[0].buckets, models[1].buckets) and np.allclose(models[0].weights, models[1].weights)
+
+
+def test_licence_matches_hold_a_telling_word(spark):
+    from pyspark.sql.functions import lower
+
+    known = [(n, licenses.bigrams_of(b)) for n, b in licenses.TEMPLATES + licenses.FULL_TEXTS]
+    telling = set(licenses.telling_words(known, 0.8))
+    assert not telling & {"the", "of", "and", "to"}
+    for _, grams in known:
+        left = [g for g in grams if not telling & set(g.split(" "))]
+        assert len(left) < len(grams) * 0.8 / 1.2 - 1e-9  # without these words no run or line can match
+    rows = [(1, "_Licensed under the Apache License, Version 2.0._"), (2, "éLicensed under CC BY 4.0."), (3, "words of prose\n" * 50), (4, "relicensed copying softwares")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r)[:3] for r in licenses.scan(docs).collect()) == [(1, 0, "Apache-2.0"), (2, 0, "CC-BY-4.0")]
+    assert [r.doc_id for r in docs.where(licenses._tells(lower(docs.text), sorted(telling))).orderBy("doc_id").collect()] == [1, 2]
