@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from latticeworks.functions.rings import let
 from latticeworks.functions.tails import normal_two_sided
 from latticeworks.operators import order
-from latticeworks.operators.regression import ols
+from latticeworks.operators.regression import Fit, ols
 
 FEISTEL_ROUNDS = 4
 WALK_LIMIT = 64
@@ -218,61 +218,130 @@ class ErrorModel:
     ols_r2: float
 
 
-def spatial_error(
-    units: DataFrame, key: str, weights: DataFrame, y: str, xs: Sequence[str], sums: WeightSums | None = None
-) -> ErrorModel:
-    """Method-of-moments spatial error model (Kelejian and Prucha 1999)."""
-    xs = list(xs)
+@dataclass
+class Lagged:
+    """Second moments of standardised columns, of their lags and of the lags' lags, over the rows without nulls.
+
+    ``blocks[a, b]`` holds the sums of products of the columns lagged a times with those lagged b times. The first
+    column is one; whatever is linear in the columns has its sums, lags and Moran's I from these alone.
+    """
+
+    names: list[str]
+    n: int
+    mean: np.ndarray
+    sd: np.ndarray
+    blocks: dict[tuple[int, int], np.ndarray]
+    sums: WeightSums
+
+    def of(self, coefficients: dict[str, float], constant: float = 0.0) -> np.ndarray:
+        """The vector over the standardised columns of a linear combination of the plain ones."""
+        out = np.zeros(len(self.names) + 1)
+        out[0] = constant
+        for name, b in coefficients.items():
+            at = self.names.index(name)
+            out[0] += b * self.mean[at]
+            out[at + 1] += b * self.sd[at]
+        return out
+
+    def moran(self, p: np.ndarray, q: np.ndarray | None = None) -> float:
+        """Moran's I of ``p`` over the columns plus ``q`` over their lags."""
+        m = self.blocks
+        q = np.zeros_like(p) if q is None else q
+        p = p.copy()
+        p[0] -= (m[0, 0][0] @ p + m[0, 1][0] @ q) / self.n
+        num = p @ m[0, 1] @ p + p @ m[0, 2] @ q + q @ m[1, 1] @ p + q @ m[1, 2] @ q
+        den = p @ m[0, 0] @ p + 2 * (p @ m[0, 1] @ q) + q @ m[1, 1] @ q
+        return float(self.n / self.sums.s0 * num / den)
+
+
+def lagged_moments(units: DataFrame, key: str, weights: DataFrame, columns: Sequence[str], sums: WeightSums | None = None) -> Lagged:
+    """``Lagged`` of all columns: the weights are joined twice, however many models are fitted from it."""
     sums = sums or weight_sums(weights)
-    base = ols(units, y, xs)
-    with_u = units.select(key, y, *xs, base.residual().alias("u"), F.lit(1.0).alias("one")).persist()
-    lagged = None
+    names = list(dict.fromkeys(columns))
+    clean = units.select(key, *names).na.drop(subset=names)
+    row = clean.agg(F.count(F.lit(1)).alias("n"), *[f(c) for c in names for f in (F.avg, F.stddev_pop)]).first()
+    n, mean = row["n"], np.array(row[1::2], float)
+    sd = np.array([v if v else 1.0 for v in row[2::2]], float)
+    z = ["z0", *[f"z{i + 1}" for i in range(len(names))]]
+    scaled = [((F.col(c) - F.lit(float(m))) / F.lit(float(d))).alias(name) for c, m, d, name in zip(names, mean, sd, z[1:], strict=True)]
+    once = lags(clean.select(key, F.lit(1.0).alias("z0"), *scaled), key, weights, z).persist()
+    twice = None
+    try:
+        twice = lags(once.select("*"), key, weights, [f"{c}_lag" for c in z]).persist()
+        kinds = [[f"{c}{'_lag' * a}" for c in z] for a in range(3)]
+        blocks = {}
+        for a in range(3):
+            for b in range(a, 3):  # one aggregate a block, so that its code stays compilable
+                pairs = [(i, j) for i in range(len(z)) for j in range(i if a == b else 0, len(z))]
+                got = twice.agg(*[F.sum(F.col(kinds[a][i]) * F.col(kinds[b][j])) for i, j in pairs]).first()
+                block = np.zeros((len(z), len(z)))
+                for (i, j), v in zip(pairs, got, strict=True):
+                    block[i, j] = v
+                    if a == b:
+                        block[j, i] = v
+                blocks[a, b] = block
+        return Lagged(names, n, mean, sd, blocks, sums)
+    finally:
+        once.unpersist()
+        if twice is not None:
+            twice.unpersist()
+
+
+def error_model(lagged: Lagged, base: Fit) -> ErrorModel:
+    """Method-of-moments spatial error model (Kelejian and Prucha 1999) of a fit whose columns ``lagged`` has."""
+    m, xs = lagged.blocks, base.xs
+    u = lagged.of({base.y: 1.0, **{x: -float(b) for x, b in zip(xs, base.coef[1:], strict=True)}}, -float(base.coef[0]))
+    lam = _solve_moments(base.n, {
+        "uu": u @ m[0, 0] @ u, "vv": u @ m[1, 1] @ u, "uv": u @ m[0, 1] @ u,
+        "ww": u @ m[2, 2] @ u, "uw": u @ m[0, 2] @ u, "vw": u @ m[1, 2] @ u}, lagged.sums.trace)
+    # Moments of the filtered columns, by which the standardised outcome is fitted without a constant.
+    f = m[0, 0] - lam * (m[0, 1] + m[0, 1].T) + lam * lam * m[1, 1]
+    y, at = lagged.names.index(base.y), [lagged.names.index(x) for x in xs]
+    kept = [0, *[i + 1 for i in at]]
+    inner = np.linalg.inv(f[np.ix_(kept, kept)])
+    slopes = inner @ f[kept, y + 1]
+    ssr = float(f[y + 1, y + 1] - slopes @ f[kept, y + 1]) * lagged.sd[y] ** 2
+    # Back to the plain columns.
+    plain = np.diag([1.0, *(1 / lagged.sd[at])])
+    plain[0, 1:] = -lagged.mean[at] / lagged.sd[at]
+    coef = lagged.sd[y] * (plain @ slopes)
+    coef[0] += lagged.mean[y]
+    bread = plain @ inner @ plain.T
+    fitted = lagged.of(dict(zip(xs, coef[1:], strict=True)), coef[0])
+    own = lagged.of({base.y: 1.0})
+
+    def cov(a: np.ndarray, b: np.ndarray) -> float:
+        return float(a @ m[0, 0] @ b / lagged.n - (m[0, 0][0] @ a) * (m[0, 0][0] @ b) / lagged.n**2)
+
+    error = own - fitted
+    return ErrorModel(
+        base.n, lam, coef, np.sqrt(np.diag(bread) * ssr / base.n), cov(own, fitted) ** 2 / (cov(own, own) * cov(fitted, fitted)),
+        lagged.moran(u), lagged.moran(error, -lam * error), base.r2)
+
+
+def spatial_errors(units: DataFrame, key: str, weights: DataFrame, specs: Sequence[tuple[str, Sequence[str]]], sums: WeightSums | None = None) -> tuple[list[Fit], list[ErrorModel], dict[str, float]]:
+    """The least-squares fit and the error model of each (y, xs), and Moran's I of each y.
+
+    All models share the two joins with the weights. Rows with a null in a column of any model are left out.
+    """
+    columns = list(dict.fromkeys(c for y, xs in specs for c in (y, *xs)))
+    used = units.select(key, *columns).na.drop(subset=columns).persist()
     try:
-        lagged = lags(with_u, key, weights, ["u", y, *xs, "one"]).persist()
-        twice = lags(lagged.select(key, "u", F.col("u_lag").alias("v")), key, weights, ["v"])
-        u, v, w = F.col("u"), F.col("v"), F.col("v_lag")
-        s = twice.agg(
-            F.sum(u * u).alias("uu"), F.sum(v * v).alias("vv"), F.sum(u * v).alias("uv"),
-            F.sum(w * w).alias("ww"), F.sum(u * w).alias("uw"), F.sum(v * w).alias("vw"),
-        ).first()
-        lam = _solve_moments(base.n, s, sums.trace)
-        kept = [y, *xs, "one"]
-        filtered = lagged.select(
-            key, *kept,
-            *[(F.col(c) - F.lit(lam) * F.col(f"{c}_lag")).alias(f"{c}_f") for c in kept],
-        )
-        coef, bread, ssr = _no_intercept(filtered, f"{y}_f", ["one_f", *[f"{x}_f" for x in xs]])
-        fitted = sum((F.lit(float(b)) * F.col(x) for b, x in zip(coef[1:], xs)), F.lit(float(coef[0])))
-        pseudo = filtered.agg(F.corr(F.col(y), fitted)).first()[0] ** 2
-        fitted_f = sum(
-            (F.lit(float(b)) * F.col(f"{x}_f") for b, x in zip(coef[1:], xs)),
-            F.lit(float(coef[0])) * F.col("one_f"),
-        )
-        resid = filtered.select(key, (F.col(f"{y}_f") - fitted_f).alias("e"))
-        return ErrorModel(
-            base.n, lam, coef, np.sqrt(np.diag(bread) * ssr / base.n), pseudo,
-            moran(with_u, key, weights, "u", sums).i, moran(resid, key, weights, "e", sums).i, base.r2,
-        )
+        lagged = lagged_moments(used, key, weights, columns, sums)
+        fits = [ols(used, y, xs) for y, xs in specs]
     finally:
-        with_u.unpersist()
-        if lagged is not None:
-            lagged.unpersist()
+        used.unpersist()
+    return fits, [error_model(lagged, fit) for fit in fits], {y: lagged.moran(lagged.of({y: 1.0})) for y, _ in specs}
 
 
-def _no_intercept(df: DataFrame, y: str, xs: Sequence[str]) -> tuple[np.ndarray, np.ndarray, float]:
-    """Coefficients, inverse X'X and residual sum of squares without a constant."""
-    names = [y, *xs]
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    row = df.agg(*[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s{i}_{j}") for i, j in pairs]).first()
-    m = np.zeros((len(names), len(names)))
-    for i, j in pairs:
-        m[i, j] = m[j, i] = row[f"s{i}_{j}"]
-    bread = np.linalg.inv(m[1:, 1:])
-    coef = bread @ m[1:, 0]
-    return coef, bread, float(m[0, 0] - coef @ m[1:, 0])
+def spatial_error(
+    units: DataFrame, key: str, weights: DataFrame, y: str, xs: Sequence[str], sums: WeightSums | None = None
+) -> ErrorModel:
+    """``spatial_errors`` of one model."""
+    return spatial_errors(units, key, weights, [(y, xs)], sums)[1][0]
 
 
-def _solve_moments(n: int, s, trace: float) -> float:
+def _solve_moments(n: int, s: dict[str, float], trace: float) -> float:
     """lambda that minimises the three moment conditions (sigma2 profiled out)."""
     g = np.array([s["uu"], s["vv"], s["uv"]]) / n
     a = np.array([2 * s["uv"], 2 * s["vw"], s["uw"] + s["vv"]]) / n

@@ -79,10 +79,10 @@ def moran_table(
 
 def spatial_table(df: DataFrame, weights: DataFrame, specs: Sequence[tuple[str, str]], key: str = "grid_id") -> DataFrame:
     """Spatial error coefficients with z and p; lambda carries no error."""
-    rows, sums = [], spatial.weight_sums(weights)
-    for o, m in specs:
+    rows = []
+    _, errors, _ = spatial.spatial_errors(df, key, weights, [(OUTCOMES[o], A.NESTED[m]) for o, m in specs])
+    for (o, m), fit in zip(specs, errors, strict=True):
         xs = A.NESTED[m]
-        fit = spatial.spatial_error(df, key, weights, OUTCOMES[o], xs, sums)
         for name, b, s in zip(["const", *xs], fit.coef, fit.se):
             z = float(b / s)
             rows.append((o, m, name, float(b), float(s), float(b - 1.96 * s), float(b + 1.96 * s), z, normal_two_sided(z)))
@@ -97,17 +97,13 @@ def spatial_table(df: DataFrame, weights: DataFrame, specs: Sequence[tuple[str,
 def fit_and_moran(df: DataFrame, weights: DataFrame, models: Sequence[str] = ("A", "B", "C"),
                   outcomes: Sequence[str] = ("net", "gross"), key: str = "grid_id") -> DataFrame:
     """Per outcome and model: OLS fit, lambda, and the three Moran values."""
-    sums = spatial.weight_sums(weights)
-    rows = []
-    for o in outcomes:
-        own = spatial.moran(df, key, weights, OUTCOMES[o], sums).i
-        for m in models:
-            base = regression.ols(df, OUTCOMES[o], A.NESTED[m])
-            fit = spatial.spatial_error(df, key, weights, OUTCOMES[o], A.NESTED[m], sums)
-            rows.append((
-                o, m, fit.n, float(base.r2), float(base.adj_r2), float(base.aic), fit.pseudo_r2, fit.lam,
-                own, fit.moran_ols, fit.moran_filtered,
-            ))
+    specs = [(o, m) for o in outcomes for m in models]
+    fits, errors, own = spatial.spatial_errors(df, key, weights, [(OUTCOMES[o], A.NESTED[m]) for o, m in specs])
+    rows = [
+        (o, m, fit.n, float(base.r2), float(base.adj_r2), float(base.aic), fit.pseudo_r2, fit.lam,
+         own[OUTCOMES[o]], fit.moran_ols, fit.moran_filtered)
+        for (o, m), base, fit in zip(specs, fits, errors, strict=True)
+    ]
     return df.sparkSession.createDataFrame(
         rows,
         "outcome string, model string, n long, ols_r2 double, ols_adj_r2 double, ols_aic double, "
@@ -137,11 +133,9 @@ def weights_sensitivity(df: DataFrame, specs: Mapping[str, DataFrame], key: str
     rows = []
     for name, edges in specs.items():
         w = checkpointed(graph.row_standardised(edges))
-        sums = spatial.weight_sums(w)
-        fit = spatial.spatial_error(df, key, w, "log_net", xs, sums)
-        own = spatial.moran(df, key, w, "log_net", sums).i
+        _, (fit,), own = spatial.spatial_errors(df, key, w, [("log_net", xs)])
         for v, b in zip(["const", *xs], fit.coef):
-            rows.append((name, v, float(b), fit.lam, fit.pseudo_r2, own, fit.moran_ols, fit.moran_filtered))
+            rows.append((name, v, float(b), fit.lam, fit.pseudo_r2, own["log_net"], fit.moran_ols, fit.moran_filtered))
     return df.sparkSession.createDataFrame(
         rows,
         "weights_spec string, variable string, coefficient double, lambda double, "

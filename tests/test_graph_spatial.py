@@ -180,3 +180,36 @@ def test_rank_statistics_with_ties(spark):
     a, b = x[first == 1], x[first == 0]
     assert u.u == sum((p > b).sum() + 0.5 * (p == b).sum() for p in a)
     assert 0 < u.p_greater < 1
+
+
+def test_error_models_share_the_joins_with_the_weights(spark, monkeypatch):
+    _, _, _, df = lattice_data(spark, 12, 0.4, 3)
+    df = df.withColumn("x2", F.col("x1") * F.col("x1") + 1000.0).persist()
+    weights = graph.row_standardised(graph.queen_edges(df, "id")).persist()
+    rows = df.orderBy("id").collect()
+    at, n = {r.id: k for k, r in enumerate(rows)}, len(rows)
+    w = np.zeros((n, n))
+    for r in weights.collect():
+        w[at[r.i], at[r.j]] = r.w
+    calls, lags = [], spatial.lags
+    monkeypatch.setattr(spatial, "lags", lambda *a: calls.append(1) or lags(*a))
+    specs = [("y", ["x1"]), ("y", ["x1", "x2"]), ("x2", ["x1"])]
+    fits, errors, own = spatial.spatial_errors(df, "id", weights, specs)
+    assert len(calls) == 2
+    value = {c: np.array([r[c] for r in rows]) for c in ("y", "x1", "x2")}
+
+    def moran(v):
+        z = v - v.mean()
+        return n / w.sum() * (z @ w @ z) / (z @ z)
+
+    for (y, xs), fit, error in zip(specs, fits, errors):
+        x = np.column_stack([np.ones(n), *[value[c] for c in xs]])
+        u = value[y] - x @ np.linalg.lstsq(x, value[y], rcond=None)[0]
+        a = np.eye(n) - error.lam * w
+        beta = np.linalg.lstsq(a @ x, a @ value[y], rcond=None)[0]
+        e = a @ (value[y] - x @ beta)
+        assert error.coef == pytest.approx(beta, rel=1e-6)
+        assert error.se == pytest.approx(np.sqrt(np.diag(np.linalg.inv(x.T @ a.T @ a @ x)) * (e @ e) / n), rel=1e-6)
+        assert error.moran_ols == pytest.approx(moran(u), abs=1e-9) and error.moran_filtered == pytest.approx(moran(e), abs=1e-8)
+        assert error.pseudo_r2 == pytest.approx(np.corrcoef(value[y], x @ beta)[0, 1] ** 2, abs=1e-9)
+        assert own[y] == pytest.approx(moran(value[y]), abs=1e-10) and fit.r2 == error.ols_r2
