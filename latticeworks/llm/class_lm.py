@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticeworks.llm.common import in_tasks, scratch, slices, stored
+from latticeworks.llm.common import discard, in_tasks, scratch, slices, stored
 from latticeworks.llm.hashing import U, Words
 
 SHARD_BYTES = 3 << 20
@@ -34,12 +34,23 @@ REST = 0
 _ROWS = 1 << 18
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of one place side by side: of small numbers the upper ones are nearly all zero."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _unplaned(data: bytes, size: int, kind: str, start: int = 0) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(data, np.uint8, size * width, start).reshape(width, size)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def _zip(x: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True)
+    return pa.compress(_planes(x), codec="zstd", asbytes=True)
 
 
 def _unzip(data: bytes, size: int, kind: str) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, size * np.dtype(kind).itemsize, codec="zstd"), kind) if size else np.zeros(0, kind)
+    return _unplaned(pa.decompress(data, size * np.dtype(kind).itemsize, codec="zstd", asbytes=True), size, kind) if size else np.zeros(0, kind)
 
 
 def _shards(docs: DataFrame, key: str, text: str, trained: Column, kind: str) -> DataFrame:
@@ -51,18 +62,21 @@ def _shards(docs: DataFrame, key: str, text: str, trained: Column, kind: str) ->
 
         def shard():
             every = np.concatenate(hashes)
-            vocab, inverse = np.unique(every, return_inverse=True)
+            vocab, inverse, n = np.unique(every, return_inverse=True, return_counts=True)
+            often = np.argsort(-n, kind="stable")  # frequent words have small numbers, which take little space
+            rank = np.empty(len(often), np.int32)
+            rank[often] = np.arange(len(often), dtype=np.int32)
             size = np.concatenate(sizes)
             codes = np.zeros(len(every) + len(size), np.int32)
             place = np.ones(len(codes), bool)
             place[np.cumsum(size + 1) - 1] = False
-            codes[place] = inverse + 1
+            codes[place] = rank[inverse] + 1
             return pa.RecordBatch.from_pydict({
                 "shard": pa.array([number], pa.int64()),
                 "keys": pa.ListArray.from_arrays(pa.array([0, len(size)], pa.int32()), pa.concat_arrays(keys)),
                 "trained": pa.array([np.concatenate(flags).tobytes()], pa.binary()),
                 "sizes": pa.array([(size + 1).tolist()], pa.list_(pa.int64())),
-                "vocab": pa.array([np.concatenate([[END], vocab]).astype("<u8").tobytes()], pa.binary()),
+                "vocab": pa.array([np.concatenate([[END], vocab[often]]).astype("<u8").tobytes()], pa.binary()),
                 "n": pa.array([len(codes)], pa.int64()),
                 "codes": pa.array([_zip(codes)], pa.binary()),
             })
@@ -217,7 +231,7 @@ def _swept(shards: DataFrame, buckets: int, anchors: list[int], table: np.ndarra
                 lo, hi = (int(ends[a - 1]) if a else 0), int(ends[b - 1])
                 some = sent[lo:hi]
                 data = b"".join((shard.vocab[order[a:b]].tobytes(), shard.classes[order[a:b]].tobytes(), size[a:b].astype("<u2").tobytes(),
-                                 context[some].astype("u1").tobytes(), n[some].astype("<u4").tobytes()))
+                                 context[some].astype("u1").tobytes(), _planes(n[some].astype("<u4"))))
                 out.append({"bucket": int(bucket[a]), "shard": row["shard"], "words": int(b - a), "raw": len(data), "part": pa.compress(data, codec="zstd", asbytes=True)})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), ("words", pa.int64()), ("raw", pa.int64()), ("part", pa.binary())]))
 
@@ -252,7 +266,7 @@ class _Bucket:
         data, m = pa.decompress(row["part"], row["raw"], codec="zstd", asbytes=True), row["words"]
         words, own, size = np.frombuffer(data, "<u8", m), np.frombuffer(data, "u1", m, 8 * m), np.frombuffer(data, "<u2", m, 9 * m)
         total = int(size.sum(dtype=np.int64))
-        context, n = np.frombuffer(data, "u1", total, 11 * m), np.frombuffer(data, "<u4", total, 11 * m + total)
+        context, n = np.frombuffer(data, "u1", total, 11 * m), _unplaned(data, total, "<u4", 11 * m + total)
         self.asked.append((row["shard"], words))
         self.new.append((words, own, size, context, n))
         self.waiting += total + m
@@ -348,14 +362,18 @@ def score_texts(docs: DataFrame, trained: Column, key: str = "doc_id", text: str
     tokens, types, once = seen.tokens or 0, seen.words, max(seen.once or 0, 1)
     end = int(np.array([END]).view(np.int64)[0])
     anchors = [r.word for r in words.where(F.col("word") != end).orderBy(F.col("n").desc(), "word").limit(classes - 2).collect()]
+    discard(words)
     size = shards.agg(F.sum("n")).first()[0] or 0
     buckets = max(parts, -(-6 * size // BUCKET_BYTES))
-    now = shards
+    now, last = shards, None
     for sweep in range(sweeps):
         table = _table(now, buckets, anchors, classes)
         half = None if sweep == 0 else sweep % 2
         answers = stored(_swept(now, buckets, anchors, table, half), "answers")
         now = shards.join(answers.hint("merge"), "shard", "left")
+        if last is not None:
+            discard(last)  # only the latest answers are read from here on
+        last = answers
     table = _table(now, buckets, anchors, classes).astype(np.float64)
 
     rows, columns = table.sum(1), table.sum(0)
@@ -384,5 +402,6 @@ def score_texts(docs: DataFrame, trained: Column, key: str = "doc_id", text: str
 
     scored = in_tasks(now, run, f"key {kind}, n_tokens long, n_known long, train_tokens long, train_words long, base_score double, score double")
     out = stored(scored, "scores")
+    discard(last)
     spark.sql(f"DROP TABLE {name}")  # nobody else can name it; its files stay with the run's other tables
     return out.withColumnRenamed("key", key)

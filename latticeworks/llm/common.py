@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -85,6 +86,14 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         yield start, texts.slice(start)
 
 
+def give_back() -> None:
+    """Freed memory that the C library still holds goes back to the system, where the library can do that."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def in_tasks(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with this package shipped to the executors first."""
     sc = df.sparkSession.sparkContext
@@ -103,8 +112,9 @@ def in_tasks(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
     def task(batches):
         yield from run(b for b in batches if b.num_rows)
-        # The worker lives on; what its pool keeps would count beside the next stage's memory.
+        # The worker lives on; what its pool and its heap keep would count beside the next stage's memory.
         pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(task, schema)
 

@@ -2,6 +2,7 @@
 
 import collections
 import math
+import os
 import random
 import re
 import zlib
@@ -174,3 +175,15 @@ def test_query_base_score_and_gain_on_held_out_texts(spark):
         assert abs(r.base_score - base) < 1e-6 * max(1, abs(base)) and math.isfinite(r.score)
     tested = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in tested) > sum(r.base_score for r in tested)
+
+
+def test_tables_that_no_later_sweep_reads_are_deleted_and_codes_pack_small(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    codes = np.minimum(rng.geometric(0.02, 50_000), 20_000).astype(np.int32)
+    assert np.array_equal(class_lm._unzip(class_lm._zip(codes), len(codes), "<i4"), codes) and len(class_lm._unzip(class_lm._zip(codes[:0]), 0, "<i4")) == 0
+    assert len(class_lm._zip(codes)) < 1.3 * len(codes)  # about a byte a token
+    made, stored = [], class_lm.stored
+    monkeypatch.setattr(class_lm, "stored", lambda df, name: made.append((name, stored(df, name))) or made[-1][1])
+    docs = spark.createDataFrame([(i, f"a b c w{i % 7} d{i}") for i in range(60)], "doc_id long, text string")
+    assert class_lm.score_texts(docs, F.lit(True)).count() == 60
+    assert [(name, os.path.exists(df.stored_at)) for name, df in made] == [("words", False), *[("answers", False)] * 3, ("scores", True)]
