@@ -93,7 +93,7 @@ def clipped_zone_pixels(spark, sf):
 SELECT CAST(col AS BIGINT) AS col, CAST("row" AS BIGINT) AS "row", {r('a', 2)} AS cell_area_m2, {r('cx', 3)} AS centroid_x, {r('cy', 3)} AS centroid_y, {r('lon', 3)} AS centroid_lon, {r('lat', 3)} AS centroid_lat FROM ll""")
 def boundary_cover_cells(spark, sf):
     """500 m cells that hold at least a square metre of the country: exact area and centroid of that share, in degrees too."""
-    cells = polygons.cover(country_edges(spark, sf), "key", 500.0).where("area >= 1")
+    cells = polygons.shares(country_edges(spark, sf), "key", 500.0).where("area >= 1")
     lon, lat = projection.to_lonlat(F.col("centroid_x") + EAST, F.col("centroid_y") + NORTH)
     out = cells.select("col", "row", F.col("area").alias("cell_area_m2"), "centroid_x", "centroid_y", lon.alias("centroid_lon"), lat.alias("centroid_lat"))
     return rounded(out, 3, cell_area_m2=2)

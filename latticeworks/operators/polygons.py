@@ -184,7 +184,11 @@ def cover(edges: DataFrame, key: str, size: float, x0: float = 0.0, y0: float =
     Area and centroid are those of the polygon's part in the cell, exact for any shape; a touched cell
     that holds none of it has area 0 (up to rounding) and no centroid. Overlapping parts count twice.
     """
-    touched = touched_cells(edges, key, size, x0, y0)
+    return _filled(touched_cells(edges, key, size, x0, y0), key, size, x0, y0)
+
+
+def _filled(touched: DataFrame, key: str, size: float, x0: float, y0: float) -> DataFrame:
+    """Touched cells and those held between them, with area and centroid."""
     beside = Window.partitionBy(key, "row").orderBy("col")
     runs = touched.select(key, "row", "col", F.lead("col").over(beside).alias("_next"), "east")
     inner = runs.where((F.col("_next") > F.col("col") + 1) & (F.col("east") > size / 2)).select(
@@ -199,6 +203,82 @@ def cover(edges: DataFrame, key: str, size: float, x0: float = 0.0, y0: float =
         F.when(some, F.lit(float(y0)) + F.col("row") * size + F.col("my") / F.col("area")).alias("centroid_y"), "odd")
 
 
+def _moments(dy: Column, px: Column, py: Column, qx: Column, qy: Column) -> list[Column]:
+    """What a piece from p to q adds to its cell, in coordinates of the cell."""
+    return [dy.alias("dy"), (dy * (py + qy) / 2).alias("ydy"), (dy * (px + qx) / 2).alias("own"),
+            (dy * (px * px + px * qx + qx * qx) / 6).alias("own_x"), (dy * (2 * px * py + 2 * qx * qy + px * qy + qx * py) / 6).alias("own_y")]
+
+
+def _blocks(first: Column, behind: Column) -> Column:
+    """Rows ``first`` to ``behind`` (exclusive) as aligned blocks of 2^level rows, at most two of a level."""
+    levels = F.sequence(F.lit(0), F.floor(F.log2((behind - first).cast("double"))).cast("int"))
+
+    def of(level: Column) -> Column:
+        width = F.pow(F.lit(2.0), level)
+        lo, hi = F.ceil(first / width), F.floor(behind / width)
+        at = F.array(F.when((lo < hi) & (F.pmod(lo, F.lit(2)) == 1), lo), F.when((lo < hi) & (F.pmod(hi, F.lit(2)) == 1), hi - 1))
+        return F.transform(F.filter(at, lambda x: x.isNotNull()), lambda x: F.struct(level.alias("level"), x.cast("long").alias("at")))
+
+    none = F.expr("CAST(array() AS array<struct<level: int, at: bigint>>)")
+    return F.when(behind > first, F.flatten(F.transform(levels, of))).otherwise(none)
+
+
+def _sums_by_columns(edges: DataFrame, key: str, size: float, x0: float, y0: float) -> DataFrame:
+    """The sums of ``_moments`` in each touched cell, with edges cut by lattice columns only.
+
+    Of a piece in a column only the first and the last row are taken by themselves. Over the whole rows between
+    them its moments are polynomials of the row; these are added up by blocks of 2^level rows and worked out cell
+    by cell afterwards. So work grows with the edges times the columns they cross and the logarithm of their rows.
+    """
+    left = F.lit(float(x0)) + F.col("col") * size
+    ax, ay, bx, by = (F.col(c) for c in EDGE)
+    cut = edges.select(key, *EDGE, F.explode(F.sequence(
+        F.floor((F.least("ax", "bx") - x0) / size), F.floor((F.greatest("ax", "bx") - x0) / size))).alias("col"))
+    s0, s1 = (left - ax) / (bx - ax), (left + size - ax) / (bx - ax)
+    t_in = F.when(bx != ax, F.greatest(F.lit(0.0), F.least(s0, s1))).otherwise(0.0)
+    t_out = F.greatest(t_in, F.when(bx != ax, F.least(F.lit(1.0), F.greatest(s0, s1))).otherwise(1.0))
+    px, py, qx, qy = (F.col(c) for c in ("px", "py", "qx", "qy"))
+    piece = cut.select(key, "col", *[(o + t * d - s).alias(n) for n, o, t, d, s in (
+        ("px", ax, t_in, bx - ax, left), ("py", ay, t_in, by - ay, F.lit(float(y0))), ("qx", ax, t_out, bx - ax, left), ("qy", ay, t_out, by - ay, F.lit(float(y0))))])
+    piece = piece.withColumns({"lo": F.floor(F.least(py, qy) / size), "hi": F.floor(F.greatest(py, qy) / size)})
+    # The ends, cell by cell.
+    ends = piece.withColumn("row", F.explode(F.array_distinct(F.array("lo", "hi"))))
+    low = F.col("row") * size
+    u0, u1 = (low - py) / (qy - py), (low + size - py) / (qy - py)
+    v_in = F.when(qy != py, F.greatest(F.lit(0.0), F.least(u0, u1))).otherwise(0.0)
+    v_out = F.greatest(v_in, F.when(qy != py, F.least(F.lit(1.0), F.greatest(u0, u1))).otherwise(1.0))
+    ends = ends.select(key, "row", "col", *[(o + v * d - b).alias(n) for n, o, v, d, b in (
+        ("px", px, v_in, qx - px, F.lit(0.0)), ("py", py, v_in, qy - py, low), ("qx", px, v_out, qx - px, F.lit(0.0)), ("qy", py, v_out, qy - py, low))])
+    ends = ends.select(key, "row", "col", *_moments(qy - py, px, py, qx, qy))
+    # The rows between: in row k of a block the piece goes from x + k h to x + (k + 1) h.
+    whole = piece.where("hi > lo + 1").select(key, "col", "px", "py", "qx", "qy", F.explode(_blocks(F.col("lo") + 1, F.col("hi"))).alias("b"))
+    slope = (qx - px) / (qy - py)
+    base = F.col("b.at") * F.pow(F.lit(2.0), F.col("b.level")) * size
+    whole = whole.select(key, "col", "b.level", "b.at", F.when(qy > py, size).otherwise(-size).alias("d"), (slope * size).alias("h"), (px + (base - py) * slope).alias("x"))
+    d, h, x = F.col("d"), F.col("h"), F.col("x")
+    terms = {"d0": d, "o0": d * (x + h / 2), "o1": d * h, "x0": d * (x * x + x * h + h * h / 3) / 2, "x1": d * h * (x + h / 2), "x2": d * h * h / 2,
+             "y0": d * size * (x / 2 + h / 3), "y1": d * size * h / 2}
+    blocks = whole.groupBy(key, "col", "level", "at").agg(*[F.sum(v).alias(n) for n, v in terms.items()])
+    width = F.pow(F.lit(2.0), F.col("level")).cast("long")
+    each = blocks.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), width - 1)))
+    k = F.col("k")
+    rows = each.select(
+        key, (F.col("at") * width + k).alias("row"), "col", F.col("d0").alias("dy"), (F.col("d0") * size / 2).alias("ydy"), (F.col("o0") + F.col("o1") * k).alias("own"),
+        (F.col("x0") + (F.col("x1") + F.col("x2") * k) * k).alias("own_x"), (F.col("y0") + F.col("y1") * k).alias("own_y"))
+    return ends.unionByName(rows).groupBy(key, "row", "col").agg(*[F.sum(c).alias(c) for c in ("dy", "ydy", "own", "own_x", "own_y")])
+
+
+def shares(edges: DataFrame, key: str, size: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
+    """``cover`` without ``odd``, for polygons whose edges are long in cells and whose columns are few."""
+    sums = _sums_by_columns(edges, key, size, x0, y0)
+    east = Window.partitionBy(key, "row").orderBy(F.col("col").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    run = sums.select("*", *[F.coalesce(F.sum(c).over(east), F.lit(0.0)).alias(f"e_{c}") for c in ("dy", "ydy")])
+    touched = run.select(
+        key, "row", "col", (F.col("own") + size * F.col("e_dy")).alias("area"), (F.col("own_x") + size * size / 2 * F.col("e_dy")).alias("mx"),
+        (F.col("own_y") + size * F.col("e_ydy")).alias("my"), F.lit(None).cast("boolean").alias("odd"), F.col("e_dy").alias("east"))
+    return _filled(touched, key, size, x0, y0).drop("odd")
+
+
 def _holds(x: Column, y: Column, cell: Column, ref_x: Column, ref_y: Column) -> Column:
     """Even-odd test along reference point - corner - point, against the edges of one cell."""
 

@@ -132,3 +132,22 @@ def test_largest_part_is_measured_with_the_whole(spark):
     got = {r.k: r for r in P.with_polygon_metrics(df, "parts", exact=True, largest="big").collect()}
     assert (got["m"].area_m2, got["m"].perimeter_m, got["m"].big) == (90.0, 66.0, 84.0)
     assert got["none"].big is None and got["none"].area_m2 is None and got["empty"].big is None and got["empty"].area_m2 == 0
+
+
+def test_shares_equal_cover_and_cut_long_edges_by_columns_only(spark):
+    ring = [(30.0, -70.0), (260.0, 4100.5), (390.0, 12.25), (395.0, 5000.0), (120.0, 5100.0), (-50.0, 2500.0), (30.0, -70.0)]
+    hole = [(150.0, 4000.0), (160.0, 4000.0), (160.0, 3000.0), (150.0, 3000.0), (150.0, 4000.0)]
+    signed = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:]))
+    rows = [("p", *a, *b) if signed > 0 else ("p", *b, *a) for a, b in zip(ring, ring[1:])]
+    rows += [("p", *b, *a) if sum(c[0] * e[1] - e[0] * c[1] for c, e in zip(hole, hole[1:])) > 0 else ("p", *a, *b) for a, b in zip(hole, hole[1:])]
+    edges = spark.createDataFrame(rows, "key string, ax double, ay double, bx double, by double").persist()
+    kept = ["key", "row", "col", "area", "centroid_x", "centroid_y"]
+    some = lambda df: sorted(tuple(r) for r in df.where("area > 1e-3").select(kept).collect())
+    want, got = some(P.cover(edges, "key", 100.0, 7.0, -3.0)), some(P.shares(edges, "key", 100.0, 7.0, -3.0))
+    assert [x[:3] for x in got] == [x[:3] for x in want] and len(got) > 100
+    assert all(x[3:] == pytest.approx(y[3:], rel=1e-9, abs=1e-6) for x, y in zip(got, want))
+    spans = spark.createDataFrame([(a, b) for a in range(-9, 9) for b in range(a, 40)], "a long, b long")
+    for r in spans.select("a", "b", P._blocks(F.col("a"), F.col("b")).alias("x")).collect():
+        assert sorted(v for x in r.x for v in range(x.at << x.level, (x.at + 1) << x.level)) == list(range(r.a, r.b))
+    tall = spark.createDataFrame([("p", 0.0, 0.0, 1.0, 1e8)], edges.schema).select("*", P._blocks(F.lit(1), F.lit(1_000_000)).alias("x"))
+    assert len(tall.first().x) <= 2 * 20
