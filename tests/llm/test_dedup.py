@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from latticeworks.llm import exact_dedup, line_dedup, simhash, similar, substring_dedup
@@ -205,6 +206,57 @@ def test_pipeline_stage_keeps_one_of_each_group_of_similar_texts(spark):
     assert sorted(r.doc_id for r in got.collect()) == brute_near(rows)
 
 
+def test_sets_are_made_only_of_long_texts_that_are_alike(spark, monkeypatch):
+    """Bit maps that a long text's members fill would let every pair through."""
+    rng, counts = random.Random(14), collections.defaultdict(list)
+
+    def noted(df, name):
+        out = stored(df, name)
+        counts[name].append(out.count())
+        return out
+
+    monkeypatch.setattr(similar, "stored", noted)
+    shared = words(rng, 9000, 10**9)
+    texts = [f"{shared} {words(rng, 1900, 10**9)}" for _ in range(3)]
+    texts.append(texts[0] + " end")
+    placed = spark.createDataFrame(list(enumerate(texts)), "place long, text string")
+    maps = similar._prefixes(placed.withColumn("id", F.col("place")), "place", "id", "text", 5, 0.8).selectExpr("place AS node", "size", "bits")
+    pairs = stored(spark.createDataFrame([(i, j) for j in range(4) for i in range(j)], "a long, b long"), "pairs")
+    found = similar._verified(pairs, maps, placed, "place", "text", 5, 0.8)
+    assert [tuple(r) for r in found.collect()] == [(0, 3)]
+    assert counts["likely"] == [1]
+
+
+def test_similar_sets_of_unlike_sizes_against_brute_force(spark):
+    """Their bit maps have up to eight times the length of one another."""
+    rng = random.Random(15)
+    base = words(rng, 600, 10**6).split()
+    rows = [(i, " ".join(base[: 600 - 37 * i]), "s") for i in range(16)] + [(20 + i, " ".join(base[100 * i :]), "s") for i in range(6)]
+    rows += [(30 + i, words(rng, 40 + 30 * i, 10**6), "s") for i in range(8)] + [(40 + i, rows[i][1].upper() + " " + words(rng, 25 * i + 1, 10**6), "s") for i in range(10)]
+    for least in (0.2, 0.7):
+        got = similar.keep_one(frame(spark, rows), least=least, shingle=3)
+        assert sorted(r.doc_id for r in got.collect()) == brute_near(rows, least, 3)
+
+
+def test_files_compare_only_sets_whose_first_shared_member_may_lie_there(spark):
+    places = spark.createDataFrame([(100, 0), (100, 11), (100, 12), (100, 19), (80, 0), (80, 1), (79, 0)], "size int, pos int")
+    both = places.alias("x").crossJoin(places.alias("y")).where(similar._alike(0.8))
+    got = sorted({tuple(sorted([(r[0], r[1]), (r[2], r[3])], reverse=True)) for r in both.collect()})
+    def fit(a, i, b, j):
+        most = min(a - i, b - j)
+        return min(a, b) >= 0.8 * max(a, b) and most >= 0.8 * (a + b - most) - 1e-9
+    rows = [tuple(r) for r in places.collect()]
+    assert got == sorted({tuple(sorted([x, y], reverse=True)) for x in rows for y in rows if fit(*x, *y)})
+    assert ((100, 12), (100, 12)) not in got and ((100, 19), (80, 0)) in got
+
+
+def test_counters_of_shingles_grow_with_the_texts(spark):
+    texts = spark.createDataFrame([("x" * 10**6,)] * 10, "text string")
+    assert similar._width(texts.limit(1), "text") == similar.FEWEST
+    assert 2 ** similar._width(texts, "text") > 10**7 / similar.COUNTER_BYTES
+    assert similar._width(texts.limit(0), "text") == similar.FEWEST
+
+
 def test_first_candidates_of_the_pipeline_stage_are_those_of_fingerprints(spark):
     """Their ties connect what fingerprints within two bits connect, and links that only they propose count."""
     rng = random.Random(13)
