@@ -250,6 +250,16 @@ def test_files_compare_only_sets_whose_first_shared_member_may_lie_there(spark):
     assert ((100, 12), (100, 12)) not in got and ((100, 19), (80, 0)) in got
 
 
+def test_large_files_compare_a_pair_once(spark):
+    """Sets of ten members, filed under five; all share four of them, each of the fifth is shared by three."""
+    rows = [(i, i if i % 7 else 0, 10, pos, pos) for i in range(30) for pos in range(4)] + [(i, i if i % 7 else 0, 10, 4, 100 + i // 3) for i in range(30)]
+    mixed = spark.createDataFrame(rows, "node long, label long, size int, pos int, s long")
+    got = [tuple(r) for r in similar._open_pairs(mixed, 0.1).collect()]
+    want = {(i, j) for j in range(30) for i in range(j) if i % 7 or j % 7}
+    assert set(got) == want
+    assert len(got) == len(want) + sum(i // 3 == j // 3 for i, j in want)  # those of small files
+
+
 def test_counters_of_shingles_grow_with_the_texts(spark):
     texts = spark.createDataFrame([("x" * 10**6,)] * 10, "text string")
     assert similar._width(texts.limit(1), "text") == similar.FEWEST
