@@ -30,7 +30,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder the session names.
 
     Falls back to a temporary folder only on a local master, where driver and
-    executors share one machine.
+    executors share one machine. Spark's checkpoint keeps the plan's size estimate
+    and constraints. A join's estimate is the product of its sides, so the digits of
+    an iteration's estimate would double with each join, and its constraints would
+    pile up on the driver: the rows start a new frame that has neither.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -40,7 +43,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    cut = df.checkpoint(eager=True)._jdf
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(cut.toJavaRDD(), cut.schema()), spark)
 
 
 def range_count(spark: SparkSession) -> int:

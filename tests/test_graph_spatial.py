@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from latticeworks.functions.tails import normal_two_sided, t_two_sided
 from latticeworks.operators import graph, ranks, regression, spatial
+from latticeworks.session import checkpointed
 
 
 def cells(spark, at):
@@ -213,3 +214,13 @@ def test_error_models_share_the_joins_with_the_weights(spark, monkeypatch):
         assert error.moran_ols == pytest.approx(moran(u), abs=1e-9) and error.moran_filtered == pytest.approx(moran(e), abs=1e-8)
         assert error.pseudo_r2 == pytest.approx(np.corrcoef(value[y], x @ beta)[0, 1] ** 2, abs=1e-9)
         assert own[y] == pytest.approx(moran(value[y]), abs=1e-10) and fit.r2 == error.ols_r2
+
+
+def test_checkpoints_do_not_carry_estimates_and_constraints(spark):
+    """Each join multiplies the estimate of its sides: through an iteration the number's digits double every time."""
+    df = spark.range(3).select("id", (F.col("id") * 2).alias("v"))
+    for _ in range(8):
+        df = checkpointed(df.join(df.select("id", F.col("v").alias("u")), "id").select("id", F.least("u", "v").alias("v")))
+        plan = df._jdf.queryExecution().optimizedPlan()
+        assert plan.stats().sizeInBytes().bit_length() <= 64 and plan.constraints().size() == 0
+    assert sorted(map(tuple, df.collect())) == [(0, 0), (1, 2), (2, 4)]
