@@ -190,7 +190,9 @@ def nearest(
     # A row has one list (for each group), at one of the levels where lists were closed.
     placed = q.where(F.col("_c").isNotNull()).withColumn("_ql", F.explode(F.array(*[F.lit(x) for x in sorted(closed)])))
     placed = placed.withColumns({"_qc": F.floor(F.col("_c") / width).cast("long"), "_qr": F.floor(F.col("_r") / width).cast("long")})
-    matched = placed.join(lists, ["_ql", "_qc", "_qr"])  # tiles of many rows are split by AQE; lists are never repeated
+    # Tiles of many rows are split by AQE; lists are never repeated. Neither side is broadcast: the queries' size is
+    # guessed from the files they stem from, without their levels, and they may be as many as the input's rows.
+    matched = placed.join(lists.hint("merge"), ["_ql", "_qc", "_qr"])
     nowhere = q.where(F.col("_c").isNull())
     matched = matched.unionByName(nowhere, allowMissingColumns=True)
     kept = F.col("_cand")

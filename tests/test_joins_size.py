@@ -50,3 +50,13 @@ def test_permuted_arrays_are_not_broadcast(spark, monkeypatch):
     got = spatial.permutation_test(units, "u", ring, "v", 20, 1, batch=10)
     assert got["n"] == 60 and len(plans) == 3
     assert not any("BroadcastHashJoin" in p.split("InMemoryRelation")[0] for p in plans)
+
+
+def test_queries_of_a_search_are_not_broadcast_by_the_size_of_their_file(spark, tmp_path):
+    from latticeworks.operators import nearest
+
+    i = F.col("id")
+    spark.range(3000).select(i.alias("u")).write.parquet(str(tmp_path / "u"))
+    units = spark.read.parquet(str(tmp_path / "u")).select("u", (F.col("u") % 60 * 370.0).alias("x"), (F.floor(F.col("u") / 60) * 400.0).alias("y"))
+    out = nearest.nearest(units, units, "u", "u", 2, exclude_same_key=True)
+    assert "BroadcastHashJoin" not in _plan(out) and out.where("size(neighbours) = 2").count() == 3000
