@@ -6,7 +6,6 @@ import ctypes
 import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from latticeworks.session import ship_package
+
 # Bytes of text that the vectorised code looks at in one go.
 SLICE_BYTES = 2 << 20
 
@@ -96,19 +97,7 @@ def give_back() -> None:
 
 def in_tasks(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with this package shipped to the executors first."""
-    sc = df.sparkSession.sparkContext
-    if getattr(sc, "_package_shipped", None) is None:
-        here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        name = os.path.basename(here)
-        path = os.path.join(tempfile.mkdtemp(prefix="package-"), f"{name}.zip")
-        with zipfile.ZipFile(path, "w") as out:
-            for folder, _, files in os.walk(here):
-                for file in sorted(files):
-                    if file.endswith(".py"):
-                        full = os.path.join(folder, file)
-                        out.write(full, os.path.join(name, os.path.relpath(full, here)))
-        sc.addPyFile(path)
-        sc._package_shipped = path
+    ship_package(df.sparkSession)
 
     def task(batches):
         yield from run(b for b in batches if b.num_rows)

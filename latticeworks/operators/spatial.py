@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from math import sqrt
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,9 +15,13 @@ from latticeworks.functions.rings import let
 from latticeworks.functions.tails import normal_two_sided
 from latticeworks.operators import order
 from latticeworks.operators.regression import Fit, ols
+from latticeworks.session import checkpointed, range_count, ship_package, shuffles_freed
 
 FEISTEL_ROUNDS = 4
 WALK_LIMIT = 64
+BLOCK_LEAST, BLOCK_MOST = 2048, 8192  # positions of a block
+EXCHANGE_BYTES = 512 << 20  # that a batch of replicates moves between tasks; its shuffle files go with it
+SLICE = 1 << 14  # rows, and pairs, that are looked at in one go: as many values at once as replicates and columns make of them
 
 
 def lags(units: DataFrame, key: str, weights: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -114,67 +119,217 @@ def permuted_position(index: Column, rep: Column, n: int, seed: int) -> Column:
     return let(let(network(index), walk), checked)
 
 
+def _permuted(pos: np.ndarray, rep: int, n: int, seed: int) -> np.ndarray:
+    """``permuted_position`` of many positions for one replicate; a round's hashes are looked up by the half they stem from."""
+    a = int(np.ceil(np.sqrt(n)))
+    b = -(-n // a)
+    rounds = []
+    for k in range(FEISTEL_ROUNDS):
+        salt = seed * 1_000_003 + k
+        rounds.append((_hashes(b, rep, salt) % a, _hashes(a, rep, -salt - 1) % b))
+
+    def network(v: np.ndarray) -> np.ndarray:
+        left, right = np.divmod(v, b)
+        for of_right, of_left in rounds:
+            left = (left + of_right[right]) % a
+            right = (right + of_left[left]) % b
+        return left * b + right
+
+    out = network(pos.astype(np.int64))
+    for _ in range(WALK_LIMIT):
+        beyond = np.flatnonzero(out >= n)
+        if not len(beyond):
+            return out
+        out[beyond] = network(out[beyond])
+    if (out >= n).any():
+        raise ValueError("permutation walk did not return to range")
+    return out
+
+
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (
+    0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _rotated(v: np.ndarray, bits: int) -> np.ndarray:
+    return (v << np.uint64(bits)) | (v >> np.uint64(64 - bits))
+
+
+def _xxh64(v: np.ndarray, seed: np.ndarray, long: bool) -> np.ndarray:
+    """XXH64 of a long or an int, as Spark's ``xxhash64`` has it."""
+    if long:
+        h = (seed + _P5 + np.uint64(8)) ^ (_rotated(v * _P2, 31) * _P1)
+        h = _rotated(h, 27) * _P1 + _P4
+    else:
+        h = (seed + _P5 + np.uint64(4)) ^ ((v & np.uint64(0xFFFFFFFF)) * _P1)
+        h = _rotated(h, 23) * _P2 + _P3
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+def _hashes(m: int, rep: int, salt: int) -> np.ndarray:
+    """``xxhash64(v, rep, salt)`` of the longs v below m; ``rep`` is an int, ``salt`` too if it fits."""
+    h = _xxh64(np.arange(m, dtype=np.uint64), np.full(m, 42, np.uint64), True)
+    for value, long in ((rep, False), (salt, not -(1 << 31) <= salt < 1 << 31)):
+        h = _xxh64(np.full(m, value % (1 << 64), np.uint64), h, long)
+    return h.view(np.int64)
+
+
+@dataclass
+class Blocks:
+    """Unordered pairs of positions with the sum of their weights, by blocks of ``size`` consecutive positions.
+
+    ``local`` (block, a, b, w, owner) has the pairs inside each block, and each position that a pair of two blocks
+    needs, with the number of that pair of blocks in ``owner``; ``cross`` (owner, a, b, w) has these pairs.
+    """
+
+    size: int
+    count: int
+    local: DataFrame
+    cross: DataFrame
+
+
+@dataclass
+class Moved:
+    """Values that ``width`` permutations bring to each block: (block, at, z), packed, from each task."""
+
+    rows: DataFrame
+    width: int
+    k: int
+
+
+def _blocks(pairs: DataFrame, n: int, ranges: int) -> Blocks:
+    size = min(max(n // (4 * ranges), BLOCK_LEAST), BLOCK_MOST)
+    count = -(-n // size)
+
+    def block(c: str) -> Column:
+        return F.floor(F.col(c) / size).cast("long")
+
+    placed = pairs.withColumns({"block": block("a"), "other": block("b")})
+    cross = checkpointed(placed.where("block <> other").select((F.col("block") * count + F.col("other")).alias("owner"), "a", "b", "w"))
+    needed = cross.select("owner", F.explode(F.array("a", "b")).alias("a")).distinct()
+    inside = placed.where("block = other").select("block", "a", "b", "w", F.lit(-1).cast("long").alias("owner"))
+    local = inside.unionByName(needed.select(block("a").alias("block"), "a", F.lit(-1).cast("long").alias("b"), F.lit(0.0).alias("w"), "owner"))
+    return Blocks(size, count, checkpointed(local), cross)
+
+
+def _moved(numbered: DataFrame, n: int, k: int, size: int, reps: range | None, seed: int = 0) -> Moved:
+    """The values of ``numbered`` (pos, z) where the replicates put them; where they are if ``reps`` is None."""
+    width = 1 if reps is None else len(reps)
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                pos = part.column("pos").to_numpy(zero_copy_only=False)
+                z = part.column("z").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+                to = pos[None, :] if reps is None else np.stack([_permuted(pos, rep, n, seed) for rep in reps])
+                block, place = np.divmod(to, size)
+                block, place = block.ravel(), (place * width + np.arange(width)[:, None]).ravel()
+                order = np.argsort(block.astype(np.uint16) if n // size < 1 << 16 else block, kind="stable")
+                block, place = block[order], place[order].astype(np.uint32)
+                first = np.flatnonzero(np.diff(block, prepend=-1))
+                ends = np.append(first, len(block))
+
+                def packed(values, entry, ends=ends):
+                    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * entry).astype(np.int32)), pa.py_buffer(values)])
+
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(block[first]), packed(place, 4), packed(np.ascontiguousarray(z[order % len(pos)]), 8 * k)], ["block", "at", "z"])
+
+    return Moved(numbered.select("pos", "z").mapInArrow(run, "block long, at binary, z binary"), width, k)
+
+
+def _pair_sums(z: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """For every column of z the sum of w * z_a * z_b."""
+    total, step = np.zeros(z.shape[1]), max(1, (SLICE << 5) // max(1, z.shape[1]))
+    for i in range(0, len(w), step):
+        part = slice(i, i + step)
+        total += w[part] @ (z[a[part]] * z[b[part]])
+    return total
+
+
+def _products(edges: Blocks, moved: Moved) -> DataFrame:
+    """(at, num): for every place in a replicate's columns, the sum of w * z_a * z_b over the pairs.
+
+    A block's values meet in one task, where the pairs inside it are summed up; of pairs of two blocks only the
+    positions they need travel on. So values move once a replicate, however many pairs there are, and a task holds
+    the values of one or two blocks.
+    """
+    size, count, width, k = edges.size, edges.count, moved.width, moved.k
+
+    def column(table: pa.Table, name: str) -> np.ndarray:
+        return table[name].to_numpy()
+
+    def inside(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = (left if left.num_rows else right)["block"][0].as_py()
+        z = np.zeros((size * width, k))
+        for at, values in zip(left["at"], left["z"], strict=True):
+            z[np.frombuffer(at.as_buffer(), np.uint32)] = np.frombuffer(values.as_buffer()).reshape(-1, k)
+        z = z.reshape(size, width * k)
+        a, b, w, owner = (column(right, c) for c in ("a", "b", "w", "owner"))
+        own, asked = owner < 0, owner >= 0
+        sums = _pair_sums(z, a[own] - block * size, b[own] - block * size, w[own])
+        return pa.table({
+            "owner": pa.array(np.append(owner[asked], block * count + block)), "pos": pa.array(np.append(a[asked], -1)),
+            "z": pa.array([*(z[i].tobytes() for i in a[asked] - block * size), sums.tobytes()], pa.binary())})
+
+    def across(left: pa.Table, right: pa.Table) -> pa.Table:
+        pos = column(left, "pos")
+        z = np.frombuffer(b"".join(left["z"].to_pylist())).reshape(-1, width * k)
+        total = z[pos < 0].sum(axis=0)
+        if right.num_rows:
+            order = np.argsort(pos)
+            a, b = (order[np.searchsorted(pos, column(right, c), sorter=order)] for c in ("a", "b"))
+            total += _pair_sums(z, a, b, column(right, "w"))
+        return pa.table({"at": pa.array(np.arange(width * k)), "num": pa.array(total)})
+
+    first = moved.rows.groupBy("block").cogroup(edges.local.groupBy("block")).applyInArrow(inside, "owner long, pos long, z binary")
+    each = first.groupBy("owner").cogroup(edges.cross.groupBy("owner")).applyInArrow(across, "at long, num double")
+    return each.groupBy("at").agg(F.sum("num").alias("num"))
+
+
 def permutation_tests(
     units: DataFrame, key: str, weights: DataFrame, values: Sequence[str],
     replicates: int, seed: int, batch: int = 100,
 ) -> dict[str, dict[str, float]]:
     """Moran's I of several columns against random permutations of their values over the units.
 
-    All columns share the permutations. A batch of replicates is one array per
-    position: an edge meets the arrays of its two ends once, not once per
-    replicate, and what leaves a task is one partial sum per replicate and column.
+    All columns share the permutations. Replicates go in batches of at most ``batch`` and ``EXCHANGE_BYTES``, whose
+    values travel once to the blocks of positions where the pairs are; what leaves a task is one partial sum per
+    replicate and column, and a batch's shuffle files go before the next begins.
     Rows with a null in any of the columns are left out. A column without
     spread has no test: its values are NaN.
     """
     values = list(values)
     units = units.na.drop(subset=values)
+    spark = units.sparkSession
+    ship_package(spark)
     sums = weight_sums(weights)
     stats = units.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in values]).first()
-    n, k = stats["n"], len(values)
+    n, k, ranges = stats["n"], len(values), range_count(spark)
     centred = F.array(*[(F.col(c) - F.lit(stats[c])).cast("double") for c in values])
-    numbered = order.ordinals(units.select(key, centred.alias("z")), key, "pos").persist()
-    place = numbered.select(F.col(key).alias("_u"), "pos")
-    edges = (
-        weights.join(place.withColumnsRenamed({"_u": "i", "pos": "pi"}), "i")
-        .join(place.withColumnsRenamed({"_u": "j", "pos": "pj"}), "j")
-        .select("pi", "pj", "w")
-        .persist()
-    )
-    try:
-        squares = numbered.agg(*[F.sum(F.col("z")[c] * F.col("z")[c]) for c in range(k)]).first()
-        own = _products(edges, numbered.select("pos", "z")).collect()  # one row per column
+    ranked = order.ordinals(units.select(key, centred.alias("z")), key, "pos")
+    numbered = checkpointed(ranked.select(F.col(key).alias("_u"), F.col("pos").cast("long").alias("pos"), "z").repartition(ranges, "pos"))
+    place = numbered.select("_u", "pos")
+    ends = weights.join(place.withColumnsRenamed({"_u": "i", "pos": "pi"}), "i").join(place.withColumnsRenamed({"_u": "j", "pos": "pj"}), "j")
+    edges = _blocks(ends.groupBy(F.least("pi", "pj").alias("a"), F.greatest("pi", "pj").alias("b")).agg(F.sum("w").alias("w")), n, ranges)
+    squares = numbered.agg(*[F.sum(F.col("z")[c] * F.col("z")[c]) for c in range(k)]).first()
+    sims = np.zeros((replicates, k))
+    width = max(1, min(batch, EXCHANGE_BYTES // max(1, n * (8 * k + 4))))
+    with shuffles_freed(spark):
+        own = _products(edges, _moved(numbered, n, k, edges.size, None)).collect()  # one row per column
         observed = {g["at"]: g["num"] for g in own}
-        sims = np.zeros((replicates, k))
-        for start in range(0, replicates, batch):
-            stop = min(start + batch, replicates)
-            moved = numbered.select("pos", "z", F.explode(F.sequence(F.lit(start), F.lit(stop - 1))).alias("rep")).select(
-                permuted_position(F.col("pos"), F.col("rep"), n, seed).alias("pos"), "rep", "z"
-            )
-            # A position gets exactly one value per replicate, so its list has the batch's length.
-            lists = moved.groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("rep", "z"))).alias("all"))
-            arrays = lists.select("pos", F.flatten(F.transform("all", lambda x: x["z"])).alias("z"))
-            for g in _products(edges, arrays).collect():  # batch x columns rows
+        for start in range(0, replicates, width):
+            reps = range(start, min(start + width, replicates))
+            for g in _products(edges, _moved(numbered, n, k, edges.size, reps, seed)).collect():  # batch x columns rows
                 sims[start + g["at"] // k, g["at"] % k] = g["num"]
-    finally:
-        edges.unpersist()
-        numbered.unpersist()
     out = {}
     for c, name in enumerate(values):
         out[name] = _against(n, observed.get(c, 0.0), squares[c], sims[:, c], sums)
     return out
 
 
-def _products(edges: DataFrame, arrays: DataFrame) -> DataFrame:
-    """(at, num): for every place in the arrays, the sum of w * z_i * z_j over the edges.
-
-    The arrays are long and never broadcast: their size is guessed from the units', before replicates.
-    """
-    first = edges.join(arrays.select(F.col("pos").alias("pj"), F.col("z").alias("zj")).hint("merge"), "pj")
-    both = first.join(arrays.select(F.col("pos").alias("pi"), F.col("z").alias("zi")).hint("merge"), "pi")
-    each = both.select("w", F.posexplode(F.zip_with("zi", "zj", lambda a, b: a * b)).alias("at", "zz"))
-    return each.groupBy("at").agg(F.sum(F.col("w") * F.col("zz")).alias("num"))
-
-
 def _against(n: int, num: float, square: float, nums: np.ndarray, sums: WeightSums) -> dict[str, float]:
     """The row of one column: its Moran's I, and the replicates' spread and p."""
     scale = n / sums.s0 / square if square and sums.s0 else float("nan")

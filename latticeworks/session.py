@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +51,38 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.createDataFrame(cut.toJavaRDD(), cut.schema()), spark)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, for functions that run in their Python workers."""
+    sc = spark.sparkContext
+    if getattr(sc, "_package_shipped", None) is None:
+        here = os.path.dirname(os.path.abspath(__file__))
+        name = os.path.basename(here)
+        path = os.path.join(tempfile.mkdtemp(prefix="package-"), f"{name}.zip")
+        with zipfile.ZipFile(path, "w") as out:
+            for folder, _, files in os.walk(here):
+                for file in sorted(files):
+                    if file.endswith(".py"):
+                        full = os.path.join(folder, file)
+                        out.write(full, os.path.join(name, os.path.relpath(full, here)))
+        sc.addPyFile(path)
+        sc._package_shipped = path
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query inside go as soon as it ends, not when the driver next collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def range_count(spark: SparkSession) -> int:
     """How many value ranges to cut: one per shuffle partition."""
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))

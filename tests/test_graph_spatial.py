@@ -224,3 +224,32 @@ def test_checkpoints_do_not_carry_estimates_and_constraints(spark):
         plan = df._jdf.queryExecution().optimizedPlan()
         assert plan.stats().sizeInBytes().bit_length() <= 64 and plan.constraints().size() == 0
     assert sorted(map(tuple, df.collect())) == [(0, 0), (1, 2), (2, 4)]
+
+
+def test_permutations_in_tasks_agree_with_brute_force_over_many_blocks(spark, monkeypatch):
+    """Positions as ``permuted_position`` has them; pairs inside and across blocks, far ones and a hub too."""
+    for n in (1, 7, 100, 257):
+        df = spark.range(n).crossJoin(spark.range(3).select(F.col("id").cast("int").alias("rep")))
+        for seed in (11, 5_000):
+            got = df.select("id", "rep", spatial.permuted_position(F.col("id"), F.col("rep"), n, seed).alias("p")).orderBy("rep", "id").collect()
+            want = np.concatenate([spatial._permuted(np.arange(n), rep, n, seed) for rep in range(3)])
+            assert [r.p for r in got] == want.tolist()
+    monkeypatch.setattr(spatial, "BLOCK_LEAST", 7)
+    monkeypatch.setattr(spatial, "BLOCK_MOST", 7)
+    monkeypatch.setattr(spatial, "EXCHANGE_BYTES", 50 * 20 * 4)
+    n, rng = 50, np.random.default_rng(3)
+    x = rng.normal(size=(n, 2))
+    w = {(i, int(j)): float(rng.random()) for i in range(n) for j in rng.choice(n, 4)} | {(0, j): 0.5 for j in range(1, n)}
+    units = spark.createDataFrame([(3 * i, float(a), float(b)) for i, (a, b) in enumerate(x)], "u long, a double, b double")
+    weights = spark.createDataFrame([(3 * i, 3 * j, v) for (i, j), v in w.items()], "i long, j long, w double")
+    got = spatial.permutation_tests(units, "u", weights, ["a", "b"], 9, 2018)
+    i, j, v = np.array([p[0] for p in w]), np.array([p[1] for p in w]), np.array(list(w.values()))
+    for c, name in enumerate(("a", "b")):
+        z = x[:, c] - x[:, c].mean()
+        sims = []
+        for rep in range(9):
+            moved = np.empty(n)
+            moved[spatial._permuted(np.arange(n), rep, n, 2018)] = z
+            sims.append(n / v.sum() / (z @ z) * (v * moved[i] * moved[j]).sum())
+        assert got[name]["moran_i"] == pytest.approx(n / v.sum() / (z @ z) * (v * z[i] * z[j]).sum())
+        assert got[name]["mean_i_sim"] == pytest.approx(np.mean(sims)) and got[name]["sd_i_sim"] == pytest.approx(np.std(sims))
