@@ -111,15 +111,18 @@ def polygon_measures(spark, sf):
     area, aspect = F.col("l_extendedprice") / 100, 1 + F.col("l_quantity") % 5
     w, h = F.sqrt(area * aspect), F.sqrt(area / aspect)
 
-    def text(x0, y0, width, height):
-        corners = [(x0, y0), (x0 + width, y0), (x0 + width, y0 + height), (x0, y0 + height), (x0, y0)]
-        return F.concat(F.lit("("), F.concat_ws(", ", *[F.concat_ws(" ", x.cast("string"), y.cast("string")) for x, y in corners]), F.lit(")"))
-
-    zero = F.lit(0.0)
-    wkt = F.concat(F.lit("MULTIPOLYGON (("), text(zero, zero, w, h), F.lit(", "), text(w / 3, h / 3, w / 3, h / 3), F.lit("), ("), text(w + 1, zero, w / 2, h / 2), F.lit("))"))
-    parsed = raw.select(*B.ROW_KEY[:4], F.explode(F.array(polygons.wkt_polygons(wkt))).alias("parts"))
-    measured = polygons.with_polygon_metrics(parsed, "parts", exact=True, largest="largest_part_m2")
-    out = measured.withColumn("n_parts", F.size("parts")).drop("parts")
+    def text(x0, y0, x1, y1):
+        corners = [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
+        return F.concat(F.lit("("), F.concat_ws(", ", *[F.concat_ws(" ", x, y) for x, y in corners]), F.lit(")"))
+
+    # Each number becomes text once a row, however many corners have it.
+    sides = raw.select(*B.ROW_KEY[:4], w.alias("w"), h.alias("h"))
+    w, h = F.col("w"), F.col("h")
+    numbers = {"x1": w, "y1": h, "cx0": w / 3, "cy0": h / 3, "cx1": w / 3 + w / 3, "cy1": h / 3 + h / 3, "ax0": w + 1, "ax1": w + 1 + w / 2, "ay1": h / 2}
+    texts = sides.select(*B.ROW_KEY[:4], *[v.cast("string").alias(n) for n, v in numbers.items()])
+    zero = F.lit("0.0")
+    wkt = F.concat(F.lit("MULTIPOLYGON (("), text(zero, zero, "x1", "y1"), F.lit(", "), text("cx0", "cy0", "cx1", "cy1"), F.lit("), ("), text("ax0", zero, "ax1", "ay1"), F.lit("))"))
+    out = polygons.measured_wkt(texts.select(*B.ROW_KEY[:4], wkt.alias("wkt")), "wkt", exact=True, largest="largest_part_m2")
     return rounded(out, 4, largest_part_m2=3, area_m2=2, perimeter_m=2)
 
 

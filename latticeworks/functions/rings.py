@@ -88,6 +88,24 @@ def ring_perimeter(ring: Column) -> Column:
     return _total(segments(ring), lambda s: F.hypot(s.q.x - s.p.x, s.q.y - s.p.y))
 
 
+def ring_area_and_perimeter(ring: Column) -> Column:
+    """``ring_area`` and ``ring_perimeter`` as a struct, from one list of segments."""
+
+    def both(b: Column) -> Column:
+        o, s = b["o"], b["s"]
+        area = F.abs(_total(s, lambda e: (e.p.x - o.x) * (e.q.y - o.y) - (e.q.x - o.x) * (e.p.y - o.y)) / 2)
+        return F.struct(area.alias("area"), _total(s, lambda e: F.hypot(e.q.x - e.p.x, e.q.y - e.p.y)).alias("length"))
+
+    return let(F.struct(F.get(ring, F.lit(0)).alias("o"), segments(ring).alias("s")), both)
+
+
+def ring_box(ring: Column) -> Column:
+    """``ring_bounds`` as a struct, with each axis gone through once."""
+    axes = F.struct(F.transform(ring, lambda p: p.x).alias("x"), F.transform(ring, lambda p: p.y).alias("y"))
+    return let(axes, lambda a: F.struct(
+        F.array_min(a["x"]).alias("x0"), F.array_min(a["y"]).alias("y0"), F.array_max(a["x"]).alias("x1"), F.array_max(a["y"]).alias("y1")))
+
+
 def ring_bounds(ring: Column) -> tuple[Column, Column, Column, Column]:
     xs, ys = F.transform(ring, lambda p: p.x), F.transform(ring, lambda p: p.y)
     return F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)

@@ -13,29 +13,40 @@ First moments run the same way and give centroids.
 
 from __future__ import annotations
 
+import re
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from latticeworks.functions import rings
 from latticeworks.operators.joins import BROADCAST_ROWS, is_small, lookup_join
 from latticeworks.operators.lattice import segment_cells
+from latticeworks.session import ship_package
 
 # Where in a cell its reference point lies; no lattice coordinate falls on it.
 REF_X, REF_Y = 0.41421356237, 0.57721566490
 EDGE = ["ax", "ay", "bx", "by"]
+# WKT, in Java's regular expressions and in Python's.
+_NUMBER = r"-?[0-9]+\.?[0-9]*(?:[eE][-+]?[0-9]+)?"
+_PAIR = rf"({_NUMBER})\s+({_NUMBER})"
+_RING = r"\([^()]*\)"
+_PART = rf"\(\s*{_RING}(?:\s*,\s*{_RING})*\s*\)"
 
 
 def wkt_polygons(wkt: Column) -> Column:
     """WKT POLYGON or MULTIPOLYGON as parts of rings of points; the first ring of a part is its outer one."""
-    number = r"-?[0-9]+\.?[0-9]*(?:[eE][-+]?[0-9]+)?"
-    pair = rf"({number})\s+({number})"
-    ring = r"\([^()]*\)"
-    parts = F.regexp_extract_all(wkt, F.lit(rf"\(\s*{ring}(?:\s*,\s*{ring})*\s*\)"), F.lit(0))
-    return F.transform(parts, lambda part: F.transform(
-        F.regexp_extract_all(part, F.lit(r"\(([^()]*)\)"), F.lit(1)),
-        lambda text: F.zip_with(
-            F.regexp_extract_all(text, F.lit(pair), F.lit(1)), F.regexp_extract_all(text, F.lit(pair), F.lit(2)),
-            lambda x, y: rings.point(x, y))))
+    parts = F.regexp_extract_all(wkt, F.lit(_PART), F.lit(0))
+
+    def points(text: Column) -> Column:
+        # One scan finds the pairs; their numbers are what stands before the first and behind the last blank.
+        pairs = F.regexp_extract_all(F.translate(text, "\t\n\x0b\f\r", "     "), F.lit(_PAIR), F.lit(0))
+        return F.transform(pairs, lambda p: rings.point(F.substring_index(p, " ", 1), F.substring_index(p, " ", -1)))
+
+    return F.transform(parts, lambda part: F.transform(F.regexp_extract_all(part, F.lit(r"\(([^()]*)\)"), F.lit(1)), points))
 
 
 def _over_rings(parts: Column, term) -> Column:
@@ -91,15 +102,87 @@ def with_polygon_metrics(df: DataFrame, parts: str, exact: bool = False, largest
     ``largest`` names a column for the area of the largest part. The measures are taken once a row, the area
     of each part too; the ratios read them.
     """
-    areas = F.transform(parts, lambda p: polygon_area(F.array(p)))
-    x0, y0, x1, y1 = polygon_bounds(F.col(parts))
-    base = F.struct(areas.alias("areas"), polygon_perimeter(F.col(parts)).alias("length"),
-                    x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+    def total(items: Column) -> Column:
+        return F.aggregate(items, F.lit(0.0), lambda acc, v: acc + v)
+
+    def sums(measures: Column) -> Column:
+        areas = F.transform(measures, lambda p: total(F.transform(p, lambda r, i: F.when(i > 0, -r["area"]).otherwise(r["area"]))))
+        length = total(F.transform(measures, lambda p: total(F.transform(p, lambda r: r["length"]))))
+        return rings.let(areas, lambda a: F.struct(total(a).alias("area"), F.array_max(a).alias("largest"), length.alias("length")))
+
+    # What is exploded are plain numbers: the ratios and whatever rounds them read these again and again.
+    each = F.transform(parts, lambda p: F.transform(p, lambda r: rings.ring_area_and_perimeter(r)))
+    base = F.struct(rings.let(each, sums).alias("of"), rings.let(F.flatten(F.flatten(parts)), rings.ring_box).alias("box"))
     once = df.select("*", F.explode(F.array(base)).alias("_m"))
-    area = F.aggregate("_m.areas", F.lit(0.0), lambda acc, v: acc + v)
-    bounds = tuple(F.col(f"_m.{c}") for c in ("x0", "y0", "x1", "y1"))
-    added = {largest: F.array_max("_m.areas")} if largest else {}
-    return once.withColumns(rings.shape_ratios(area, F.col("_m.length"), bounds, exact) | added).drop("_m")
+    bounds = tuple(F.col(f"_m.box.{c}") for c in ("x0", "y0", "x1", "y1"))
+    added = {largest: F.col("_m.of.largest")} if largest else {}
+    return once.withColumns(rings.shape_ratios(F.col("_m.of.area"), F.col("_m.of.length"), bounds, exact) | added).drop("_m")
+
+
+def measured_wkt(df: DataFrame, wkt: str, exact: bool = False, largest: str | None = None, n_parts: str = "n_parts") -> DataFrame:
+    """``with_polygon_metrics`` of the polygons in a text column, which goes, and the number of their parts.
+
+    Numbers are read and summed up in Python workers, for all rows of a batch at once: as columns of nested arrays,
+    every vertex costs a chain of interpreted expressions. Rows do not move.
+    """
+    ship_package(df.sparkSession)
+    kept = [f for f in df.schema.fields if f.name != wkt]
+    doubles = ["_area", "_length", "_largest", "_x0", "_y0", "_x1", "_y1"]
+    schema = T.StructType([*kept, T.StructField("_parts", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in doubles]])
+    names = [f.name for f in kept]
+
+    def run(batches):
+        for batch in batches:
+            columns = _wkt_measures(batch.column(wkt).to_pylist())
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *columns], [*names, "_parts", *doubles])
+
+    once = df.select(*names, wkt).mapInArrow(run, schema)
+    added = ({largest: F.col("_largest")} if largest else {}) | {n_parts: F.col("_parts")}
+    ratios = rings.shape_ratios(F.col("_area"), F.col("_length"), tuple(F.col(c) for c in doubles[3:]), exact)
+    return once.withColumns(ratios | added).drop("_parts", *doubles)
+
+
+def _wkt_measures(texts: list[str | None]) -> list[pa.Array]:
+    """Parts, area, length, largest part and bounds of each text, as the column expressions have them."""
+    part_of, ring_of, pair_of = (re.compile(p, re.ASCII).findall for p in (_PART, _RING, _PAIR))
+    pairs, points, ring_part, hole, part_row = [], [], [], [], []
+    for row, text in enumerate(texts):
+        for part in part_of(text) if text is not None else ():
+            for i, ring in enumerate(ring_of(part)):
+                found = pair_of(ring)
+                pairs += found
+                points.append(len(found))
+                ring_part.append(len(part_row))
+                hole.append(i > 0)
+            part_row.append(row)
+    n, ring_part, part_row, points = len(texts), np.array(ring_part, np.int64), np.array(part_row, np.int64), np.array(points, np.int64)
+    x, y = np.fromiter(map(float, chain.from_iterable(pairs)), np.float64, 2 * len(pairs)).reshape(-1, 2).T
+    ring = np.repeat(np.arange(len(points)), points)
+    first = (np.cumsum(points) - points)[ring]
+    at = np.flatnonzero(ring[1:] == ring[:-1])  # a segment begins here
+    u, v = x - x[first], y - y[first]
+    cross = u[at] * v[at + 1] - u[at + 1] * v[at]
+    length = np.hypot(x[at + 1] - x[at], y[at + 1] - y[at])
+
+    def summed(groups, values, count):
+        return np.bincount(groups, values, count).astype(np.float64)  # whole numbers if there is nothing to count
+
+    area = np.abs(summed(ring[at], cross, len(points)) / 2)
+    of_part = summed(ring_part, np.where(np.array(hole, bool), -area, area), len(part_row))
+    lengths = summed(part_row, summed(ring_part, summed(ring[at], length, len(points)), len(part_row)), n)
+    most = np.full(n, -np.inf)
+    np.maximum.at(most, part_row, of_part)
+    parts = np.bincount(part_row, minlength=n)
+    null = np.array([t is None for t in texts], bool)
+    of_row = part_row[ring_part[ring]]
+    bare = np.bincount(of_row, minlength=n) == 0
+    box = []
+    for ends, values in ((np.minimum, x), (np.minimum, y), (np.maximum, x), (np.maximum, y)):
+        out = np.full(n, np.inf if ends is np.minimum else -np.inf)
+        ends.at(out, of_row, values)
+        box.append(pa.array(out, mask=bare))
+    return [pa.array(parts.astype(np.int32), mask=null), pa.array(summed(part_row, of_part, n), mask=null), pa.array(lengths, mask=null),
+            pa.array(most, mask=parts == 0), *box]
 
 
 def tidy_polygon(parts: Column) -> Column:

@@ -151,3 +151,22 @@ def test_shares_equal_cover_and_cut_long_edges_by_columns_only(spark):
         assert sorted(v for x in r.x for v in range(x.at << x.level, (x.at + 1) << x.level)) == list(range(r.a, r.b))
     tall = spark.createDataFrame([("p", 0.0, 0.0, 1.0, 1e8)], edges.schema).select("*", P._blocks(F.lit(1), F.lit(1_000_000)).alias("x"))
     assert len(tall.first().x) <= 2 * 20
+
+
+def test_measures_from_texts_agree_with_those_of_columns(spark):
+    """Read and summed up in Python workers: whole texts, odd ones and none."""
+    texts = [
+        "POLYGON ((0 0, 4 0, 4 3, 0 3, 0 0))", "POLYGON((0 0,4 0,4 3,0 3,0 0),(1 1,2 1,2 2,1 2,1 1))",
+        "MULTIPOLYGON (((0 0, 1e1 0, 10. 2.5, 0 2.5, 0 0), (1 1, 2 1, 2 2, 1 1)), ((20 20, 21\t20, 21 \n 23, 20 20)))",
+        "POLYGON ((0 0 7, 4 0 7, 4 3 7, 0 0 7))", "POLYGON ((5 5))", "POLYGON (())", "POLYGON EMPTY", "", "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((0 0, 1", None,
+        "POLYGON ((-1.5E-2 100000000.25, 3.25 100000003, 2 100000007.125, -1.5E-2 100000000.25))"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, wkt string")
+    columns = P.with_polygon_metrics(df.select("id", P.wkt_polygons(F.col("wkt")).alias("parts")), "parts", exact=True, largest="most")
+    want = {r.id: r.asDict() for r in columns.withColumn("n_parts", F.size("parts")).drop("parts").collect()}
+    got = {r.id: r.asDict() for r in P.measured_wkt(df, "wkt", exact=True, largest="most").collect()}
+    assert len(got) == len(texts) and got[0]["area_m2"] == 12 and got[1]["area_m2"] == 11 and got[2]["n_parts"] == 2
+    for i, row in want.items():
+        assert set(row) == set(got[i])
+        for name, value in row.items():
+            if texts[i] is not None or name != "n_parts":
+                assert got[i][name] == (pytest.approx(value) if value is not None else None), (i, name)
